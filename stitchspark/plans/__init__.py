@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import RUN, SQL
 
-for _name in ("command_queries",):
+for _name in ("command_queries", "policy_queries"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["RUN", "SQL"]

@@ -227,8 +227,9 @@ def stitch_texture_metrics(spark, sf):
 
 
 @query("preview_texture", """
-SELECT design_id, round_even(den, 6) AS density_score, round_even(rhy, 6) AS rhythm_score, round_even(dir, 6) AS directional_score, round_even(saf, 6) AS safety_score,
-  round_even(0.18 * den + 0.18 * rhy + 0.17 * dir + 0.08 * saf, 6) AS professional_preview_score
+SELECT design_id, round_even(round_even(den, 8), 6) AS density_score, round_even(round_even(rhy, 8), 6) AS rhythm_score,
+  round_even(round_even(dir, 8), 6) AS directional_score, round_even(round_even(saf, 8), 6) AS safety_score,
+  round_even(round_even(0.18 * den + 0.18 * rhy + 0.17 * dir + 0.08 * saf, 8), 6) AS professional_preview_score
 FROM (SELECT design_id, least(1.0, stitch_density_per_100mm2 / 5.0) AS den,
   greatest(0.0, least(1.0, 1.0 - abs(mean_stitch_length_mm - 2.2) / 2.8)) * greatest(0.0, least(1.0, 1.0 - 0.75 * stitch_length_cv)) AS rhy,
   greatest(0.0, least(1.0, 0.55 * dominant_angle_mass + 0.45 * greatest(0.0, least(1.0, 1.0 - abs(angle_entropy - 0.42) / 0.42)))) AS dir,

@@ -103,7 +103,7 @@ def candidate_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (sample, candidate) with its raw metrics."""
     g = Tables(spark, sf).lineitem.groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("ordinal")).agg(
         F.sum("l_quantity").cast("long").alias("q"), F.round(F.avg("l_tax"), 6).alias("tax"),
-        F.round(F.avg("l_discount"), 6).alias("disc"), F.round(F.avg("l_extendedprice"), 2).alias("price"),
+        F.round(F.avg("l_discount"), 6).alias("disc"), F.max("l_extendedprice").alias("price"),
         F.min("l_partkey").alias("partkey"))
     q = F.col("q")
     name = F.get(F.array(*[F.lit(n) for n in CANDIDATE_NAMES]), F.col("ordinal") - 1)
@@ -134,7 +134,7 @@ SELECT sample_id, ordinal, [%s][ordinal] AS candidate, q, partkey, q %% 41 <> 0
   q * 3 %% 40 AS fill_rows, q * 7 %% 90 AS outline_points, q * 5 %% 60 AS satin_columns,
   q * 11 %% 50 AS satin_rail_segments, q * 13 %% 30 AS dt_satin_segments, q * 17 %% 80 AS style_running_points
 FROM (SELECT l_orderkey AS sample_id, l_linenumber AS ordinal, CAST(sum(l_quantity) AS BIGINT) AS q, round(avg(l_tax), 6) AS tax,
-        round(avg(l_discount), 6) AS disc, round(avg(l_extendedprice), 2) AS price, min(l_partkey) AS partkey
+        round(avg(l_discount), 6) AS disc, max(l_extendedprice) AS price, min(l_partkey) AS partkey
       FROM lineitem GROUP BY 1, 2)""" % ", ".join(f"'{n}'" for n in CANDIDATE_NAMES))
 
 
@@ -174,3 +174,57 @@ def baseline(c: DataFrame) -> DataFrame:
 cte("baseline", """
 SELECT * EXCLUDE (first_ordinal) FROM (SELECT *, min(ordinal) OVER (PARTITION BY sample_id) AS first_ordinal FROM candidates)
 WHERE ordinal = first_ordinal""", "candidates")
+
+
+LABEL_STEPS = {"base_keep": 7, "running_line": 11, "auto_running": 13, "auto_fill": 17, "fill_tatami_like": 19,
+               "satin_like": 23, "outline_border": 29, "reject": 31}
+
+
+def policy_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with preview, texture, skeleton and selector columns."""
+    from ..functions.scalars import candidate_family
+    from ..functions.scores import preview_scores
+    from ..operators.policies import predicted_family
+    q, ordinal = F.col("q"), F.col("ordinal")
+    c = candidates(spark, sf).withColumns({
+        "candidate_family": candidate_family("candidate", "sweep"),
+        "angle_entropy": (q * 7 % 19) / 19.0, "dominant_angle_mass": (q % 11) / 11.0,
+        "mean_stitch_length_mm": 1.0 + (q % 37) / 10.0, "stitch_length_cv": (q % 5) / 10.0,
+        "long_stitch_ratio": (q % 13) / 50.0, "stitch_density_per_100mm2": (q % 29) / 5.0,
+        "illegal_long_stitch_count": F.when(q % 41 == 0, 1).otherwise(0).cast("long"),
+        "rail_and_dt_segments": F.col("satin_rail_segments") + F.col("dt_satin_segments"),
+        "satin_like_segments": F.col("satin_columns") + F.col("satin_rail_segments") + F.col("dt_satin_segments"),
+        "skeleton_coverage_ratio": F.round(1.0 - 0.5 * (1.0 - F.col("coverage_ratio")), 6),
+        "adaptive_skeleton_coverage_ratio": F.round(1.0 - 0.1 * (1.0 - F.col("coverage_ratio")), 6),
+        "policy_pass": q % 5 != 0,
+        **{f"score_{n}": ((q * k + ordinal * 3) % 101) / 100.0 for n, k in LABEL_STEPS.items()},
+    })
+    return c.withColumns({**preview_scores(), "predicted_family": predicted_family()})
+
+
+cte("policy_pool", """
+SELECT *, round_even(greatest(0.0, least(1.0, 0.25 * xc + 0.18 * xd + 0.18 * xr + 0.17 * xo + 0.14 * xf + 0.08 * xs)), 8) AS professional_preview_score,
+  round_even(xd, 8) AS density_score, round_even(xr, 8) AS rhythm_score, round_even(xo, 8) AS directional_score,
+  round_even(xf, 8) AS family_texture_score_norm,
+  CASE WHEN score_reject >= best_score THEN 'reject' WHEN score_base_keep = best_score THEN 'base_keep' WHEN score_running_line = best_score THEN 'running_line'
+    WHEN score_auto_running = best_score THEN 'auto_running' WHEN score_auto_fill = best_score THEN 'auto_fill'
+    WHEN score_fill_tatami_like = best_score THEN 'fill_tatami_like' WHEN score_satin_like = best_score THEN 'satin_like'
+    ELSE 'outline_border' END AS predicted_family
+FROM (SELECT *, greatest(%s) AS best_score,
+    greatest(0.0, least(1.0, 0.55 * coverage_ratio + 0.45 * greatest(stitch_precision_ratio, adaptive_stitch_precision_ratio))) AS xc,
+    least(1.0, stitch_density_per_100mm2 / 5.0) AS xd,
+    greatest(0.0, least(1.0, 1.0 - abs(mean_stitch_length_mm - 2.2) / 2.8)) * greatest(0.0, least(1.0, 1.0 - 0.75 * stitch_length_cv)) AS xr,
+    greatest(0.0, least(1.0, 0.55 * dominant_angle_mass + 0.45 * greatest(0.0, least(1.0, 1.0 - abs(angle_entropy - 0.42) / 0.42)))) AS xo,
+    least(1.0, generator_texture_score / 0.75) AS xf,
+    greatest(0.0, least(1.0, 1.0 - 0.20 * visible_connector_count - 0.02 * off_mask_stitch_length_mm - 0.10 * illegal_long_stitch_count - 0.35 * long_stitch_ratio)) AS xs
+  FROM (SELECT *, CASE WHEN candidate LIKE '%%dtsatin%%' THEN 'dt_satin' WHEN candidate LIKE '%%satin%%' THEN 'satin_like' WHEN candidate LIKE '%%outline%%' THEN 'outline_border'
+      WHEN candidate LIKE '%%edgewalk%%' THEN 'edgewalk_fill' WHEN candidate LIKE '%%nearestrow%%' THEN 'nearestrow_fill' WHEN candidate LIKE '%%mask_fill%%' THEN 'mask_fill' ELSE 'other' END AS candidate_family,
+    (q * 7 %% 19) / 19.0::DOUBLE AS angle_entropy, (q %% 11) / 11.0::DOUBLE AS dominant_angle_mass, 1.0 + (q %% 37) / 10.0::DOUBLE AS mean_stitch_length_mm,
+    (q %% 5) / 10.0::DOUBLE AS stitch_length_cv, (q %% 13) / 50.0::DOUBLE AS long_stitch_ratio, (q %% 29) / 5.0::DOUBLE AS stitch_density_per_100mm2,
+    CASE WHEN q %% 41 = 0 THEN 1 ELSE 0 END AS illegal_long_stitch_count, satin_rail_segments + dt_satin_segments AS rail_and_dt_segments,
+    satin_columns + satin_rail_segments + dt_satin_segments AS satin_like_segments, round(1.0 - 0.5 * (1.0 - coverage_ratio), 6) AS skeleton_coverage_ratio,
+    round(1.0 - 0.1 * (1.0 - coverage_ratio), 6) AS adaptive_skeleton_coverage_ratio, q %% 5 <> 0 AS policy_pass, %s
+  FROM candidates))""" % (", ".join(f"score_{n}" for n in LABEL_STEPS),
+                          ", ".join(f"((q * {k} + ordinal * 3) % 101) / 100.0::DOUBLE AS score_{n}" for n, k in LABEL_STEPS.items())), "candidates")
+cte("pool_base", """
+SELECT * FROM policy_pool QUALIFY ordinal = min(ordinal) OVER (PARTITION BY sample_id)""", "policy_pool")
