@@ -173,6 +173,10 @@ def keep_all_if_empty(df: DataFrame, passes: Column, key: str = "sample_id") ->
     return flagged.join(some, key).filter(F.col("_pass") | ~F.col("_any")).drop("_pass", "_any")
 
 
+def _has_bit(i: int):
+    return lambda bits: bits.bitwiseAND(F.lit(1 << i)) != 0
+
+
 def keep_all_chain(df: DataFrame, gates: Sequence[Column], key: str = "sample_id") -> DataFrame:
     """Several gates in turn, each or-keep-all on what the earlier ones left, with one aggregate.
 
@@ -188,7 +192,7 @@ def keep_all_chain(df: DataFrame, gates: Sequence[Column], key: str = "sample_id
     active = F.lit(0)
     pool = F.col("_seen")
     for i in range(n):
-        left = F.filter(pool, lambda b, i=i: b.bitwiseAND(F.lit(1 << i)) != 0)
+        left = F.filter(pool, _has_bit(i))
         hit = F.size(left) > 0
         active = active + F.when(hit, F.lit(1 << i)).otherwise(F.lit(0))
         pool = F.when(hit, left).otherwise(pool)

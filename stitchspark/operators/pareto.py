@@ -38,11 +38,11 @@ def pareto_front(df: DataFrame, id_col: str, group: Sequence[str] = (), minimise
     cols = [*minimise, *maximise]
     slim = df.select(*group, F.col(id_col).alias("_id"), *[
         (num_value(c) if c in minimise else -num_value(c)).alias(c) for c in cols])
-    schema = slim.schema
+    schema, names = slim.schema, slim.columns
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf[cols].to_numpy(dtype=float)
-        return pdf.loc[~_beaten(values, values, eps), slim.columns]
+        return pdf.loc[~_beaten(values, values, eps), names]
 
     survivors = _blocked(slim, group, block_rows).groupBy(*group, "_blocks", "_block").applyInPandas(local, schema)
     again = _blocked(survivors, group, block_rows)

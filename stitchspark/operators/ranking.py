@@ -290,7 +290,7 @@ def hard_and_mean_ranks(df: DataFrame, key: Sequence[str] = ("sample_id",)) -> D
     """0-based positions by the lexicographic hard order and by loss, and the best flags."""
     d = df.withColumn("parse_fail", (~F.col("round_trip_parse_success")).cast("int")).withColumn("hard_score", hard_score())
     hard = [F.col(c).asc() for c in HARD_ORDER] + [F.col("ordinal").asc()]
-    coarse = F.struct("parse_fail", "visible_connector_count", F.floor("off_mask_stitch_length_mm").alias("o"), "jump_count")
+    coarse = F.struct("parse_fail", "visible_connector_count", F.floor("off_mask_stitch_length_mm").alias("o"))
     a = order_number(d, list(key), hard, coarse, "hard_rank")
     b = order_number(a, list(key), [F.col("unified_loss").asc(), F.col("ordinal").asc()], F.floor(F.col("unified_loss") * 1000), "mean_rank")
     return b.withColumns({"hard_rank": F.col("hard_rank") - 1, "mean_rank": F.col("mean_rank") - 1}).withColumns(

@@ -2,9 +2,10 @@
 
 from importlib import import_module
 
-from .registry import RUN, SQL
+from .registry import RUN, SQL, resolve
 
-for _name in ("command_queries", "policy_queries"):
+for _name in ("command_queries", "policy_queries", "selection_queries"):
     import_module(f"{__name__}.{_name}")
+resolve()
 
 __all__ = ["RUN", "SQL"]

@@ -12,6 +12,7 @@ from ..functions.semantics import half_even
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_STATED: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -35,7 +36,10 @@ def _long_counts(text: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(text[end], 0)
             end += 1
-        out += text[at:hit] + "CAST(" + text[hit:end] + " AS BIGINT)"
+        if text[end:].lstrip().startswith("OVER"):
+            out += text[at:end]
+        else:
+            out += text[at:hit] + "CAST(" + text[hit:end] + " AS BIGINT)"
         at = end
     return out + text[at:]
 
@@ -49,11 +53,16 @@ def query(name: str, sql: str | None = None, *needs: str):
     def add(fn):
         RUN[name] = fn
         if sql is not None:
-            SQL[name] = sql_text(sql, *needs)
+            _STATED[name] = (sql, needs)
         return fn
     return add
 
 
+def resolve() -> None:
+    """Fill SQL once every named part is known."""
+    SQL.update({name: sql_text(body, *needs) for name, (body, needs) in _STATED.items()})
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round the double columns of a result."""
     return df.select(*[
