@@ -378,8 +378,8 @@ def decode_param(value, lo, hi, kind: str) -> Column:
 
 
 def continuity_adjusted_cost(distance_mm, near_mean, jump_mean, long_jump_mm: float = 8.0, long_jump_weight: float = 0.45,
-                             near_weight: float = 0.85, jump_weight: float = 0.35) -> Column:
-    """Distance and long-jump cost lowered by the near signal and raised by the jump signal of the link."""
+                             order_weight: float = 0.85, endpoint_weight: float = 0.35) -> Column:
+    """Distance and long-jump cost, lowered by the near signal of the link and raised by its jump signal."""
     d = col(distance_mm)
-    base = d + long_jump_weight * F.greatest(F.lit(0.0), d - long_jump_mm)
-    return base * (1.0 - near_weight * clamp01(col(near_mean))) + jump_weight * clamp01(col(jump_mean)) * F.greatest(d, F.lit(1.0))
+    return (d + long_jump_weight * F.greatest(F.lit(0.0), d - long_jump_mm) - order_weight * col(near_mean) * long_jump_mm
+            + endpoint_weight * col(jump_mean) * F.greatest(d, F.lit(float(long_jump_mm))))
