@@ -85,7 +85,7 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
         t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("o_orderkey").alias("sample_id"), _source(F.col("c_mktsegment")).alias("source_name"),
         F.col("o_orderpriority").alias("category"),
-        F.when(F.year("o_orderdate") < 1995, "core").otherwise("full").alias("phase"),
+        F.when(F.month("o_orderdate") <= 6, "core").otherwise("full").alias("phase"),
         F.concat(F.lit("designs/"), F.lower("n_name"), F.lit("/"), F.regexp_replace("c_name", "Customer#0*", "cust"),
                  F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".dst")).alias("source_dst"),
         "o_totalprice", F.col("o_orderstatus").alias("old_status"))
@@ -93,7 +93,7 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 cte("manifest", f"""
 SELECT o_orderkey AS sample_id, {_SOURCE_SQL} AS source_name, o_orderpriority AS category,
-  CASE WHEN year(o_orderdate) < 1995 THEN 'core' ELSE 'full' END AS phase,
+  CASE WHEN month(o_orderdate) <= 6 THEN 'core' ELSE 'full' END AS phase,
   'designs/' || lower(n_name) || '/' || regexp_replace(c_name, 'Customer#0*', 'cust') || '_' || o_orderkey || '.dst' AS source_dst,
   o_totalprice, o_orderstatus AS old_status
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
