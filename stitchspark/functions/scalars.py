@@ -30,7 +30,7 @@ def design_key(path, index, prefix: str = "design") -> Column:
     """prefix_00042_stem."""
     stem = F.substring(_trim_underscore(F.regexp_replace(file_stem(path), "[^A-Za-z0-9_-]+", "_")), 1, 48)
     stem = F.when(F.length(stem) == 0, F.lit("design")).otherwise(stem)
-    return F.concat(F.lit(prefix + "_"), F.lpad(col(index).cast("string"), 5, "0"), F.lit("_"), stem)
+    return F.concat(F.lit(prefix + "_"), F.format_string("%05d", col(index).cast("long")), F.lit("_"), stem)
 
 
 def source_family(path) -> Column:

@@ -485,10 +485,10 @@ def color_order(spark, sf):
 
 
 @query("safe_names", r"""
-SELECT sample_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug, 'design_' || lpad(sample_id::VARCHAR, 5, '0') || '_' || stem AS design_key FROM (
-  SELECT sample_id, regexp_replace(regexp_replace(trim(source_dst), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')[1:24] AS s, regexp_replace(regexp_extract(source_dst, '[^/]*$'), '[.][^.]*$', '') AS stem FROM manifest) WHERE sample_id < 100000""", "manifest")
+SELECT sample_id, CASE WHEN s = '' THEN 'item' ELSE s END AS slug, 'design_' || format('{:05d}', sample_id) || '_' || stem AS design_key FROM (
+  SELECT sample_id, regexp_replace(regexp_replace(trim(source_dst), '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')[1:24] AS s, regexp_replace(regexp_extract(source_dst, '[^/]*$'), '[.][^.]*$', '') AS stem FROM manifest)""", "manifest")
 def safe_names(spark, sf):
-    m = manifest(spark, sf).filter("sample_id < 100000")
+    m = manifest(spark, sf)
     return m.select("sample_id", scalars.slug("source_dst", 24).alias("slug"), scalars.design_key("source_dst", "sample_id").alias("design_key"))
 
 

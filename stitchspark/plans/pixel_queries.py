@@ -265,12 +265,12 @@ WINDOW w AS (PARTITION BY design_id ORDER BY seq)""", "commands", "masks")
 
 cte("trace_map", "SELECT design_id, y, x, value FROM event_px WHERE channel = 'path_order'", "event_px")
 cte("map_pair", """
-SELECT design_id, y, x, coalesce(p.value, 0.0) AS p, t.value AS t FROM trace_map p FULL JOIN (SELECT design_id, y, x, density AS value FROM stitch_px WHERE (x + y) % 7 <> 0) t USING (design_id, y, x)""", "trace_map", "stitch_px")
+SELECT design_id, y, x, coalesce(p.value, 0.0) AS p, t.value AS t FROM trace_map p FULL JOIN (SELECT design_id, y, x, density AS value FROM stitch_px WHERE density > 0.2) t USING (design_id, y, x)""", "trace_map", "stitch_px")
 
 
 def map_pair(spark, sf):
     p = events_px(spark, sf).filter("channel = 'path_order'").select(*px.PX, "value")
-    t = px.stitch_maps(hits(spark, sf)).filter("(x + y) % 7 <> 0").select(*px.PX, F.col("density").alias("value"))
+    t = px.stitch_maps(hits(spark, sf)).filter("density > 0.2").select(*px.PX, F.col("density").alias("value"))
     return p, t
 
 
@@ -305,11 +305,11 @@ def top1_error(spark, sf):
 @query("class_map_eval", """
 SELECT design_id, round_even((count_if(p = 1 AND t = 1) / greatest(1, count_if(p = 1 OR t = 1)) + count_if(p = 2 AND t = 2) / greatest(1, count_if(p = 2 OR t = 2)) + count_if(p = 3 AND t = 3) / greatest(1, count_if(p = 3 OR t = 3))) / 3, 6) AS miou,
   round_even(count_if(t > 0 AND p = t) / greatest(1, count_if(t > 0)), 6) AS acc_on_mask
-FROM (SELECT design_id, coalesce(a.cls, 0) AS p, coalesce(b.cls, 0) AS t FROM (SELECT design_id, y, x, ((stitch_type + (x + y) % 5 // 4) % 4) AS cls FROM typed) a FULL JOIN (SELECT design_id, y, x, stitch_type AS cls FROM typed WHERE (x * 3 + y) % 11 <> 0) b USING (design_id, y, x)) GROUP BY 1""", "typed")
+FROM (SELECT design_id, coalesce(a.cls, 0) AS p, coalesce(b.cls, 0) AS t FROM (SELECT design_id, y, x, ((stitch_type + (x + y) % 5 // 4) % 4) AS cls FROM typed) a FULL JOIN (SELECT design_id, y, x, stitch_type AS cls FROM typed WHERE path_order < 0.9) b USING (design_id, y, x)) GROUP BY 1""", "typed")
 def class_map_eval(spark, sf):
     t = typed(spark, sf)
     shift = F.floor(((F.col("x") + F.col("y")) % 5) / 4).cast("int")
-    return tidy(px.class_map_eval(t.select(*px.PX, ((F.col("stitch_type") + shift) % 4).alias("cls")), t.filter("(x * 3 + y) % 11 <> 0").select(*px.PX, F.col("stitch_type").alias("cls"))))
+    return tidy(px.class_map_eval(t.select(*px.PX, ((F.col("stitch_type") + shift) % 4).alias("cls")), t.filter("path_order < 0.9").select(*px.PX, F.col("stitch_type").alias("cls"))))
 
 
 @query("order_pair_accuracy")

@@ -136,12 +136,12 @@ def line_guard_chain(spark, sf):
 
 
 @query("anchored_baseline", """
-SELECT b.sample_id, CASE WHEN b.sample_id % 7 = 0 THEN 'no_anchor_row' WHEN b.sample_id % 5 = 0 THEN 'missing_anchor_candidate' WHEN a.candidate IS NULL THEN 'anchor_candidate_not_found' ELSE 'anchored_baseline' END AS anchor_mode,
+SELECT b.sample_id, CASE WHEN b.source_name = 'TextRender' THEN 'no_anchor_row' WHEN b.source_name = 'OpenMoji' THEN 'missing_anchor_candidate' WHEN a.candidate IS NULL THEN 'anchor_candidate_not_found' ELSE 'anchored_baseline' END AS anchor_mode,
   coalesce(a.candidate, b.candidate) AS chosen_candidate
-FROM line_base b LEFT JOIN (SELECT sample_id, candidate FROM line_base_pool WHERE candidate = 'skeleton_auto' AND sample_id % 7 <> 0 AND sample_id % 5 <> 0) a USING (sample_id)""", "line_base", "line_base_pool")
+FROM line_base b LEFT JOIN (SELECT sample_id, candidate FROM line_base_pool WHERE candidate = 'skeleton_auto' AND source_name NOT IN ('TextRender', 'OpenMoji')) a USING (sample_id)""", "line_base", "line_base_pool")
 def anchored_baseline(spark, sf):
     rows, chosen = _line_input(spark, sf)
-    anchors = chosen.filter("sample_id % 7 <> 0").select("sample_id", F.when(F.col("sample_id") % 5 == 0, "").otherwise("skeleton_auto").alias("anchor_candidate"))
+    anchors = chosen.filter("chosen.source_name <> 'TextRender'").select("sample_id", F.when(F.col("chosen.source_name") == "OpenMoji", "").otherwise("skeleton_auto").alias("anchor_candidate"))
     return ranking.anchored(chosen, rows, anchors).select("sample_id", "anchor_mode", F.col("chosen.candidate").alias("chosen_candidate"))
 
 
