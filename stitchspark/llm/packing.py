@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Scratch
+from .common import Scratch, doc_id, doc_key, doc_key_of
 
 SIZE = 2048
 #: Pieces that are packed together; a larger group leaves fewer open bins and takes one task longer.
@@ -59,21 +59,19 @@ def _pieces(tokenizer: str, size: int, with_ids: bool):
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 ids = token_ids(text, chunks)
                 n = len(ids) // 4
-                doc = None if pd.isna(doc) else int(doc)
                 for k, start in enumerate(range(0, n, size)):
                     part = ids[4 * start:4 * (start + size)]
                     row = (doc, k, start, len(part) // 4, zlib.crc32(part))
                     rows.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
 
     return cut
 
 
 def pieces(df: DataFrame, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and (with_ids) the ids of each piece of each row of `df`."""
+    """doc_id (NO_ID for null), piece, start, length, ids_crc32 and (with_ids) the ids of each piece of each row of `df`."""
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = df.select(doc_key().alias("doc_id"), "text")
     return docs.mapInPandas(_pieces(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), size, with_ids), kinds)
 
 
@@ -134,7 +132,7 @@ def _packed(size: int):
         at, offset = bins(pdf["length"].to_numpy(), size)
         out = pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
         out["sequence_id"], out["offset"] = pdf["part"].to_numpy() * np.int64(2**32) + at, offset
-        return out.astype({"doc_id": "Int64"})
+        return out
 
     return pack
 
@@ -153,13 +151,14 @@ def pack(df: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataF
             .withColumn("sequence_id", F.lit(parts).cast("long") * F.lit(2**32) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
     rest = made.filter(F.col("length") < size).withColumn("part", dealt)
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return rest.groupBy("part").applyInPandas(_packed(size), kinds).unionByName(full)
+    packed = rest.groupBy("part").applyInPandas(_packed(size), kinds).unionByName(full)
+    return packed.withColumn("doc_id", doc_id("doc_id"))
 
 
 def sequences(df: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
     """sequence_id, ids, doc_ids: the packed sequences themselves, at most `size` ids each."""
     made, place = pieces(df, size, tokenizer), pack(df, size, tokenizer)
-    both = made.withColumnRenamed("doc_id", "d").join(place.select(F.col("doc_id").alias("d2"), "piece", "ids_crc32", "length", "sequence_id", "offset"),
-                                                      F.col("d").eqNullSafe(F.col("d2")) & (made["piece"] == place["piece"]) & (made["ids_crc32"] == place["ids_crc32"]))
+    both = made.withColumnRenamed("doc_id", "d").join(place.select(doc_key_of(F.col("doc_id")).alias("d2"), "piece", "ids_crc32", "length", "sequence_id", "offset"),
+                                                      (F.col("d") == F.col("d2")) & (made["piece"] == place["piece"]) & (made["ids_crc32"] == place["ids_crc32"]))
     packed = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "d", "ids"))).alias("p"))
     return packed.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.d").alias("doc_ids"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dups, mixing, near_dups, packing, quality, sharding
+import corpus_pipeline
+
+from . import exact_dups, langid, mixing, near_dups, packing, pii, quality, sharding, toxicity, url_lists
 from .common import table
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +41,21 @@ def op4_balanced_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
 @query
 def op6_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_subword_bag_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dups.exact_groups(table(spark, sf_dir, "documents"))
@@ -53,3 +66,70 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY body)
 """
+
+
+@query
+def op9_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def dated_captures(pages: DataFrame) -> DataFrame:
+    """The pages as captures of one year, at a minute that follows from the id."""
+    minute = F.coalesce(F.pmod(F.col("page_id") * 7919, F.lit(360 * 1440)), F.lit(0))
+    return pages.select(F.col("page_id").alias("capture_id"), "url", F.timestamp_micros((minute * 60 + 1704067200) * 1000000).alias("fetched_at"))
+
+
+def dated_lists(pages: DataFrame) -> DataFrame:
+    """Six dated entries on three lists for every second host, domain and path of the pages, from the digits of a hash."""
+    keys = pages.select(F.explode(url_lists.url_keys(F.col("url"))).alias("key")).distinct()
+    keys = keys.filter((F.conv(F.substring(F.md5("key"), 1, 1), 16, 10).cast("int") < 8) | F.col("key").rlike("spam|pills"))
+    rows = keys.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("h", F.md5(F.concat_ws(":", "key", F.col("k").cast("string"))))
+    digits = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
+    return rows.select(F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (digits(1, 4) % 3 + 1).cast("int")).alias("list"), "key",
+                       F.when(digits(5, 4) % 4 == 0, "allow").otherwise("block").alias("verdict"), F.when(F.col("k") % 3 == 2, "remove").otherwise("add").alias("action"),
+                       F.timestamp_micros((digits(9, 6) % 360 * 86400 + 1704067200) * 1000000).alias("effective_at"))
+
+
+@query
+def op10_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_lists.decide(dated_captures(pages), dated_lists(pages))
+    seconds = lambda c: F.unix_seconds(c).alias(c)
+    return found.select(F.col("capture_id").alias("page_id"), seconds("fetched_at"), "n_active", "verdict", "key", "list", seconds("valid_from"))
+
+
+SQL["op10_temporal_list_join"] = r"""
+WITH u AS (
+  SELECT page_id, coalesce((page_id * 7919) % 518400, 0) * 60 + 1704067200 AS fetched_at,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS part
+  FROM pages),
+asked AS (
+  SELECT page_id, fetched_at, array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') AS key
+  FROM u, generate_series(1, 130) s(i) WHERE host <> '' AND i <= greatest(len(string_split(host, '.')) - 1, 1)
+  UNION ALL SELECT page_id, fetched_at, host || '/' || part FROM u WHERE host <> '' AND part <> ''),
+listed AS (SELECT DISTINCT key FROM asked WHERE substr(md5(key), 1, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7') OR key LIKE '%spam%' OR key LIKE '%pills%'),
+drawn AS (SELECT key, k, md5(key || ':' || k) AS h FROM listed, generate_series(0, 5) s(k)),
+entries AS (
+  SELECT ['adult', 'malware', 'spam'][(('0x' || substr(h, 1, 4))::BIGINT % 3) + 1] AS list, key,
+         CASE WHEN ('0x' || substr(h, 5, 4))::BIGINT % 4 = 0 THEN 'allow' ELSE 'block' END AS verdict, CASE WHEN k % 3 = 2 THEN 'remove' ELSE 'add' END AS action,
+         ('0x' || substr(h, 9, 6))::BIGINT % 360 * 86400 + 1704067200 AS effective_at
+  FROM drawn),
+one AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY list, key, effective_at ORDER BY action DESC, verdict DESC) = 1),
+held AS (SELECT *, lead(effective_at) OVER (PARTITION BY list, key ORDER BY effective_at) AS valid_to FROM one),
+met AS (
+  SELECT a.page_id, h.verdict, h.key, h.list, h.effective_at AS valid_from, count(*) OVER (PARTITION BY a.page_id) AS n_active,
+         row_number() OVER (PARTITION BY a.page_id ORDER BY length(h.key) DESC, (h.verdict = 'block') DESC, h.effective_at DESC, h.list DESC, h.key DESC) AS place
+  FROM asked a JOIN held h ON a.key = h.key AND h.action = 'add' AND a.fetched_at >= h.effective_at AND (h.valid_to IS NULL OR a.fetched_at < h.valid_to))
+SELECT u.page_id, u.fetched_at, coalesce(m.n_active, 0) AS n_active, m.verdict, m.key, m.list, m.valid_from
+FROM u LEFT JOIN met m ON u.page_id = m.page_id AND m.place = 1
+"""
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
