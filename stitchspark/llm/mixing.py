@@ -82,7 +82,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
     read = read.withColumn("to", to).withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("to") - 1) / block_words))))
     first = F.greatest(F.col("from"), F.col("rank") * block_words)
     cut = read.withColumn("words", F.least(F.col("to"), (F.col("rank") + 1) * block_words) - first).withColumn("first", first - F.col("from"))
-    parts = cut.join(made, ["source_no", "rank"]).select("slot", "key", "text_hash", "source_no", "start", "pass", "first", "words")
+    parts = cut.join(made, ["source_no", "rank"]).select("slot", "key", "text_hash", "source", "source_no", "start", "pass", "first", "words")
     parts = scratch.keep(parts, "parts")
     taken = parts.groupBy("source_no", "start", "key").agg(F.sum("words").alias("taken"))
     # A document without words shares its start with the next one, which alone is taken.
@@ -93,13 +93,18 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
 
 
 def mixed_documents(df: DataFrame, **how) -> DataFrame:
-    """The mix as rows of `df`: a row for each time that a document is read; the last may be cut after its first words, joined by single spaces then."""
+    """The mix as rows of `df`: a row for each time that a document is read; the last may be cut after its first words, joined by single spaces then.
+
+    Of rows that repeat doc_id, text and source one stands for all, and is read as often as they are."""
     documents, parts = mix(df, **how)
-    read = parts.groupBy("key", "text_hash", "start", "source_no", "pass").agg(F.sum("words").alias("_words"))
-    read = read.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash"), F.col("_words")).groupBy("_key", "_hash").agg(F.collect_list("_words").alias("_reads"))
-    both = df.join(read, (doc_key_of(df["doc_id"]) == read["_key"]) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == read["_hash"]))
+    if not documents.groupBy("key", "text_hash", "source").count().filter("count > 1").isEmpty():
+        df = df.dropDuplicates(["doc_id", "text", "source"])
+    read = parts.groupBy("key", "text_hash", "source", "start", "pass").agg(F.sum("words").alias("words"))
+    read = read.groupBy("key", "text_hash", "source").agg(F.collect_list("words").alias("_reads"))
+    same = (doc_key_of(df["doc_id"]) == read["key"]) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == read["text_hash"]) & df["source"].eqNullSafe(read["source"])
+    both = df.join(read, same)
     words = F.filter(F.split(df["text"], f"[{SPACE}]+"), lambda w: w != "")
-    rows = both.select(*(df[c].alias(f"c{i}") for i, c in enumerate(df.columns)), n_words(df["text"]).alias("_size"), F.explode("_reads").alias("_words"), words.alias("_list"))
+    rows = both.select(*(df[c].alias(f"c{i}") for i, c in enumerate(df.columns)), n_words(df["text"]).alias("_size"), F.explode(read["_reads"]).alias("_words"), words.alias("_list"))
     text = df.columns.index("text")
     short = F.when(F.col("_words") >= F.col("_size"), F.col(f"c{text}")).otherwise(F.array_join(F.slice("_list", 1, F.col("_words").cast("int")), " "))
     return rows.select(*((short if i == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)))

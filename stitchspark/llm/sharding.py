@@ -1,8 +1,8 @@
 """Balanced label propagation: documents of equal texts move to each other's shards while every shard keeps its quota of rows.
 
 In each round the documents of a group turn to the shards that hold most of it (as many shards as the group needs). A shard takes no more linked
-documents than its quota leaves, and the documents without links that they displace fill the places that have become free, so the counts of rows
-never differ by more than one. Moves are ranked by positions in hashed cells; no task holds a shard or a group.
+documents than its quota and those that leave it allow, and the documents without links that they displace fill the places that have become free, so
+the counts of rows never differ by more than one. Moves are ranked by positions in hashed cells; no task holds a shard or a group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cell_bits, doc_id, doc_key, positions, whole_text
 
-SHARDS, ROUNDS = 16, 4
+SHARDS, ROUNDS = 16, 6
 
 
 def _at(values: list[int], index: Column) -> Column:
@@ -27,31 +27,51 @@ def _by_shard(df: DataFrame, shards: int) -> list[int]:
     return [found.get(b, 0) for b in range(shards)]
 
 
-def propagate(rows: DataFrame, shards: int, n: int, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """rows: key, g (group), m (its size), at (hash), label (balanced at the start) and other columns. Rows with better labels."""
+def feasible(wish: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Of the moves between shards, as many as leave no shard with more arrivals than its room and its own leavers make place for."""
+    wish, changed = dict(wish), True
+    while changed:
+        changed = False
+        for b, free in enumerate(room):
+            into = sorted(((n, a) for (a, t), n in wish.items() if t == b), reverse=True)
+            excess = sum(n for n, _ in into) - sum(n for (a, _), n in wish.items() if a == b) - free
+            for n, a in into:
+                less = min(n, max(0, excess))
+                excess -= less
+                wish[a, b] -= less
+                changed |= less > 0
+    return wish
+
+
+def propagate(rows: DataFrame, shards: int, n: int, scratch: Scratch, least: int, rounds: int = ROUNDS) -> DataFrame:
+    """rows: key, g (group), m (its size), at (hash), label (balanced at the start) and other columns. Rows with better labels.
+
+    Groups of more than `least` documents count as linked here; the others make place for them."""
     quota = [n // shards + (b < n % shards) for b in range(shards)]
     bits = cell_bits(n)
     for k in range(1, rounds + 1):
-        linked = rows.filter("m > 1")
+        linked = rows.filter(F.col("m") > least)
         held = linked.groupBy("g", "m", "label").agg(F.count("*").alias("c"))
         place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c"), F.xxhash64("g", "label"), "label")) - 1
         needs = F.ceil(F.col("m") / max(1, n // shards)).cast("int")
         wants = held.withColumn("place", place).groupBy("g", needs.alias("needs")).agg(F.sort_array(F.collect_list(F.struct("place", "label"))).alias("all"))
         wants = wants.select("g", F.transform(F.slice("all", 1, F.col("needs")), lambda x: x["label"]).alias("wanted"))
-        wants = scratch.keep(wants.filter(F.size("wanted") > 0), f"wants-{k}")
+        wants = scratch.keep(wants.filter(F.size("wanted") > 0), f"wants-{least}-{k}")
         move = linked.join(wants, "g").filter(~F.array_contains("wanted", F.col("label")))
         move = move.select("key", "g", "at", "label", F.element_at("wanted", F.pmod("at", F.size("wanted")).cast("int") + 1).alias("target"))
-        move = scratch.keep(move, f"moves-{k}")
-        settled = _by_shard(linked, shards)
-        room = [q - s for q, s in zip(quota, settled)]
-        taken = positions(move, ["target"], "at", ["key"], bits, out="rank").filter(F.col("rank") < _at(room, F.col("target")))
-        taken = scratch.keep(taken.select("key", "g", "target").dropDuplicates(["key", "g"]), f"taken-{k}")
+        move = scratch.keep(move, f"moves-{least}-{k}")
+        room = [q - s for q, s in zip(quota, _by_shard(linked, shards))]
+        wish = {(r["label"], r["target"]): r["count"] for r in move.groupBy("label", "target").count().collect()}
+        allowed = feasible(wish, room)
+        limit = _at([allowed.get((a, b), 0) for a in range(shards) for b in range(shards)], F.col("label") * shards + F.col("target"))
+        taken = positions(move, ["label", "target"], "at", ["key"], bits, out="rank").filter(F.col("rank") < limit)
+        taken = scratch.keep(taken.select("key", "g", "target").dropDuplicates(["key", "g"]), f"taken-{least}-{k}")
         if taken.isEmpty():
             break
         moved = linked.join(taken, ["key", "g"], "left").withColumn("label", F.coalesce("target", "label")).drop("target")
-        moved = scratch.keep(moved, f"linked-{k}")
+        moved = scratch.keep(moved, f"linked-{least}-{k}")
         # Documents without links: those beyond what a shard has left for them go where places are free, in order.
-        single = rows.filter("m = 1")
+        single = rows.filter(F.col("m") <= least)
         free = [q - s for q, s in zip(quota, _by_shard(moved, shards))]
         alone = _by_shard(single, shards)
         over = [max(0, a - f) for a, f in zip(alone, free)]
@@ -61,7 +81,7 @@ def propagate(rows: DataFrame, shards: int, n: int, scratch: Scratch, rounds: in
         number = F.col("rank") + _at([sum(over[:b]) for b in range(shards)], F.col("label"))
         goal = reduce(lambda rest, b: F.when(number < upto[b], F.lit(b)).otherwise(rest), reversed(range(shards)), F.col("label"))
         single = ranked.withColumn("label", F.when(F.col("rank") < _at(over, F.col("label")), goal).otherwise(F.col("label")).cast("int")).drop("rank")
-        rows = scratch.keep(moved.unionByName(single), f"rows-{k}")
+        rows = scratch.keep(moved.unionByName(single), f"rows-{least}-{k}")
     return rows
 
 
@@ -79,7 +99,9 @@ def shard(df: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.join(groups, "g", "left").fillna(1, ["m"])
     rows = positions(scratch.keep(rows, "grouped"), [], "at", ["key"], cell_bits(n), out="r")
     rows = scratch.keep(rows.withColumn("label", (F.col("r") % shards).cast("int")).drop("r"), "rows-0")
-    rows = propagate(rows, shards, n, scratch)
+    # Groups that need much of a shard first; the small ones then find each other in what is left.
+    for least in sorted({max(1, n // shards // 2), 1}, reverse=True):
+        rows = propagate(rows, shards, n, scratch, least)
     slots = positions(rows, ["label"], "at", ["key"], cell_bits(n), out="slot")
     return slots.select(doc_id("key").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("label").alias("shard"), "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
