@@ -2,7 +2,7 @@
 
 Sets that are equal are one node. In each bucket of a band every node is first held against the bucket's smallest node, so a bucket of any size gives
 no more candidates than it has nodes. Where that leaves a bucket in several components, the nodes outside its largest component are held against all
-of its nodes, block against block inside tasks; only pairs whose signatures agree leave a task. So every pair that shares a bucket is decided or
+of its nodes, block against block inside tasks; only links between components leave a task. So every pair that shares a bucket is decided or
 already connected, and none is listed for the mere sharing.
 """
 
@@ -22,7 +22,8 @@ SHINGLE = 5
 BANDS, ROWS = 40, 5
 #: Links share `SHARE` hundredths of the union; a signature passes at `LEAST` of its minima (5 standard errors below the share).
 SHARE, LEAST = 75, 0.6
-BLOCK = 256
+#: Nodes and characters of a block, on average.
+BLOCK, BLOCK_CHARS = 512, 2_000_000
 _SEED = np.random.default_rng(20240501)
 _FACTOR = _SEED.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = (_SEED.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
@@ -88,16 +89,36 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Two blocks of nodes of one bucket to the pairs of different components whose signatures agree."""
+    """Two blocks of nodes of one bucket to links between components: signatures first, then the full sets, each pair in its first shared bucket only.
+
+    Components that a link has joined are one from then on, so a task gives fewer links than it has nodes, however many pairs are similar."""
+    words, columns = _Words(), ("band", "nodes", "comps", "sigs", "texts", "nodes2", "comps2", "sigs2", "texts2")
     for batch in batches:
-        out = []
-        for nodes, comps, sigs, nodes2, comps2, sigs2 in zip(*(batch[c] for c in ("nodes", "comps", "sigs", "nodes2", "comps2", "sigs2"))):
-            a, b = np.stack(list(sigs)), np.stack(list(sigs2))
-            x, y = np.asarray(comps), np.asarray(comps2)
+        out = set()
+        for band, nodes, comps, sigs, texts, nodes2, comps2, sigs2, texts2 in zip(*(batch[c] for c in columns)):
+            joined: dict[int, int] = {}
+            def root(c):
+                while c in joined:
+                    c = joined[c]
+                return c
+            sets: dict[tuple[int, int], np.ndarray] = {}
+            def of(side, k):
+                if (side, k) not in sets:
+                    sets[side, k] = shingles((texts, texts2)[side][k], words)
+                return sets[side, k]
+            a, b, other = np.stack(list(sigs)), np.stack(list(sigs2)), np.asarray(comps2)
             for i in range(len(a)):
-                near = ((b == a[i]).mean(1) >= LEAST) & (y != x[i])
-                out += [(min(nodes[i], v), max(nodes[i], v)) for v in np.asarray(nodes2)[near]]
-        yield pd.DataFrame(sorted(set(out)), columns=["u", "v"], dtype="int64")
+                same = b == a[i]
+                for j in np.flatnonzero((same.mean(1) >= LEAST) & (other != comps[i])).tolist():
+                    c, d = root(comps[i]), root(comps2[j])
+                    if c == d or int(same[j].reshape(BANDS, ROWS).all(1).argmax()) != band:
+                        continue
+                    x, y = of(0, i), of(1, j)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= SHARE * (len(x) + len(y) - both):
+                        joined[max(c, d)] = min(c, d)
+                        out.add((min(nodes[i], nodes2[j]), max(nodes[i], nodes2[j])))
+        yield pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -142,7 +163,7 @@ def near_groups(df: DataFrame) -> DataFrame:
     sketch = scratch.keep(docs.mapInPandas(_sketch, "key long, n_shingles long, set_key binary, minima array<int>"), "sketch")
     sets = scratch.keep(sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("key").alias("node"), F.first("minima").alias("sig")), "sets")
     bands = F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)))
-    bands = scratch.keep(sets.select("node", F.explode(bands).alias("bucket")), "bands")
+    bands = scratch.keep(sets.select("node", F.posexplode(bands).alias("band", "bucket")), "bands")
     leaders = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     leaders = scratch.keep(leaders, "leaders")
     shared = scratch.keep(bands.join(leaders, "bucket"), "shared")
@@ -159,19 +180,25 @@ def near_groups(df: DataFrame) -> DataFrame:
     found = components(links, scratch, "stars-1")
 
     # Buckets that are still in several components: the rest against all.
-    part = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    part = shared.select("bucket", "band", "node").join(found, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("comp"))
     part = scratch.keep(part, "part")
     sizes = part.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     broken = (sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
               .filter("m > most").select("bucket", "main", F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("blocks2")))
-    rows = scratch.keep(part.join(broken, "bucket").join(sets.select("node", "sig"), "node"), "open")
+    # Where an id repeats, each of its signatures meets each of its texts: they are one node.
+    known = sets.select("node", "sig").join(texts, "node")
+    rows = scratch.keep(part.join(broken, "bucket").join(known, "node"), "open")
+    heavy = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("heavy"))
+    rows = rows.join(heavy, "bucket").withColumns({c: F.greatest(c, "heavy") for c in ("blocks", "blocks2")})
+
     def gathered(rows, n, suffix):
         at = F.pmod(F.xxhash64("node", F.lit(suffix)), F.col(n)).alias(f"at{suffix}")
-        return rows.groupBy("bucket", at).agg(*(F.collect_list(c).alias(f"{out}{suffix}") for c, out in (("node", "nodes"), ("comp", "comps"), ("sig", "sigs"))))
+        kinds = (("node", "nodes"), ("comp", "comps"), ("sig", "sigs"), ("text", "texts"))
+        return rows.groupBy("bucket", at).agg(F.first("band").alias(f"band{suffix}"), *(F.collect_list(c).alias(f"{out}{suffix}") for c, out in kinds))
+
     left, right = gathered(rows, "blocks", ""), gathered(rows.filter("comp <> main"), "blocks2", "2")
     more = left.join(right, "bucket").mapInPandas(_compare, "u long, v long").distinct()
-    more = scratch.keep(more, "pairs-3")
-    links = scratch.keep(links.unionByName(_verified(more, texts)), "links")
+    links = scratch.keep(links.unionByName(more), "links")
 
     # Copies of a set, and repeated ids, follow their node.
     nodes = sketch.join(sets.select("set_key", "node"), "set_key", "left").select("key", "n_shingles", F.coalesce("node", "key").alias("node"))
