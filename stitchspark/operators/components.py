@@ -16,11 +16,14 @@ from .pixels import row_runs
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names; a scratch folder only where none is named."""
+    """Checkpoint in the folder the session names; only a local session, whose executors share its disk, may go without one."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 

@@ -53,6 +53,9 @@ class Policy:
     gains: Sequence[tuple[str, str, float]] = ()
     min_score: float | None = None
     family_bonus: Mapping[str, float] = field(default_factory=dict)
+    #: The reason of rows below min_score, and columns that a promoted row must not have at `base_keep`.
+    score_reason: str = "score_too_low"
+    never_base: tuple[str, ...] = ()
 
 
 def measure(name: str) -> Column:
@@ -72,6 +75,8 @@ def _holds(rule: Reject) -> Column:
         return F.col(rule.measure).isin(*rule.limit)
     if rule.op == "not in":
         return ~F.coalesce(F.col(rule.measure).isin(*rule.limit), F.lit(False))
+    if rule.op == "null":
+        return F.col(rule.measure).isNull()
     left = measure(rule.measure)
     return {"<": left < rule.limit, ">": left > rule.limit, ">=": left >= rule.limit}[rule.op]
 
@@ -123,7 +128,7 @@ def apply_policy(joined: DataFrame, policy: Policy) -> DataFrame:
         reason = reason.when(F.col("gains") == "", F.lit("no_material_improvement"))
         passed = F.col("gains")
         if policy.min_score is not None:
-            reason = reason.when(F.col("policy_score") < policy.min_score, F.lit("score_too_low"))
+            reason = reason.when(F.col("policy_score") < policy.min_score, F.lit(policy.score_reason))
     df = df.withColumn("refused", reason)
     return df.withColumns({"gate_pass": F.col("refused").isNull(), "gate_reason": F.coalesce("refused", passed)}).drop("refused")
 

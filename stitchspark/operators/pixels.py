@@ -71,13 +71,12 @@ def stitch_maps(hits: DataFrame) -> DataFrame:
     return px.join(p99, "design_id").withColumn("density", density).drop("p99")
 
 
-def last_writer_maps(hits: DataFrame, max_segment: int = 65534) -> DataFrame:
+def last_writer_maps(hits: DataFrame) -> DataFrame:
     """Attributes of the last segment drawn over each pixel."""
     order = (F.col("segment_id") - 1) / F.greatest(F.lit(1), F.col("n_segments") - 1)
     kind = F.when(F.col("length_px") <= 1.8, 1).when(F.col("length_px") <= 6.0, 2).otherwise(3)
-    kept = F.when(F.col("segment_id") <= max_segment, F.col("segment_id"))
     row = F.struct("color_layer", order.alias("path_order"), kind.alias("stitch_type"))
-    return hits.groupBy(*PX).agg(F.max_by(row, "segment_id").alias("r"), F.max(kept).alias("segment_id")).select(*PX, "r.*", "segment_id")
+    return hits.groupBy(*PX).agg(F.max_by(row, "segment_id").alias("r"), F.max("segment_id").alias("segment_id")).select(*PX, "r.*", "segment_id")
 
 
 def event_maps(fitted: DataFrame, events: DataFrame, size: int = 64, line_width: int = 1, point_radius: int = 2) -> DataFrame:
@@ -328,12 +327,12 @@ def class_histogram_entropy(typed: DataFrame, classes: Sequence[int] = (1, 2, 3)
                                           half_even(ent, 6).alias("stitch_type_entropy"))
 
 
-def rank_colors(pixels: DataFrame, background: int = 8, max_labels: int = 254) -> DataFrame:
+def rank_colors(pixels: DataFrame, background: int = 8) -> DataFrame:
     """Label colors by falling pixel count (distinct colors of one canvas bound the window)."""
     counts = pixels.filter((F.col("r") > background) | (F.col("g") > background) | (F.col("b") > background)).groupBy(
         "design_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("pixels"))
     w = W.partitionBy("design_id").orderBy(F.col("pixels").desc(), "r", "g", "b")
-    return counts.withColumn("label", F.row_number().over(w).cast("long")).filter(F.col("label") <= max_labels)
+    return counts.withColumn("label", F.row_number().over(w).cast("long"))
 
 
 def background_labels(labelled: DataFrame, palette: DataFrame, height: int, width: int, light: float = 235.0,

@@ -49,7 +49,7 @@ GUARDED = Policy(
     gains=[("loss_reduced", f"-d:{LOSS}", 0.0005), ("jump_reduced", f"-d:{JUMP}", 1.0), ("trim_reduced", f"-d:{TRIM}", 1.0),
            ("coverage_improved", f"d:{COV}", 0.01), ("strict_precision_improved", f"d:{PREC}", 0.01),
            ("adaptive_coverage_improved", f"d:{ACOV}", 0.01), ("adaptive_precision_improved", f"d:{APREC}", 0.005)],
-    min_score=0.0)
+    min_score=0.0, score_reason="guarded_score_too_low")
 
 TEXT_RESCUE = Policy(
     "text_precision_rescue",
@@ -149,13 +149,14 @@ TEXTURE_TEACHER = Policy(
 
 MULTIFAMILY = Policy(
     "multifamily_safety",
-    [Reject("family_rejected", "deployed_family", "is", "reject"), Reject("hard_fail", "quality_level", "is", "hard_fail"),
+    [Reject("missing_prediction_dst", "round_trip_parse_success", "not in", (True,)),
+     Reject("family_rejected", "deployed_family", "is", "reject"), Reject("hard_fail", "quality_level", "is", "hard_fail"),
      *increases({VIS: 0.0, OFF: 0.0, LOSS: 0.01, JUMP: 2.0, TRIM: 2.0}, INCREASE),
      Reject("coverage_drop", f"d:{COV}", "<", -0.015), Reject("precision_drop", f"d:{PREC}", "<", -0.03)],
     "safe_multifamily_candidate",
     [Term(2.0, f"-d:{LOSS}"), Term(0.04, f"-d:{JUMP}"), Term(0.05, f"-d:{TRIM}"), Term(0.8, f"d:{COV}"), Term(0.6, f"d:{PREC}"),
      Term(0.05, "selector_margin_vs_reject", "positive")],
-    min_score=0.05)
+    min_score=0.05, never_base=("candidate_family", "deployed_family"))
 
 PREVIEW_VETO = Policy(
     "preview_gated",
@@ -175,7 +176,8 @@ PREVIEW_RERANK = Policy(
 
 PREVIEW_SWEEP = Policy(
     "preview_sweep",
-    [Reject("missing_output", "round_trip_parse_success", "in", (False,)), *PREVIEW_LADDER],
+    [Reject("missing_prediction_dst", "round_trip_parse_success", "not in", (True,)),
+     *(Reject(f"missing_{m}", m, "null", None) for m in ("unified_loss", "coverage_ratio", "stitch_precision_ratio")), *PREVIEW_LADDER],
     "preview_sweep_candidate_pass",
     [Term(6.5, f"d:{PREV}"), Term(0.25, f"d:{TEX}"), Term(0.35, f"d:{PREC}"), Term(-0.85, f"d:{LOSS}", "positive"), *_PREVIEW_TERMS],
     family_bonus={"satin_like": 0.0005, "dt_satin": 0.0005, "outline_border": 0.0005})
@@ -185,7 +187,7 @@ TEXTURE_OBJECTIVE = Policy(
     [Reject("round_trip_parse_failed", "round_trip_parse_success", "in", (False,)),
      Reject("hard_fail_quality_level", "quality_level", "is", "hard_fail"),
      Reject("preview_gain_too_small", f"d:{PREV}", "<", 0.001), Reject("texture_regression_too_large", f"d:{TEX}", "<", -0.05),
-     Reject("visible_connector_increase", f"d:{VIS}", ">", 0.0),
+     Reject("visible_connector_absolute", f"d:{VIS}", ">", 0.0), Reject("visible_connector_increase", f"d:{VIS}", ">", 0.0),
      Reject("off_mask_absolute", OFF, ">", 0.5), Reject("off_mask_increase", f"d:{OFF}", ">", 0.25),
      Reject("loss_increase", f"d:{LOSS}", ">", 0.12), Reject("jump_increase", f"d:{JUMP}", ">", 20.0),
      Reject("trim_increase", f"d:{TRIM}", ">", 8.0), Reject("coverage_drop", f"d:{COV}", "<", -0.03),

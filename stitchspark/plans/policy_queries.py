@@ -30,11 +30,13 @@ def _m(name: str) -> str:
 
 
 def _rule(rule) -> str:
-    text = lambda v: "false" if v is False else f"'{v}'"
+    text = lambda v: str(v).lower() if isinstance(v, bool) else f"'{v}'"
     if rule.op == "is":
         return f"{rule.measure} = '{rule.limit}'"
     if rule.op in ("in", "not in"):
         return f"{rule.measure} {rule.op} ({', '.join(map(text, rule.limit))})"
+    if rule.op == "null":
+        return f"{rule.measure} IS NULL"
     return f"{_m(rule.measure)} {rule.op} {rule.limit:.12g}::DOUBLE"
 
 
@@ -55,7 +57,7 @@ def ladder_sql(p: Policy, source: str) -> str:
     passed, gains = f"'{p.pass_reason}'", "''"
     if p.gains:
         gains = "concat_ws('|', " + ", ".join(f"CASE WHEN {_m(m)} >= {x} THEN '{n}' END" for n, m, x in p.gains) + ")"
-        rules += ["WHEN gains = '' THEN 'no_material_improvement'", f"WHEN policy_score < {p.min_score} THEN 'score_too_low'"]
+        rules += ["WHEN gains = '' THEN 'no_material_improvement'", f"WHEN policy_score < {p.min_score} THEN '{p.score_reason}'"]
         passed = "gains"
     return f"""SELECT *, reason IS NULL AS gate_pass, coalesce(reason, {passed}) AS gate_reason FROM (
   SELECT *, CASE {' '.join(rules)} END AS reason FROM (SELECT *, {_terms(p)} AS policy_score, {gains} AS gains FROM {source}))"""
@@ -63,6 +65,7 @@ def ladder_sql(p: Policy, source: str) -> str:
 
 def promote_sql(p: Policy, gated: str) -> str:
     limit = f" AND policy_score >= {p.min_score}" if p.min_score is not None and not p.gains else ""
+    limit += "".join(f" AND {c} <> 'base_keep'" for c in p.never_base)
     direction = "DESC" if p.best == "max" else "ASC"
     tie = "unified_loss, ordinal" if p.gains else "ordinal"
     return f"""SELECT b.sample_id, b.source_name, b.category, b.candidate AS base_candidate, coalesce(g.candidate, b.candidate) AS chosen_candidate,
@@ -100,6 +103,8 @@ def _register(p: Policy) -> None:
         def promoted(spark, sf):
             gated, base = gated_pool(spark, sf, p)
             ties = (-F.col("unified_loss"), -F.col("ordinal")) if p.gains else None
+            for c in p.never_base:
+                gated = gated.filter(F.col(c) != "base_keep")
             return tidy(gates.promote(gated, base, p, ties))
 
 

@@ -41,7 +41,8 @@ def sink_csv(df: DataFrame, path: str) -> None:
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("mode", "DROPMALFORMED")
+    """Lines as rows; a line that is no JSON object fails the read."""
+    reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
