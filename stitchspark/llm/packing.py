@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,12 @@ class _Chunks(dict):
         return ids
 
 
+@cache
+def _chunks(tokenizer: str) -> _Chunks:
+    """One table for all tasks that a Python worker runs."""
+    return _Chunks(tokenizer)
+
+
 def token_ids(text: str | None, chunks: _Chunks) -> bytes:
     """Ids of a whole text, then id 0.
 
@@ -53,7 +60,7 @@ def token_ids(text: str | None, chunks: _Chunks) -> bytes:
 
 def _pieces(tokenizer: str, size: int, with_ids: bool):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = _Chunks(tokenizer)
+        chunks = _chunks(tokenizer)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
