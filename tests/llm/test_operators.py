@@ -9,6 +9,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -236,10 +238,18 @@ def test_packing(docs):
     assert len(bins) <= -(-sum(r["length"] for r in got) // 2048) + 2
 
 
-def test_token_ids_of_odd_spaces():
-    tokenizer, chunks = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json")), packing._Chunks(packing.public_tokenizers.path("byte_bpe_50k.json"))
-    for t in ("", " ", "a  b", "a \n b", " a", "a ", "a  b", "it's  5\t\tx", "é  z", "a <|endoftext|> b", "x<|endoftext|>", "日本 語", "\x1c a \x85 b"):
-        assert packing.token_ids(t, chunks) == np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes(), repr(t)
+def test_token_ids_of_odd_texts():
+    files = [packing.public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    tokenizer, encoder = Tokenizer.from_file(files[0]), packing._Encoder(*files)
+    for t in ("", " ", "a  b", "a \n b", " a", "a ", "a  b", "it's  5\t\tx", "é  z", "a <|endoftext|> b", "x<|endoftext|>", "日本 語", "\x1c a \x85 b", "ab" * 3000, "a" + " " * 3000 + "b", "\u00e9" * 1990):
+        assert encoder.ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [0], repr(t)
+
+
+@given(st.text(max_size=60))
+def test_token_ids_of_any_text(text):
+    files = [packing.public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
+    encoder = packing._encoder(*files)
+    assert encoder.ids(text).tolist() == encoder.whole.encode(text, add_special_tokens=False).ids + [0]
 
 
 def test_fill():
