@@ -343,7 +343,7 @@ def background_labels(labelled: DataFrame, palette: DataFrame, height: int, widt
     per = labelled.groupBy("design_id", "label").agg(F.count(F.lit(1)).alias("area"), F.sum(edges).alias("border"))
     total = per.groupBy("design_id").agg(F.max_by("label", F.struct("border", (-F.col("label")).alias("l"))).alias("_top"))
     bright = (0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")) >= light
-    j = per.join(total, "design_id").join(F.broadcast(palette), "label")
+    j = per.join(total, "design_id").join(palette, "label")
     dominant = (F.col("label") == F.col("_top")) & (F.col("border") / float(2 * (height + width)) > border_share)
     return j.filter(dominant | (bright & (F.col("area") / float(height * width) > area_share))).select("design_id", "label", "area", "border")
 

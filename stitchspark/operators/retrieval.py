@@ -14,18 +14,12 @@ from ..functions.scalars import planner_prior
 FEATURES = ("area_ratio", "bbox_aspect", "density_mean", "centerline_ratio", "boundary_ratio", "running_ratio", "satin_ratio", "fill_ratio")
 
 
-def feature_distance(query: Mapping[str, float | None], features: Sequence[str], scales: Mapping[str, float] | None = None) -> Column:
-    """Root mean square difference over the features both sides have."""
-    total, used = F.lit(0.0), F.lit(0)
-    for f in features:
-        q = query.get(f)
-        if q is None:
-            continue
-        v = F.col(f).cast("double")
-        d = (F.lit(float(q)) - v) / float((scales or {}).get(f, 1.0))
-        total = total + F.coalesce(d * d, F.lit(0.0))
-        used = used + v.isNotNull().cast("int")
-    return F.sqrt(total / F.greatest(F.lit(1), used))
+def feature_distance(own: Column, query: Column, scales: Sequence[float]) -> Column:
+    """Root mean square difference of two arrays of features, over the features that both have."""
+    parts = F.zip_with(F.zip_with(query, own, lambda q, v: q - v), F.array(*[F.lit(float(x)) for x in scales]), lambda d, x: (d / x) * (d / x))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("used"))
+    add = lambda a, d: F.struct((a["total"] + F.coalesce(d, F.lit(0.0))).alias("total"), (a["used"] + d.isNotNull().cast("int")).alias("used"))
+    return F.aggregate(parts, start, add, lambda a: F.sqrt(a["total"] / F.greatest(F.lit(1), a["used"])))
 
 
 def knn(index: DataFrame, queries: Sequence[Mapping], k: int = 5, id_col: str = "id", features: Sequence[str] = FEATURES,
@@ -37,9 +31,12 @@ def knn(index: DataFrame, queries: Sequence[Mapping], k: int = 5, id_col: str =
     """
     scales = scales if scales is not None else {"bbox_aspect": 2.0}
 
+    own = index.select(F.col(id_col), F.array(*[F.col(f).cast("double") for f in features]).alias("_own"))
+
     def one(part: Sequence[Mapping]) -> DataFrame:
-        hits = F.array(*[F.struct(F.lit(q["query_id"]).alias("query_id"), feature_distance(q, features, scales).alias("distance")) for q in part])
-        wide = index.withColumn("_h", F.explode(hits)).select(F.col("_h.query_id").alias("query_id"), F.col(id_col), F.col("_h.distance").alias("distance"))
+        asked = F.array(*[F.struct(F.lit(q["query_id"]).alias("query_id"), F.array(*[F.lit(q.get(f)).cast("double") for f in features]).alias("v")) for q in part])
+        far = lambda q: F.struct(q["query_id"].alias("query_id"), feature_distance(F.col("_own"), q["v"], [scales.get(f, 1.0) for f in features]).alias("distance"))
+        wide = own.withColumn("_h", F.explode(F.transform(asked, far))).select(F.col("_h.query_id").alias("query_id"), F.col(id_col), F.col("_h.distance").alias("distance"))
         w = W.partitionBy("query_id").orderBy("distance", id_col)
         return wide.withColumn("match_no", F.row_number().over(w).cast("long")).filter(F.col("match_no") <= k)
 

@@ -511,17 +511,18 @@ def unusable_pairs(spark, sf):
 
 
 # ---- retrieval ----
-_E = tuple(f"f{i}" for i in range(8))
-cte("index_items", "SELECT vec_id AS id, label, 's' || (vec_id %% 40) AS source, %s FROM embeddings" % ", ".join(f"round_even(embedding[{i + 1}]::DOUBLE, 6) AS f{i}" for i in range(8)))
+#: All dimensions of an embedding.
+_E = tuple(f"f{i}" for i in range(64))
+cte("index_items", "SELECT vec_id AS id, label, 's' || (vec_id %% 40) AS source, %s FROM embeddings" % ", ".join(f"round_even(embedding[{i + 1}]::DOUBLE, 6) AS f{i}" for i in range(len(_E))))
 
 
 def index_items(spark, sf):
     return Tables(spark, sf).embeddings.select(F.col("vec_id").alias("id"), "label", F.concat(F.lit("s"), (F.col("vec_id") % 40).cast("string")).alias("source"),
-                                               *[half_even(F.get("embedding", F.lit(i)).cast("double"), 6).alias(f"f{i}") for i in range(8)])
+                                               *[half_even(F.get("embedding", F.lit(i)).cast("double"), 6).alias(f"f{i}") for i in range(len(_E))])
 
 
-cte("matches", "SELECT query_id, id, sqrt(d2 / 8) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round_even(sqrt(d2 / 8), 9), id) AS match_no FROM (SELECT q.label AS query_id, i.id, %s AS d2 FROM index_items i, (SELECT label, %s FROM index_items GROUP BY 1) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round_even(sqrt(d2 / 8), 9), id) <= 5" % (
-    " + ".join(f"((q.f{i} - i.f{i}) / {2.0 if i == 1 else 1.0}::DOUBLE) ** 2" for i in range(8)), ", ".join(f"avg(f{i}) AS f{i}" for i in range(8))), "index_items")
+cte("matches", "SELECT query_id, id, sqrt(d2 / 64) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round_even(sqrt(d2 / 64), 9), id) AS match_no FROM (SELECT q.label AS query_id, i.id, %s AS d2 FROM index_items i, (SELECT label, %s FROM index_items GROUP BY 1) q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round_even(sqrt(d2 / 64), 9), id) <= 5" % (
+    " + ".join(f"((q.f{i} - i.f{i}) / {2.0 if i == 1 else 1.0}::DOUBLE) ** 2" for i in range(len(_E))), ", ".join(f"avg(f{i}) AS f{i}" for i in range(len(_E)))), "index_items")
 
 
 def matches(spark, sf):
