@@ -1,6 +1,6 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant (MCD).
 
-Each document is a vector of transformed statistics. For each language and source the mean and covariance of the three quarters of its documents that
+Each document is a vector of transformed statistics. For each language and source the mean and covariance of the half of its documents that
 lie closest together are found by concentration steps (distances, the closest subset, its moments, again); a document is rejected where its
 Mahalanobis distance is beyond a quantile of the chi-square distribution. Moments and histograms of distances are aggregates that are combined
 before the shuffle, and the Cholesky factor of a covariance is a handful of column expressions on one row per group.
@@ -18,8 +18,8 @@ from .common import SPACE, Scratch, bound, doc_id, doc_key, n_words, whole_text
 X = ("x0", "x1", "x2", "x3", "x4")
 #: Standard deviations that are added to those of a group, so that a statistic that is the same everywhere rejects nothing by a hair.
 FLOORS = (0.5, 0.15, 0.08, 0.10, 0.15)
-#: The share of a group's documents that the estimates rest on, concentration steps, and the least group that has estimates of its own.
-SUBSET, STEPS, LEAST = 0.75, 4, 100
+#: The share of a group's documents that the estimates rest on (at a half, up to half of a group may be junk), concentration steps, and the least group that has estimates of its own.
+SUBSET, STEPS, LEAST = 0.5, 4, 100
 #: Chi-square quantiles for five statistics: the median, and that which one in a million exceeds.
 MEDIAN, CUTOFF = 4.3515, 35.888
 

@@ -141,6 +141,16 @@ def test_quality_outliers(spark):
     assert not any(got[i] for i in got if i >= 1000) and all(got[i] for i in got if i < 1000)
 
 
+@pytest.mark.parametrize("junk", (120, 267, 360))
+def test_quality_outliers_that_are_many(spark, junk):
+    """A quarter, 40 and 47 % of a group are junk."""
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(60, 200)))
+    rows = [(i, text(), "en", "a") for i in range(400)] + [(1000 + i, " ".join(w + rng.choice(["###", "", "%%$"]) for w in text().split()), "en", "a") for i in range(junk)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in got if i >= 1000) and all(got[i] for i in got if i < 1000)
+
+
 def test_mix(docs):
     documents, parts = mixing.mix(docs, block_words=8)
     rows = documents.collect()
