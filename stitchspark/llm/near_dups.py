@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, doc_id, doc_key
+from .common import NO_ID, Scratch, doc_id, doc_key, whole_text
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -70,7 +70,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = _Words()
     for batch in batches:
         sets = [shingles(t, words) for t in batch["text"]]
-        yield pd.DataFrame({"key": batch["key"], "n_shingles": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+        yield pd.DataFrame({"key": batch["key"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                             "minima": [minima(s) if len(s) else None for s in sets]})
 
 
@@ -152,16 +152,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_groups(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `df` (doc_id, text; other columns are not read).
-
-    Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Texts of fewer than five words are one shingle.
-    Rows that repeat a doc_id are one node: what links to one of them links to all. Null doc_ids are one node too, after all others, and are returned
-    as null (kept: null). An empty table gives no rows."""
+def _grouped(df: DataFrame) -> DataFrame:
+    """key, text_hash, n_shingles, comp (the least key of the row's group), kept for each row of `df`. A node is a set, whatever ids its texts have."""
     scratch = Scratch(df.sparkSession)
-    docs = df.select(doc_key().alias("key"), "text")
-    sketch = scratch.keep(docs.mapInPandas(_sketch, "key long, n_shingles long, set_key binary, minima array<int>"), "sketch")
-    sets = scratch.keep(sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("key").alias("node"), F.first("minima").alias("sig")), "sets")
+    docs = df.select(doc_key().alias("key"), F.xxhash64(whole_text()).alias("text_hash"), "text")
+    sketch = scratch.keep(docs.mapInPandas(_sketch, "key long, text_hash long, n_shingles long, set_key binary, minima array<int>"), "sketch")
+    sets = sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("key", "text_hash")).alias("head"), F.first("minima").alias("sig"))
+    sets = scratch.keep(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "head.key", "head.text_hash", "sig"), "sets")
     bands = F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)))
     bands = scratch.keep(sets.select("node", F.posexplode(bands).alias("band", "bucket")), "bands")
     leaders = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
@@ -174,8 +171,10 @@ def near_groups(df: DataFrame) -> DataFrame:
     agree = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     pairs = scratch.keep(pairs.join(sig("v"), "v").join(sig("u"), "u").filter(agree >= int(np.ceil(LEAST * BANDS * ROWS))).select("u", "v"), "pairs-2")
     involved = shared.select("node").distinct()
-    texts = docs.join(involved, F.col("key") == F.col("node"), "left_semi").withColumnRenamed("key", "node")
-    texts = scratch.keep(texts, "texts")
+    heads = scratch.keep(sets.join(involved, "node", "left_semi").select("node", "key", "text_hash"), "heads")
+    texts = scratch.keep(docs.join(heads, ["key", "text_hash"]).select("node", "text"), "texts")
+    if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat id and text
+        texts = scratch.keep(texts.groupBy("node").agg(F.first("text").alias("text")), "texts-once")
     links = scratch.keep(_verified(pairs, texts), "links-1")
     found = components(links, scratch, "stars-1")
 
@@ -185,7 +184,6 @@ def near_groups(df: DataFrame) -> DataFrame:
     sizes = part.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     broken = (sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
               .filter("m > most").select("bucket", "main", F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("blocks2")))
-    # Where an id repeats, each of its signatures meets each of its texts: they are one node.
     known = sets.select("node", "sig").join(texts, "node")
     rows = scratch.keep(part.join(broken, "bucket").join(known, "node"), "open")
     heavy = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("heavy"))
@@ -200,15 +198,28 @@ def near_groups(df: DataFrame) -> DataFrame:
     more = left.join(right, "bucket").mapInPandas(_compare, "u long, v long").distinct()
     links = scratch.keep(links.unionByName(more), "links")
 
-    # Copies of a set, and repeated ids, follow their node.
-    nodes = sketch.join(sets.select("set_key", "node"), "set_key", "left").select("key", "n_shingles", F.coalesce("node", "key").alias("node"))
-    nodes = scratch.keep(nodes, "nodes")
-    final = scratch.keep(components(links.unionByName(nodes.filter("node <> key").select(F.col("key").alias("u"), F.col("node").alias("v"))), scratch, "stars"), "components")
-    return (nodes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key"))
-            .select(doc_id("key").alias("doc_id"), "n_shingles", doc_id("comp").alias("component_id"), (doc_id("key") == doc_id("comp")).alias("kept")))
+    # Copies of a set follow their node; the least id of a group stands for it, and of its texts that of the least set.
+    final = scratch.keep(components(links, scratch, "stars"), "components")
+    member = sets.select("node", "set_key", "key").join(final, "node", "left").select("set_key", "key", F.coalesce("component", "node").alias("component"))
+    member = scratch.keep(member, "member")
+    least = member.groupBy("component").agg(F.min(F.struct("key", "set_key")).alias("least"))
+    least = scratch.keep(member.join(least, "component").select("set_key", "least"), "least")
+    same = (F.col("key") == F.col("least.key")) & (F.col("set_key") == F.col("least.set_key"))
+    return (sketch.drop("minima").join(least, "set_key", "left")
+            .select("key", "text_hash", "n_shingles", F.coalesce("least.key", "key").alias("comp"), F.coalesce(same, F.lit(True)).alias("kept")))
+
+
+def near_groups(df: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of `df` (doc_id, text; other columns are not read).
+
+    Null and empty texts, and texts of white space, have an empty set and are linked with nothing. Texts of fewer than five words are one shingle.
+    Rows that repeat a doc_id with other texts are linked by their texts only; component_id is the least doc_id of a row's group. Null doc_ids come after
+    all others and are returned as null (kept: null). An empty table gives no rows."""
+    kept = F.when(F.col("key") != NO_ID, F.col("kept"))
+    return _grouped(df).select(doc_id("key").alias("doc_id"), "n_shingles", doc_id("comp").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(df: DataFrame) -> DataFrame:
-    """The rows of `df` that stay: one document, that of the smallest doc_id, of each group. Rows without a doc_id all stay."""
-    gone = near_groups(df).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of `df` that stay: one text, of the smallest doc_id, of each group. Rows without a doc_id all stay."""
+    gone = _grouped(df).filter(~F.col("kept") & (F.col("key") != NO_ID)).select(F.col("key").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return df.join(gone, (df["doc_id"] == gone["_gone"]) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == gone["_hash"]), "left_anti")

@@ -98,6 +98,21 @@ def test_near_groups_in_one_bucket(spark):
     assert all(got[i] == 0 for i in range(30)) and all(got[i] == i for i in range(30, 330))
 
 
+def test_repeated_ids_link_nothing(spark):
+    """Unrelated texts of one id, or without an id, are no bridge; what resembles nothing that stays, stays."""
+    text = lambda name, end="": " ".join(f"{name}{j}" for j in range(80)) + end
+    rows = [(3, text("x", " more")), (7, text("x")), (7, text("y")), (9, text("y", " more")), (None, text("z")), (None, text("v")), (None, text("v")),
+            (20, text("z", " more")), (21, text("v", " more")), (22, text("w")), (22, text("w")), (22, text("w", " more"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.near_groups(df).collect())
+    once = collections.Counter((r["doc_id"], r["component_id"]) for r in near_dups.near_groups(df).collect())
+    assert once == collections.Counter([(3, 3), (7, 3), (7, 7), (9, 7), (None, 20), (None, 21), (None, 21), (20, 20), (21, 21), (22, 22), (22, 22), (22, 22)])
+    assert got[7, 3, False] == got[7, 7, True] == got[9, 7, False] == 1 and got[22, 22, True] in (1, 2)
+    stay = collections.Counter(near_dups.drop_near_copies(df).select("doc_id", "text").collect())
+    assert stay[3, rows[0][1]] == stay[7, rows[2][1]] == 1 and not stay[7, rows[1][1]] and not stay[9, rows[3][1]]
+    assert len({t for i, t in stay if i == 22}) == 1 and sum(n for (i, _), n in stay.items() if i is None) == 3
+
+
 def test_components(spark):
     from stitchspark.llm.common import Scratch
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)], "u long, v long")
