@@ -11,14 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_id, doc_key
 
 BUCKETS, GRAMS = 2**15, (1, 2, 3)
-#: The most labelled documents of a language that are learned from, the first by hash; and the most languages, the most frequent.
-SAMPLE, LANGUAGES = 400, 64
+#: The most labelled documents of a language that are learned from, the first by hash; where there are more languages than `LANGUAGES`, all are learned
+#: from fewer documents each, but not from fewer than `FEWEST`.
+SAMPLE, LANGUAGES, FEWEST = 400, 64, 10
 EPOCHS, ALPHA, BETA, L1, L2 = 6, 0.5, 1.0, 0.02, 0.01
 _MIX = np.array([2654435761, 2246822519, 3266489917], np.uint64)
 
@@ -95,6 +96,16 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def drawn(known: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """doc_id, text, lang, place: the documents of the least hashes of each language, `sample` at most. sizes: the documents of each language."""
+    # A bound from the count, at least doubled, then the exact cut of what is left.
+    share = known.sparkSession.createDataFrame([(x, min(1.0, (2 * sample + 64) / n)) for x, n in sizes.items()], "lang string, share double")
+    h = F.xxhash64("doc_id")
+    few = known.join(F.broadcast(share), "lang").filter(F.pmod(h, F.lit(10**12)) < F.col("share") * 10**12)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))) - 1
+    return few.select("doc_id", "text", "lang", h.alias("h"), place.alias("place")).filter(F.col("place") < sample)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, list[str], float]:
     """idf, weights, languages, temperature."""
     known = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -103,18 +114,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray,
     idf = np.full(BUCKETS, np.log(total + 1) + 1)
     counts = counts[counts["bucket"] >= 0]
     idf[counts["bucket"].to_numpy()] = np.log((total + 1) / (counts["n"].to_numpy() + 1)) + 1
-    by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in by_lang)
+    by_lang = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    sizes = {r["lang"]: r["n"] for r in by_lang}
+    langs = sorted(sizes)
     if not langs:
         return idf, np.zeros((BUCKETS, 1)), ["und"], 1.0
-    # The least hashes of each language: a bound from its count, doubled, then the exact cut of what is left.
-    share = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * sample / r["n"] + 0.001))) for r in by_lang))
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(10**6))
-    drawn = known.filter(rank < share * 10**6).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h")).toPandas()
-    drawn = drawn.sort_values(["h", "doc_id"]).groupby("lang").head(sample)
-    y = np.array([langs.index(x) for x in drawn["lang"]], int)
-    rows = [vector(t, idf) for t in drawn["text"]]
-    apart = np.arange(len(rows)) % 5 == 4
+    found = drawn(known, sizes, min(sample, max(FEWEST, sample * LANGUAGES // len(langs)))).toPandas().sort_values(["h", "doc_id", "lang", "place"])
+    number = {x: i for i, x in enumerate(langs)}
+    y = np.array([number[x] for x in found["lang"]], int)
+    rows = [vector(t, idf) for t in found["text"]]
+    apart = found["place"].to_numpy() % 5 == 4  # of each language, so that a rare one is learned too
     w = train([r for r, a in zip(rows, apart) if not a], y[~apart], len(langs))
     logits = np.array([r[1] @ w[r[0]] for r, a in zip(rows, apart) if a]).reshape(-1, len(langs))
     return idf, w, langs, temperature(logits, y[apart])

@@ -314,6 +314,21 @@ def test_language(spark):
     assert test and sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in test) >= 0.95 * len(test)
 
 
+def test_every_language_is_learned(spark):
+    """70 languages, the rarest of 3 documents."""
+    rng = random.Random(7)
+    word = lambda k: "".join(chr(0x4E00 + 30 * k + rng.randrange(30)) for _ in range(rng.randint(2, 6)))
+    rows = [(1000 * k + i, " ".join(word(k) for _ in range(40)), f"l{k:02}") for k in range(70) for i in range(8 if k < 64 else 3)]
+    learned = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    rare = {f"l{k}" for k in range(64, 70) if any(i in learned for i, _, g in rows if g == f"l{k}")}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert rare and all(got[i] == g for i, _, g in rows if g in rare)
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 50, "b").otherwise("a").alias("lang"))
+    found = collections.Counter(r["lang"] for r in langid.drawn(many, {"a": 59_950, "b": 50}, 20).collect())
+    assert found == {"a": 20, "b": 20}
+
+
 def test_url_lists(spark):
     at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
     rng = random.Random(8)
