@@ -23,8 +23,11 @@ EMAIL = rf"(?:\G|(?<!{_MAIL})){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Tokens of 8 to 80 characters with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9_])(?=[A-Za-z_.-]{0,79}[0-9])[A-Za-z0-9][A-Za-z0-9_.-]{6,78}[A-Za-z0-9](?![A-Za-z0-9_])"
+#: Runs of 8 characters or more with a digit among them, that hold a candidate at most: from the first word (of letters, digits and `_`) that starts with
+#: a letter or digit, to the last that ends with one. Possessive, and only where a run starts: the time is linear in a run, however long.
+RUN = r"(?<![A-Za-z0-9_.-])(?=[A-Za-z_.-]*+[0-9])[A-Za-z0-9_.-]{8,}+"
+LEAD = r"^(?:_[A-Za-z0-9_]*+|[.-]++)*+"
+CANDIDATE = r"^[A-Za-z0-9][A-Za-z0-9_.-]*[A-Za-z0-9](?![A-Za-z0-9_])"
 #: Words that announce personal data.
 GAZETTEER = ("account", "api", "bearer", "card", "code", "contact", "id", "iban", "key", "login", "passwd", "password", "phone", "pin", "secret", "ssn", "tel", "token", "user")
 AROUND = 24
@@ -46,6 +49,16 @@ def spans(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), bound(found, lambda v: bound(F.split(text, pattern), lambda p: place(p, v)))).otherwise(none)
 
 
+def candidate_spans(text: Column) -> Column:
+    """Tokens of 8 characters or more as an array of (start, end, value)."""
+    def trim(c: Column) -> Column:
+        rest = F.regexp_replace(c["v"], LEAD, "")
+        value = F.when(rest.rlike("[0-9]"), F.regexp_extract(rest, CANDIDATE, 0)).otherwise("")
+        s = c["s"] + F.char_length(c["v"]) - F.char_length(rest)
+        return F.struct(s.alias("s"), (s + F.char_length(value)).alias("e"), value.alias("v"))
+    return F.filter(F.transform(spans(text, RUN), trim), lambda c: c["e"] - c["s"] >= 8)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -79,7 +92,7 @@ def _candidates(text: Column, base: Column) -> Column:
         code = sum((((v + 1) * 3**i) for i, v in enumerate(votes)), F.lit(0))
         bits = sum((f.cast("int") * 2**i for i, f in enumerate(flags)), F.lit(0))
         return F.struct(c["s"].alias("s"), c["e"].alias("e"), F.when(numbers, "number").otherwise("secret").alias("kind"), code.alias("v"), bits.alias("f"))
-    free = F.filter(spans(text, CANDIDATE), lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    free = F.filter(candidate_spans(text), lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     return F.transform(free, look)
 
 

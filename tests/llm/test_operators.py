@@ -236,6 +236,25 @@ def test_personal_data(spark):
         assert {x for x in said.split(",") if x} <= set(r["spans"].split(","))
 
 
+def test_long_tokens(spark):
+    """Tokens of any length are candidates, in linear time."""
+    hexes = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(40))
+    token = lambda n: re.sub("[0-9]{9,}", lambda m: "a" * len(m[0]), hexes[:n])
+    texts = [f'{name} = "{token(n)}" here' for n in (20, 80, 81, 128, 2000) for name in ("token", "api key")] + ["plain words without anything of the kind 12345678"] * 3
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts[:10]):
+        assert got[i] == f"secret:{t.index(chr(34)) + 1}:{t.rindex(chr(34))}", (i, got[i])
+    old = r"(?<![A-Za-z0-9_])(?=[A-Za-z_.-]{0,79}[0-9])[A-Za-z0-9][A-Za-z0-9_.-]{6,78}[A-Za-z0-9](?![A-Za-z0-9_])"
+    rng = random.Random(9)
+    short = ["".join(rng.choice("ab1_.- ") for _ in range(rng.randint(1, 80))) for _ in range(2000)]
+    long = ["a_." * 100_000 + "1", "1_." * 100_000, "a." * 100_000, "_1" * 100_000, "-.a1" * 50_000]
+    spans = lambda c: [[(x["s"], x["v"]) for x in r[0]] for r in df.select(c).collect()]
+    df = spark.createDataFrame([(t,) for t in short], "text string")
+    assert spans(pii.candidate_spans(F.col("text"))) == [[(m.start(), m[0]) for m in re.finditer(old, t)] for t in short]
+    df = spark.createDataFrame([(t,) for t in long], "text string")
+    assert [[len(v) for _, v in x] for x in spans(pii.candidate_spans(F.col("text")))] == [[300_001], [], [], [], [199_998]]
+
+
 def test_labelers():
     yes, no = sum(2 * 3**i for i in range(4)), 0
     post = pii.reliabilities({yes: 50, no: 200, 1 + 3 + 9 + 27: 10})
