@@ -209,6 +209,17 @@ def test_shards(spark, docs):
     assert len(spread[zlib.crc32(b"the same")]) <= 7 and sum(len(x) > 1 for x in spread.values()) <= 6
 
 
+@pytest.mark.parametrize("same", (7, None))
+def test_shards_of_identical_rows(spark, same):
+    """A third of the rows repeat an id, or have none, and a text: each is dealt for itself."""
+    df = spark.createDataFrame([(same if i % 3 == 0 else 1000 + i, "the same" if i % 3 == 0 else f"text {i // 2}") for i in range(600)], "doc_id long, text string").repartition(3)
+    got = sharding.shard(df).collect()
+    count = collections.Counter(r["shard"] for r in got)
+    assert len(got) == 600 and set(count) == set(range(16)) and max(count.values()) - min(count.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == b) == list(range(count[b])) for b in count)
+    assert len({r["shard"] for r in got if r["doc_id"] == same}) <= 7
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 
