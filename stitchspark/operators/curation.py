@@ -144,8 +144,12 @@ def variant_expansion(manifest: DataFrame, variants: int, key: str = "sample_id"
 def sketch_filter(min_strokes: int = 2, max_strokes: int = 8, low: float = 0.30, high: float = 0.85, canvas: float = 255.0) -> Column:
     """Recognised sketches with a sane number of strokes and box area (drawing: strokes of [xs, ys])."""
     xs, ys = (F.flatten(F.transform("drawing", _axis(i))) for i in (0, 1))
-    area = (F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys)) / (canvas * canvas)
-    return F.col("recognized") & F.size("drawing").between(min_strokes, max_strokes) & area.between(low, high)
+    box = (F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys))
+    return F.col("recognized") & _sane(F.size("drawing"), box, min_strokes, max_strokes, low, high, canvas)
+
+
+def _sane(strokes: Column, box: Column, min_strokes: int = 2, max_strokes: int = 8, low: float = 0.30, high: float = 0.85, canvas: float = 255.0) -> Column:
+    return strokes.between(min_strokes, max_strokes) & (box / (canvas * canvas)).between(low, high)
 
 
 def _axis(i: int):
@@ -154,7 +158,18 @@ def _axis(i: int):
 
 def sketch_per_category(sketches: DataFrame, **limits) -> DataFrame:
     """The accepted sketch with the smallest key of each category."""
-    return sketches.filter(sketch_filter(**limits)).groupBy("category").agg(F.min("key_id").alias("key_id"), F.count(F.lit(1)).alias("accepted"))
+    return _smallest(sketches.filter(sketch_filter(**limits)))
+
+
+def dots_per_category(dots: DataFrame, **limits) -> DataFrame:
+    """As `sketch_per_category`, for recognised sketches whose strokes are rows of one point (category, key_id, x, y): counts and boxes, no gathered drawing."""
+    box = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
+    found = dots.groupBy("category", "key_id").agg(F.count(F.lit(1)).alias("strokes"), box.alias("box"))
+    return _smallest(found.filter(_sane(F.col("strokes"), F.col("box"), **limits)))
+
+
+def _smallest(accepted: DataFrame) -> DataFrame:
+    return accepted.groupBy("category").agg(F.min("key_id").alias("key_id"), F.count(F.lit(1)).alias("accepted"))
 
 
 def unusable_pairs(images: DataFrame, designs: DataFrame) -> DataFrame:

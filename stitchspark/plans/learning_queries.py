@@ -496,9 +496,9 @@ def safe_names(spark, sf):
 SELECT category, min(key_id) AS key_id, count(*) AS accepted FROM (SELECT event_type AS category, user_id AS key_id, count(*) AS n, (max(value) - min(value)) * (max(k) - min(k)) / (255.0 * 255.0) AS area FROM (
   SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1, 2) WHERE n BETWEEN 2 AND 60 AND area BETWEEN 0.02 AND 0.85 GROUP BY 1""")
 def sketch_per_category(spark, sf):
-    e = Tables(spark, sf).events.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    g = e.groupBy(F.col("event_type").alias("category"), F.col("user_id").alias("key_id")).agg(F.collect_list(F.array(F.array("value"), F.array("k"))).alias("drawing"))
-    return curation.sketch_per_category(g.withColumn("recognized", F.lit(True)), min_strokes=2, max_strokes=60, low=0.02)
+    k = F.get_json_object("props", "$.k").cast("double")
+    dots = Tables(spark, sf).events.select(F.col("event_type").alias("category"), F.col("user_id").alias("key_id"), F.col("value").alias("x"), k.alias("y"))
+    return curation.dots_per_category(dots, min_strokes=2, max_strokes=60, low=0.02)
 
 
 @query("unusable_pairs", """

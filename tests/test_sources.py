@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from stitchspark import plans
 from stitchspark.operators import curation
 from stitchspark.sources import files, pages, traces
 
@@ -68,6 +69,17 @@ def test_sketches_and_index(spark, tmp_path):
     assert item["area_ratio"] == 0.5 and item["fill_ratio"] is None
 
 
+def test_dots_are_not_gathered(spark):
+    rows = [("cat", 1, float(i % 200), float(i % 190)) for i in range(500)] + [("cat", k, x, x) for k in (3, 2) for x in (0.0, 180.0)] + [("cat", 0, 1.0, None), ("dog", 5, 9.0, 9.0)]
+    dots = spark.createDataFrame(rows, "category string, key_id long, x double, y double")
+    got = curation.dots_per_category(dots)
+    assert [tuple(r) for r in got.collect()] == [("cat", 2, 2)]
+    drawn = dots.groupBy("category", "key_id").agg(F.collect_list(F.array(F.array("x"), F.array("y"))).alias("drawing")).withColumn("recognized", F.lit(True))
+    assert curation.sketch_per_category(drawn).collect() == got.collect()
+    plan = plans.RUN["sketch_per_category"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_promoted_and_fallback_artifacts(spark, tmp_path):
     art = spark.createDataFrame([("s1", "r1", "f1"), ("s1", "r2", "f2"), ("s2", "r2", "f3")], "sample_id string, root string, file string")
     sel = spark.createDataFrame([("s1", "r2", "p"), ("s2", "r2", "p")], "sample_id string, root string, profile string")
