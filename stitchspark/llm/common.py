@@ -15,6 +15,8 @@ SPACE = r"\x20\x09-\x0D"
 NO_ID = 2**63 - 1
 #: Rows that one cell of an ordered group holds on average.
 CELL_ROWS = 4096
+#: Whether a finished statement's shuffle files go at once, or when the driver comes to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,8 +67,13 @@ class Scratch:
         self.spark, self.root = spark, f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """The table written and read again. The shuffles that made it are removed once it is there."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

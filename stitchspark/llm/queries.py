@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact_dups, langid, mixing, near_dups, packing, pii, quality, sharding, toxicity, url_lists
+from . import centroids, exact_dups, langid, mixing, near_dups, packing, pii, quality, sharding, source_terms, suffix_tree, toxicity, url_lists
 from .common import table
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +126,77 @@ FROM u LEFT JOIN met m ON u.page_id = m.page_id AND m.place = 1
 """
 
 
+@query
+def op11_length_bucketed_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_terms.divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_length_bucketed_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+  FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (s.n + 2 * l.v) AS p, 1 + (1000000000 * (k.total + 2)) // (l.n + 2 * l.v) AS q
+  FROM s JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op12_orchard_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(rounds: int, clusters: int) -> str:
+    """SQL of the rounds, one after the other; a centroid is held as its list of components."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT v.id, v.vec_id, v.x, c.cluster, c.d FROM (
+    SELECT v.id, k.cluster, list_sum([(v.x[i] - k.x[i]) * (v.x[i] - k.x[i]) FOR i IN range(1, 65)])::BIGINT AS d,
+           row_number() OVER (PARTITION BY v.id ORDER BY d, k.cluster) AS place FROM v, k{r} k) c JOIN v USING (id) WHERE c.place = 1)""")
+        if r < rounds:
+            steps.append(f"""k{r + 1} AS MATERIALIZED (
+  SELECT k.cluster, coalesce(m.x, k.x) AS x FROM k{r} k LEFT JOIN (
+    SELECT cluster, list(x ORDER BY i) AS x FROM (
+      SELECT cluster, i, sum(part) // count(*) - CASE WHEN sum(part) < 0 AND sum(part) % count(*) <> 0 THEN 1 ELSE 0 END AS x
+      FROM (SELECT cluster, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster) m USING (cluster))""")
+    return ",\n".join(steps)
+
+
+SQL["op12_orchard_centroids"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, [floor(e::DOUBLE * 1024)::BIGINT FOR e IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = 64),
+k0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS cluster, x FROM v QUALIFY cluster < 8),
+{_rounds(10, 8)}
+SELECT vec_id, a.cluster::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a10 a JOIN k10 k USING (cluster)
+"""
+
+
+@query
+def op13_probabilistic_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

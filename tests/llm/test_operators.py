@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -300,6 +300,7 @@ def test_token_ids_of_odd_texts():
         assert encoder.ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [0], repr(t)
 
 
+@settings(deadline=None)
 @given(st.text(max_size=60))
 def test_token_ids_of_any_text(text):
     files = [packing.public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
