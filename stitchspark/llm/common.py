@@ -54,6 +54,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of `df` has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the shared folder of spark.checkpoint.dir, so that lineage is cut and a lost executor costs no earlier stage."""
 
@@ -76,6 +83,11 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def numbered(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """The table written with a number for each row, and the name of that column. Rows that are alike in all columns are told apart by it."""
+        row = fresh(df, "_row")
+        return self.keep(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

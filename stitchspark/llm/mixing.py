@@ -7,10 +7,10 @@ r modulo the number of blocks: a source that is wanted more than once is read ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, cell_bits, doc_id_of, doc_key, doc_key_of, n_words, positions, whole_text
+from .common import Scratch, cell_bits, doc_id_of, doc_key, fresh, n_words, positions, whole_text
 
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
@@ -50,7 +50,7 @@ def schedule(shares: DataFrame, slots: int, scratch: Scratch) -> DataFrame:
     return positions(placed, ["source_no"], "at", [], cell_bits(slots), out="rank").select("slot", "source_no", "rank")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block_words: int = BLOCK_WORDS, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables. Documents: doc_id, source, size, source_size, target, taken for each row of `df` (doc_id, text, source). Parts: slot, doc_id, text_hash,
     pass, first, words: what each slot of the mix takes, as words of a document (its text's hash tells repeated ids apart).
 
@@ -58,7 +58,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
     an order that their texts settle. An empty table, or one without words, gives targets and takings of 0."""
     scratch = Scratch(df.sparkSession)
     order = F.shiftleft(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), doc_key().cast("string"))), 1, 15), 16, 10).cast("long"), 4)
-    docs = scratch.keep(df.select(doc_key().alias("key"), F.col("source").alias("source_key"), n_words(whole_text()).alias("size"),
+    docs = scratch.keep(df.select((F.monotonically_increasing_id() if row is None else row).alias("row"), doc_key().alias("key"), F.col("source").alias("source_key"), n_words(whole_text()).alias("size"),
                                   F.xxhash64(whole_text()).alias("text_hash"), order.alias("at")), "docs")
     total = docs.agg(F.sum("size")).first()[0] or 0
     sources = targets(docs.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, passes)
@@ -72,8 +72,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
     wanted = made.groupBy("source_no").agg((F.count("*") * block_words).alias("wanted"))
     limits = scratch.keep(sources.join(wanted, "source_no", "left").withColumn("wanted", F.least(F.coalesce("wanted", F.lit(0)), F.col("source_size") * passes)), "limits")
     rows = scratch.keep(docs.join(limits.select("source_key", "source_no", "source_size", "target", "wanted"), docs["source_key"].eqNullSafe(limits["source_key"]))
-                        .select("key", "text_hash", "at", docs["source_key"].alias("source"), "size", "source_no", "source_size", "target", "wanted"), "rows")
-    rows = scratch.keep(positions(rows, ["source_no"], "at", ["key", "text_hash"], cell_bits(docs.count()), F.col("size"), "start"), "placed-rows")
+                        .select("row", "key", "text_hash", "at", docs["source_key"].alias("source"), "size", "source_no", "source_size", "target", "wanted"), "rows")
+    rows = scratch.keep(positions(rows, ["source_no"], "at", ["key", "text_hash", "row"], cell_bits(docs.count()), F.col("size"), "start"), "placed-rows")
 
     # A source's stream of words, again from its start after its end, in blocks: which words of which document each slot takes.
     again = F.sequence(F.lit(0).cast("long"), F.floor((F.col("wanted") - 1 - F.col("start")) / F.col("source_size")))
@@ -82,29 +82,20 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
     read = read.withColumn("to", to).withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("to") - 1) / block_words))))
     first = F.greatest(F.col("from"), F.col("rank") * block_words)
     cut = read.withColumn("words", F.least(F.col("to"), (F.col("rank") + 1) * block_words) - first).withColumn("first", first - F.col("from"))
-    parts = cut.join(made, ["source_no", "rank"]).select("slot", "key", "text_hash", "source", "source_no", "start", "pass", "first", "words")
+    parts = cut.join(made, ["source_no", "rank"]).select("slot", "row", "key", "text_hash", "size", "pass", "first", "words")
     parts = scratch.keep(parts, "parts")
-    taken = parts.groupBy("source_no", "start", "key").agg(F.sum("words").alias("taken"))
-    # A document without words shares its start with the next one, which alone is taken.
-    out = rows.join(taken, (rows["source_no"] == taken["source_no"]) & (rows["start"] == taken["start"]) & (rows["key"] == taken["key"]) & (rows["size"] > 0), "left")
-    documents = out.select(doc_id_of(rows["key"]).alias("doc_id"), rows["source"], rows["size"], rows["source_size"], rows["target"],
-                           F.coalesce(taken["taken"], F.lit(0)).cast("long").alias("taken"), rows["key"], rows["text_hash"])
+    out = rows.join(parts.groupBy("row").agg(F.sum("words").alias("taken")), "row", "left")
+    documents = out.select("row", doc_id_of(F.col("key")).alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return documents, parts
 
 
 def mixed_documents(df: DataFrame, **how) -> DataFrame:
-    """The mix as rows of `df`: a row for each time that a document is read; the last may be cut after its first words, joined by single spaces then.
-
-    Of rows that repeat doc_id, text and source one stands for all, and is read as often as they are."""
-    documents, parts = mix(df, **how)
-    if not documents.groupBy("key", "text_hash", "source").count().filter("count > 1").isEmpty():
-        df = df.dropDuplicates(["doc_id", "text", "source"])
-    read = parts.groupBy("key", "text_hash", "source", "start", "pass").agg(F.sum("words").alias("words"))
-    read = read.groupBy("key", "text_hash", "source").agg(F.collect_list("words").alias("_reads"))
-    same = (doc_key_of(df["doc_id"]) == read["key"]) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == read["text_hash"]) & df["source"].eqNullSafe(read["source"])
-    both = df.join(read, same)
-    words = F.filter(F.split(df["text"], f"[{SPACE}]+"), lambda w: w != "")
-    rows = both.select(*(df[c].alias(f"c{i}") for i, c in enumerate(df.columns)), n_words(df["text"]).alias("_size"), F.explode(read["_reads"]).alias("_words"), words.alias("_list"))
-    text = df.columns.index("text")
-    short = F.when(F.col("_words") >= F.col("_size"), F.col(f"c{text}")).otherwise(F.array_join(F.slice("_list", 1, F.col("_words").cast("int")), " "))
-    return rows.select(*((short if i == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(df.columns)))
+    """The mix as rows of `df`: a row for each time that a document is read. No document is cut: where a source's target ends inside one, it is read whole if
+    half of its words or more are wanted, and else left out, so a source is off its target by half a document at most. Rows without words are never read."""
+    scratch = Scratch(df.sparkSession)
+    rows, row = scratch.numbered(df, "rows")
+    _, parts = mix(rows, row=F.col(row), **how)
+    reads = parts.groupBy("row", "pass", "size").agg(F.sum("words").alias("words")).filter(F.col("words") * 2 >= F.col("size"))
+    reads = reads.groupBy(F.col("row").alias(row)).agg(F.count("*").cast("int").alias(times := fresh(df, "_times")))
+    again = rows.join(reads, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return again.select(*(F.col(f"`{c}`") for c in df.columns))

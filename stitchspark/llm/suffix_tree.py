@@ -26,7 +26,7 @@ from .common import Scratch
 #: The longest context; occurrences that a context needs; the log ratio that it must gain, in nats; what each word that follows gives up of its count.
 DEPTH, LEAST, GAIN, DISCOUNT = 3, 4, 2.0, 0.8
 #: Words of a batch, and of the corpus for each bucket.
-BATCH, BUCKET = 1_000_000, 4_000_000
+BATCH, BUCKET = 300_000, 1_200_000
 #: Gains and shares of words are added up as whole numbers, so that their order doesn't matter.
 _UNIT = 1_000_000_000
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" "))

@@ -121,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("l_id"), "toxic")
     first = lambda y, n: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(n)
     chosen = first(1, sample[0]).unionByName(first(0, sample[1]))
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id")).select("l_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["l_id", "toxic"]).drop_duplicates("l_id")
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id")).groupBy("l_id").agg(F.min(F.struct("toxic", "text")).alias("r"))
+    rows = rows.select("l_id", "r.text", "r.toxic").toPandas().sort_values("l_id")
     texts, y, apart = rows["text"].tolist(), rows["toxic"].to_numpy(dtype="int64"), np.arange(len(rows)) % 4 == 3
     table, bias = train([t for t, a in zip(texts, apart) if not a], y[~apart])
     scores, y = _Scores(table), y[apart]
