@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ordered import grouped_quantiles, order_number, previous_values, running_totals
+from ..functions.ordered import previous_values, running_totals
 from ..functions.scalars import nearest_name
 from ..functions.scores import preview_scores
 from ..functions.semantics import half_even
+from .stream import walk
 
 # Command codes after masking, and their names.
 COMMAND_MASK = 0xFF
@@ -76,25 +77,49 @@ def command_counts(commands: DataFrame) -> DataFrame:
     return per.groupBy("design_id").agg(F.map_from_entries(entries).alias("command_counts"))
 
 
+def _by_run(commands: DataFrame, more: dict[str, Column], min_mm: float, max_mm: float) -> DataFrame:
+    """design_id, run_id, run_length, closed_and_counted and the aggregates ``more`` (partial ones, over distance_mm) of each run of short stitches.
+
+    A break closes the run of the rows before it, so it belongs to the run numbered one less. Runs are numbered within a block of the stream first; the
+    breaks of the blocks before are added then, so a run that crosses a border is one again."""
+    dist = F.coalesce(distance(F.col("x_mm") - F.col("prev_x"), F.col("y_mm") - F.col("prev_y")), F.lit(0.0))
+    moves = walk(commands).select("design_id", "_blk", "seq", "command", dist.alias("distance_mm"))
+    short = is_cmd("STITCH") & F.col("distance_mm").between(min_mm, max_mm)
+    moves = moves.withColumns({"short": short, "is_break": ~short & ~is_cmd("END")})
+    inside = W.partitionBy("design_id", "_blk").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    run = F.sum(F.col("is_break").cast("long")).over(inside) - F.col("is_break").cast("long")
+    counted = is_cmd("STITCH") | is_cmd("JUMP") | is_cmd("TRIM")
+    part = moves.withColumn("_run", run).groupBy("design_id", "_blk", "_run").agg(
+        F.count_if("short").alias("run_length"), F.max(F.when(F.col("is_break"), counted)).alias("closed"), F.count_if("is_break").alias("_breaks"), *(c.alias(k) for k, c in more.items()))
+    breaks = part.groupBy("design_id", "_blk").agg(F.sum("_breaks").alias("_b"))
+    past = W.partitionBy("design_id").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    return part.join(breaks.select("design_id", "_blk", F.coalesce(F.sum("_b").over(past), F.lit(0)).alias("_before")), ["design_id", "_blk"]).withColumn("run_id", F.col("_run") + F.col("_before"))
+
+
 def lock_tack_runs(commands: DataFrame, min_mm: float = 0.05, max_mm: float = 1.2, min_run: int = 3) -> DataFrame:
     """Runs of at least ``min_run`` short stitches per design.
 
     END leaves a run untouched.  A run closed by a color change or an unsupported command is not
     counted; one closed by a longer stitch, a jump, a trim or the end of the stream is.
     """
+    return execution_report(commands, min_mm=min_mm, max_mm=max_mm, min_run=min_run).select("design_id", "lock_tack_like_count")
+
+
+def execution_report(commands: DataFrame, max_stitch_mm: float = 4.0, high_risk_jump_mm: float = 8.0, min_mm: float = 0.05, max_mm: float = 1.2, min_run: int = 3) -> DataFrame:
+    """:func:`execution_metrics`, the count map and the short runs in one pass: every command belongs to a run, and runs add up to designs."""
     d = F.col("distance_mm")
-    short = is_cmd("STITCH") & d.between(min_mm, max_mm)
-    moves = with_deltas(commands).withColumns({"short": short, "is_break": ~short & ~is_cmd("END")})
-    numbered = running_totals(moves, ["design_id"], "seq", {"breaks": F.col("is_break").cast("long")})
-    # A break closes the run of the rows before it, so it belongs to the run numbered one less.
-    run_id = F.col("breaks") - F.col("is_break").cast("long")
-    counted_close = is_cmd("STITCH") | is_cmd("JUMP") | is_cmd("TRIM")
-    runs = numbered.groupBy("design_id", run_id.alias("run_id")).agg(
-        F.count_if(F.col("short")).alias("run_length"),
-        F.coalesce(F.max(F.when(F.col("is_break"), counted_close)), F.lit(True)).alias("closed_and_counted"),
-    )
-    return runs.groupBy("design_id").agg(
-        F.count_if((F.col("run_length") >= min_run) & F.col("closed_and_counted")).alias("lock_tack_like_count"))
+    counts = {f"n_{k}": F.count_if(is_cmd(k)) for k in KNOWN} | {"commands": F.count(F.lit(1)), "illegal": F.count_if(is_cmd("STITCH") & (d > max_stitch_mm)), "risky": F.count_if(is_cmd("JUMP") & (d >= high_risk_jump_mm))}
+    most = {"most_stitch": F.max(F.when(is_cmd("STITCH"), d)), "most_jump": F.max(F.when(is_cmd("JUMP"), d))}
+    sums = {"path_stitch": F.sum(F.when(is_cmd("STITCH"), d)), "path_jump": F.sum(F.when(is_cmd("JUMP"), d))}
+    runs = _by_run(commands, counts | most | sums, min_mm, max_mm).groupBy("design_id", "run_id").agg(
+        F.sum("run_length").alias("run_length"), F.coalesce(F.max("closed"), F.lit(True)).alias("closed"), *(F.sum(k).alias(k) for k in counts | sums), *(F.max(k).alias(k) for k in most))
+    g = runs.groupBy("design_id").agg(F.count_if((F.col("run_length") >= min_run) & F.col("closed")).alias("lock_tack_like_count"), *(F.sum(k).alias(k) for k in counts | sums), *(F.max(k).alias(k) for k in most))
+    zero = lambda c: half_even(F.coalesce(c, F.lit(0.0)), 4)
+    return g.select(
+        "design_id", "commands", F.col("n_STITCH").alias("stitch_count"), F.col("n_JUMP").alias("jump_count"), F.col("n_TRIM").alias("trim_count"),
+        F.col("n_COLOR_CHANGE").alias("color_change_count"), (F.col("commands") - sum((F.col(f"n_{k}") for k in KNOWN), F.lit(0))).alias("unsupported_command_count"),
+        F.col("illegal").alias("illegal_long_stitch_count"), F.col("risky").alias("high_risk_jump_count"), zero("most_stitch").alias("max_stitch_mm"), zero("most_jump").alias("max_jump_mm"),
+        zero("path_stitch").alias("stitch_path_mm"), zero("path_jump").alias("jump_path_mm"), "lock_tack_like_count")
 
 
 def design_metrics(commands: DataFrame, trim_mm: float = 6.0, high_risk_mm: float = 12.0) -> DataFrame:
@@ -168,11 +193,9 @@ def movement_stats(commands: DataFrame) -> DataFrame:
             ("STITCH", "stitch_commands"), ("JUMP", "jump_commands"), ("TRIM", "trim_commands"),
             ("COLOR_CHANGE", "color_changes"), ("END", "end_commands"))],
     )
-    moving = is_cmd("STITCH") | is_cmd("JUMP")
-    # Re-number the moving commands so that the previous one is a neighbour.
-    numbered = running_totals(commands, ["design_id"], "seq", {"move_no": moving.cast("long")})
-    moves = numbered.filter(moving).select("design_id", "command", "x_mm", "y_mm", (F.col("move_no") - 1).alias("seq"))
-    steps = with_deltas(moves).groupBy("design_id").agg(
+    step = distance(F.col("x_mm") - F.col("move_x"), F.col("y_mm") - F.col("move_y"))
+    moves = walk(commands).filter(is_cmd("STITCH") | is_cmd("JUMP")).withColumn("distance_mm", F.coalesce(step, F.lit(0.0)))
+    steps = moves.groupBy("design_id").agg(
         F.max("distance_mm").alias("m"), _total(is_cmd("JUMP")).alias("j"))
     return box.join(steps, "design_id", "left").select(
         *box.columns,
@@ -180,16 +203,19 @@ def movement_stats(commands: DataFrame) -> DataFrame:
         half_even(F.coalesce("j", F.lit(0.0)), 3).alias("total_jump_mm"))
 
 
-def build_segments(commands: DataFrame) -> DataFrame:
-    """One row per stitch that has a predecessor, with its color layer and position."""
-    moves = with_deltas(commands)
-    is_segment = is_cmd("STITCH") & F.col("has_prev")
-    numbered = running_totals(moves, ["design_id"], "seq", {
-        "color_no": is_cmd("COLOR_CHANGE").cast("long"), "segment_id": is_segment.cast("long")})
-    return numbered.filter(is_segment).select(
+def segments_of(walked: DataFrame) -> DataFrame:
+    """The segments of walked commands, with what lies between a segment and the one before and with the design's totals."""
+    length = F.coalesce(distance(F.col("x_mm") - F.col("prev_x"), F.col("y_mm") - F.col("prev_y")), F.lit(0.0))
+    return walked.filter("is_segment").select(
         "design_id", "segment_id", (F.col("color_no") + 1).alias("color_layer"), F.col("seq").alias("source_order"),
         F.col("prev_x").alias("entry_x_mm"), F.col("prev_y").alias("entry_y_mm"),
-        F.col("x_mm").alias("exit_x_mm"), F.col("y_mm").alias("exit_y_mm"), F.col("distance_mm").alias("length_mm"))
+        F.col("x_mm").alias("exit_x_mm"), F.col("y_mm").alias("exit_y_mm"), length.alias("length_mm"),
+        "seg_x", "seg_y", "seg_color", "n_between", "n_trim", "n_color_change", "n_segments", "min_x", "max_x", "min_y", "max_y")
+
+
+def build_segments(commands: DataFrame) -> DataFrame:
+    """One row per stitch that has a predecessor, with its color layer and position."""
+    return segments_of(walk(commands)).select("design_id", "segment_id", "color_layer", "source_order", "entry_x_mm", "entry_y_mm", "exit_x_mm", "exit_y_mm", "length_mm")
 
 
 def preceding_commands(commands: DataFrame) -> DataFrame:
@@ -208,46 +234,41 @@ def preceding_commands(commands: DataFrame) -> DataFrame:
         (F.col("seq") - F.coalesce("_start", F.lit(-1))).alias("position"), "command")
 
 
-def gap_summary(commands: DataFrame) -> DataFrame:
-    """What lies between one stitch and the next: number of commands, trims and color changes."""
-    numbered = running_totals(commands, ["design_id"], "seq", {"stitches": is_cmd("STITCH").cast("long")})
-    gap = F.col("stitches") - is_cmd("STITCH").cast("long")
-    grouped = numbered.groupBy("design_id", gap.alias("gap")).agg(
-        F.max(F.when(is_cmd("STITCH"), F.col("seq"))).alias("source_order"),
-        F.count_if(~is_cmd("STITCH")).alias("n_between"), F.count_if(is_cmd("JUMP")).alias("n_jump"),
-        F.count_if(is_cmd("TRIM")).alias("n_trim"), F.count_if(is_cmd("COLOR_CHANGE")).alias("n_color_change"))
-    return grouped.filter(F.col("source_order").isNotNull()).drop("gap")
-
-
-def path_events(segments: DataFrame, gaps: DataFrame, near_mm: float = 2.5, long_mm: float = 8.0) -> DataFrame:
-    """Gap between consecutive segments with overlapping labels (``gaps`` from :func:`gap_summary`)."""
-    joined = segments.join(gaps, ["design_id", "source_order"]).withColumn("_pos", F.col("segment_id") - 1)
-    pairs = previous_values(joined, ["design_id"], "_pos", {
-        "p_id": "segment_id", "p_color": "color_layer", "p_x": "exit_x_mm", "p_y": "exit_y_mm"})
-    gap = distance(F.col("entry_x_mm") - F.col("p_x"), F.col("entry_y_mm") - F.col("p_y"))
-    same = F.col("p_color") == F.col("color_layer")
-    return pairs.filter(F.col("p_id").isNotNull()).select(
-        "design_id", F.col("p_id").alias("from_segment"), F.col("segment_id").alias("to_segment"),
-        same.alias("same_color"), half_even(gap, 4).alias("distance_mm"), F.col("n_between").alias("commands_between"),
-        (same & (gap <= near_mm)).alias("near_connect_label"),
-        (gap >= long_mm).alias("long_jump_label"),
-        (F.col("n_trim") > 0).alias("trim_label"),
-        ((F.col("n_color_change") > 0) | ~same).alias("color_change_label"))
+def event_labels(near_mm: float = 2.5, long_mm: float = 8.0) -> dict[str, Column]:
+    """Gap to the segment before and its overlapping labels, as columns over :func:`segments_of`."""
+    gap = distance(F.col("entry_x_mm") - F.col("seg_x"), F.col("entry_y_mm") - F.col("seg_y"))
+    same = F.col("seg_color") == F.col("color_layer")
+    return {"same_color": same, "distance_mm": half_even(gap, 4), "near_connect_label": same & (gap <= near_mm), "long_jump_label": gap >= long_mm,
+            "trim_label": F.col("n_trim") > 0, "color_change_label": (F.col("n_color_change") > 0) | ~same}
 
 
-def closure_gaps(segments: DataFrame, gap_mm: float = 6.0, min_segments: int = 4) -> DataFrame:
-    """Colors whose last exit is far from their first entry."""
+def path_events(segments: DataFrame, near_mm: float = 2.5, long_mm: float = 8.0) -> DataFrame:
+    """Gap between consecutive segments with overlapping labels (``segments`` from :func:`segments_of`)."""
+    labels = event_labels(near_mm, long_mm)
+    return segments.filter(F.col("seg_x").isNotNull()).select(
+        "design_id", (F.col("segment_id") - 1).alias("from_segment"), F.col("segment_id").alias("to_segment"),
+        labels["same_color"].alias("same_color"), labels["distance_mm"].alias("distance_mm"), F.col("n_between").alias("commands_between"),
+        *(labels[f"{k}_label"].alias(f"{k}_label") for k in ("near_connect", "long_jump", "trim", "color_change")))
+
+
+def closure_gaps(segments: DataFrame, gap_mm: float = 6.0, min_segments: int = 4, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Colors whose last exit is far from their first entry; ``extra`` names columns x0, y0, x1, y1 of the ends to carry along."""
+    more = [F.col(c) for c in extra]
     ends = segments.groupBy("design_id", "color_layer").agg(
-        F.min_by(F.struct("segment_id", F.col("entry_x_mm").alias("x"), F.col("entry_y_mm").alias("y")),
-                 "segment_id").alias("a"),
-        F.max_by(F.struct("segment_id", F.col("exit_x_mm").alias("x"), F.col("exit_y_mm").alias("y")),
-                 "segment_id").alias("b"),
+        F.min_by(F.struct("segment_id", F.col("entry_x_mm").alias("x"), F.col("entry_y_mm").alias("y"), *more), "segment_id").alias("a"),
+        F.max_by(F.struct("segment_id", F.col("exit_x_mm").alias("x"), F.col("exit_y_mm").alias("y"), *more), "segment_id").alias("b"),
         F.count(F.lit(1)).alias("segments"))
     gap = distance(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
     return ends.filter((gap >= gap_mm) & (F.col("segments") >= min_segments)).select(
         "design_id", "color_layer", F.col("b.segment_id").alias("from_segment"),
         F.col("a.segment_id").alias("to_segment"), half_even(gap, 4).alias("distance_mm"), "segments",
-        F.lit(True).alias("closure_gap_label"))
+        F.lit(True).alias("closure_gap_label"), *(F.col(f"a.{c}").alias(c) for c in extra[:2]), *(F.col(f"b.{c}").alias(c) for c in extra[2:]))
+
+
+def with_closures(events: DataFrame, closures: DataFrame) -> DataFrame:
+    """The events of a stream and, after them, a row for each closure gap; ``commands`` says which of the two a row is."""
+    rows = closures.select("design_id", "from_segment", "to_segment", F.lit(True).alias("same_color"), "distance_mm", "color_layer", "closure_gap_label", F.lit("CLOSURE_CHECK").alias("commands"))
+    return events.withColumns({"commands": F.lit("STREAM"), "closure_gap_label": F.lit(False)}).unionByName(rows, allowMissingColumns=True)
 
 
 def continuity_edges(segments: DataFrame, connect_px: Column, long_px: Column) -> DataFrame:
@@ -309,43 +330,58 @@ def sequence_windows(commands: DataFrame, seq_len: int = 4, delta_scale: float =
                        F.col("target.dy").alias("target_dy"), F.col("target.command_id").alias("target_command"))
 
 
-def stitch_texture_metrics(commands: DataFrame, bins: int = 18, short_mm: float = 0.8, long_mm: float = 4.0) -> DataFrame:
-    """Length, angle and density statistics of the stitches of each design."""
-    moves = with_deltas(commands)
-    counts = moves.groupBy("design_id").agg(
-        F.count_if(is_cmd("STITCH")).alias("stitch_command_count"), F.count_if(is_cmd("JUMP")).alias("jump_count"),
-        F.count_if(is_cmd("TRIM")).alias("trim_count"))
-    stitches = moves.filter(is_cmd("STITCH") & F.col("has_prev") & (F.col("distance_mm") > 1e-6))
+def stitch_texture_metrics(commands: DataFrame, bins: int = 18, short_mm: float = 0.8, long_mm: float = 4.0, bin_mm: float = 0.1) -> DataFrame:
+    """Length, angle and density statistics of the stitches of each design.
+
+    Stitches are counted by length and angle bin once; all else comes from these counts. For the exact median, the totals of length bins show which bins
+    hold its ranks (every design keeps at least one row, with its sums), and only the lengths of those are ordered."""
     angle = F.pmod(F.atan2("dy_mm", "dx_mm"), F.lit(math.pi))
     binned = F.least(F.lit(bins - 1), F.floor(F.pmod(angle, F.lit(math.pi)) / F.lit(math.pi) * bins).cast("int"))
-    d = F.col("distance_mm")
-    stats = stitches.groupBy("design_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(d).alias("total"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"),
-        F.count_if(d < short_mm).alias("n_short"), F.count_if(d > long_mm).alias("n_long"),
-        (F.greatest(F.max("x_mm"), F.max("prev_x")) - F.least(F.min("x_mm"), F.min("prev_x"))).alias("w"),
-        (F.greatest(F.max("y_mm"), F.max("prev_y")) - F.least(F.min("y_mm"), F.min("prev_y"))).alias("h"))
-    angles = stitches.groupBy("design_id", binned.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    share = F.col("c") / F.sum("c").over(W.partitionBy("design_id"))
-    entropy = angles.withColumn("p", share).groupBy("design_id").agg(
-        (F.sum(-F.col("p") * F.log("p")) / math.log(bins)).alias("entropy"), F.max("p").alias("dominant"))
-    medians = grouped_quantiles(stitches, ["design_id"], "distance_mm", {"median": 0.5}, bin_width=0.1)
-    area = F.greatest(F.lit(1e-6), F.col("w") * F.col("h"))
+    used = is_cmd("STITCH") & F.col("has_prev") & (F.col("distance_mm") > 1e-6)
+    moves = with_deltas(commands).select("design_id", "command", F.when(used, F.col("distance_mm")).alias("v"), F.when(used, binned).alias("angle"), "x_mm", "y_mm", "prev_x", "prev_y")
+    seen = lambda c: F.when(F.col("v").isNotNull(), F.col(c))
+    kinds = ("STITCH", "JUMP", "TRIM")
+    box = {f"{n}_{c}": agg(seen(c)) for c in ("x_mm", "y_mm", "prev_x", "prev_y") for n, agg in (("min", F.min), ("max", F.max))}
+    cells = moves.groupBy("design_id", "v", "angle").agg(F.count("v").alias("c"), *(F.count_if(is_cmd(k)).alias(k) for k in kinds), *(x.alias(k) for k, x in box.items()))
+    cells = cells.withColumn("_bin", F.floor(F.col("v") / bin_mm).cast("long"))
+
+    v, c = F.col("v"), F.col("c")
+    sums = {"n": F.sum(c), "total": F.sum(v * c), "squares": F.sum(v * v * c), "n_short": F.sum(F.when(v < short_mm, c)), "n_long": F.sum(F.when(v > long_mm, c))}
+    sums |= {k: F.sum(k) for k in kinds} | {f"a{i}": F.sum(F.when(F.col("angle") == i, c)) for i in range(bins)}
+    ends = {k: (F.min if k.startswith("min") else F.max)(k) for k in box}
+    per_bin = cells.groupBy("design_id", "_bin").agg(*(x.alias(k) for k, x in (sums | ends).items()))
+    whole, along = W.partitionBy("design_id"), W.partitionBy("design_id").orderBy("_bin")
+    upto = along.rowsBetween(W.unboundedPreceding, 0)
+    wide = per_bin.select("design_id", "_bin", F.col("n").alias("_c"), F.sum("n").over(upto).alias("_end"), F.row_number().over(along).alias("_row"),
+                          *(F.sum(k).over(whole).alias(k) for k in sums), *((F.min if k.startswith("min") else F.max)(k).over(whole).alias(k) for k in ends))
+    # Ranks of the two middle lengths, from 0; a design without stitches keeps its first row.
+    low, high = F.floor((F.col("n") - 1) / 2).cast("long"), F.floor(F.col("n") / 2).cast("long")
+    holds = lambda rank: (rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c"))
+    wanted = wide.withColumns({"_low": low, "_high": high}).filter(F.when(F.col("n") > 0, holds(F.col("_low")) | holds(F.col("_high"))).otherwise(F.col("_row") == 1))
+    lengths = cells.groupBy("design_id", "_bin", "v").agg(F.sum("c").alias("_k"))
+    inner = W.partitionBy("design_id", "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    # Null-safe keys add no filter to one side, so that both read the same shuffle of the rows.
+    lengths = lengths.select(F.col("design_id").alias("_d"), F.col("_bin").alias("_b"), "v", "_k")
+    met = wanted.join(lengths, wanted["design_id"].eqNullSafe(lengths["_d"]) & wanted["_bin"].eqNullSafe(lengths["_b"]), "left").withColumn("_upto", F.col("_end") - F.col("_c") + F.sum("_k").over(inner))
+    at = lambda rank: F.max(F.when((F.col(rank) < F.col("_upto")) & (F.col(rank) >= F.col("_upto") - F.col("_k")), v))
+    g = met.groupBy("design_id").agg(((at("_low") + at("_high")) / 2).alias("median"), *(F.first(k).alias(k) for k in (*sums, *ends)))
+
+    n = F.greatest(F.lit(1), F.col("n"))
+    span = lambda c: F.greatest(f"max_{c}", f"max_prev_{c[0]}") - F.least(f"min_{c}", f"min_prev_{c[0]}")
+    g = g.withColumns({"w": span("x_mm"), "h": span("y_mm"), "mean": F.when(F.col("n") > 0, F.col("total") / F.col("n"))})
+    shares = F.transform(F.array(*(F.coalesce(f"a{i}", F.lit(0)) for i in range(bins))), lambda x: x / n)
+    entropy = F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda acc, p: acc - p * F.log(p)) / math.log(bins)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / n - F.col("mean") ** 2))
+    area = F.coalesce(F.greatest(F.lit(1e-6), F.col("w") * F.col("h")), F.lit(1e-6))
     r8 = lambda c, name: half_even(F.coalesce(c, F.lit(0.0)), 8).alias(name)
-    return (
-        counts.join(stats, "design_id", "left").join(entropy, "design_id", "left").join(medians, "design_id", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0))).withColumn("area", F.coalesce(area, F.lit(1e-6)))
-        .select(
-            "design_id", F.col("n").alias("stitch_segment_count"), "stitch_command_count", "jump_count", "trim_count",
-            r8(F.col("w"), "bbox_width_mm"), r8(F.col("h"), "bbox_height_mm"), r8(F.col("area"), "bbox_area_mm2"),
-            r8(F.col("total"), "stitch_path_mm"), r8(F.col("mean"), "mean_stitch_length_mm"),
-            r8(F.col("median"), "median_stitch_length_mm"),
-            r8(F.col("sd") / F.greatest(F.lit(1e-6), F.col("mean")), "stitch_length_cv"),
-            r8(F.col("n_short") / F.greatest(F.lit(1), F.col("n")), "short_stitch_ratio"),
-            r8(F.col("n_long") / F.greatest(F.lit(1), F.col("n")), "long_stitch_ratio"),
-            r8(F.col("entropy"), "angle_entropy"), r8(F.col("dominant"), "dominant_angle_mass"),
-            r8(100.0 * F.col("n") / F.col("area"), "stitch_density_per_100mm2"),
-            r8(100.0 * F.coalesce("total", F.lit(0.0)) / F.col("area"), "path_density_per_100mm2"))
-    )
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return g.select(
+        "design_id", count("n").alias("stitch_segment_count"), F.col("STITCH").alias("stitch_command_count"), F.col("JUMP").alias("jump_count"), F.col("TRIM").alias("trim_count"),
+        r8(F.col("w"), "bbox_width_mm"), r8(F.col("h"), "bbox_height_mm"), r8(area, "bbox_area_mm2"),
+        r8(F.col("total"), "stitch_path_mm"), r8(F.col("mean"), "mean_stitch_length_mm"), r8(F.col("median"), "median_stitch_length_mm"),
+        r8(sd / F.greatest(F.lit(1e-6), F.col("mean")), "stitch_length_cv"), r8(count("n_short") / n, "short_stitch_ratio"), r8(count("n_long") / n, "long_stitch_ratio"),
+        r8(entropy, "angle_entropy"), r8(F.array_max(shares), "dominant_angle_mass"),
+        r8(100.0 * F.col("n") / area, "stitch_density_per_100mm2"), r8(100.0 * F.coalesce("total", F.lit(0.0)) / area, "path_density_per_100mm2"))
 
 
 def preview_texture(texture: DataFrame) -> DataFrame:

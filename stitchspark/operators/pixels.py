@@ -28,19 +28,28 @@ def _offsets(points: Sequence[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in points])
 
 
+_BOX = ("n_segments", "min_x", "max_x", "min_y", "max_y")
+
+
 def fit_transform(segments: DataFrame, size: int = 64, padding: int = 4) -> DataFrame:
-    """Scale and centre the segments of each design on a square canvas."""
-    box = segments.groupBy("design_id").agg(
-        F.least(F.min("entry_x_mm"), F.min("exit_x_mm")).alias("min_x"), F.greatest(F.max("entry_x_mm"), F.max("exit_x_mm")).alias("max_x"),
-        F.least(F.min("entry_y_mm"), F.min("exit_y_mm")).alias("min_y"), F.greatest(F.max("entry_y_mm"), F.max("exit_y_mm")).alias("max_y"),
-        F.count(F.lit(1)).alias("n_segments"))
+    """Scale and centre the segments of each design on a square canvas.
+
+    Segments that carry their design's box (``commands.segments_of``) are fitted as they are, with the end of the segment before as seg_x, seg_y; of
+    others the box is found first."""
+    if not set(_BOX) <= set(segments.columns):
+        box = segments.groupBy("design_id").agg(
+            F.least(F.min("entry_x_mm"), F.min("exit_x_mm")).alias("min_x"), F.greatest(F.max("entry_x_mm"), F.max("exit_x_mm")).alias("max_x"),
+            F.least(F.min("entry_y_mm"), F.min("exit_y_mm")).alias("min_y"), F.greatest(F.max("entry_y_mm"), F.max("exit_y_mm")).alias("max_y"),
+            F.count(F.lit(1)).alias("n_segments"))
+        segments = segments.join(box, "design_id")
     w, h = F.greatest(F.lit(1e-6), F.col("max_x") - F.col("min_x")), F.greatest(F.lit(1e-6), F.col("max_y") - F.col("min_y"))
-    box = box.withColumn("scale", F.lit(float(size - 2 * padding)) / F.greatest(w, h)).withColumns(
-        {"ox": (size - w * F.col("scale")) / 2.0, "oy": (size - h * F.col("scale")) / 2.0})
+    s = segments.withColumn("scale", F.lit(float(size - 2 * padding)) / F.greatest(w, h)).withColumns(
+        {"_ox": (size - w * F.col("scale")) / 2.0, "_oy": (size - h * F.col("scale")) / 2.0})
     fit = lambda c, o, m: F.col(o) + (F.col(c) - F.col(m)) * F.col("scale")
-    return segments.join(box, "design_id").withColumns({
-        "entry_x": fit("entry_x_mm", "ox", "min_x"), "entry_y": fit("entry_y_mm", "oy", "min_y"),
-        "exit_x": fit("exit_x_mm", "ox", "min_x"), "exit_y": fit("exit_y_mm", "oy", "min_y")}).drop("min_x", "max_x", "min_y", "max_y", "ox", "oy")
+    before = {"prev_exit_x": fit("seg_x", "_ox", "min_x"), "prev_exit_y": fit("seg_y", "_oy", "min_y")} if "seg_x" in s.columns else {}
+    return s.withColumns(before | {
+        "entry_x": fit("entry_x_mm", "_ox", "min_x"), "entry_y": fit("entry_y_mm", "_oy", "min_y"),
+        "exit_x": fit("exit_x_mm", "_ox", "min_x"), "exit_y": fit("exit_y_mm", "_oy", "min_y")}).drop("min_x", "max_x", "min_y", "max_y", "_ox", "_oy")
 
 
 def line_samples(df: DataFrame, x0: str, y0: str, x1: str, y1: str, steps: Column) -> DataFrame:
@@ -79,35 +88,34 @@ def last_writer_maps(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*PX).agg(F.max_by(row, "segment_id").alias("r"), F.max("segment_id").alias("segment_id")).select(*PX, "r.*", "segment_id")
 
 
-def event_maps(fitted: DataFrame, events: DataFrame, size: int = 64, line_width: int = 1, point_radius: int = 2) -> DataFrame:
-    """Sparse channels of traces, near links, long jumps, trims, color changes and order, merged by maximum.
+def event_maps(fitted: DataFrame, labels: dict[str, Column], closures: DataFrame, size: int = 64, line_width: int = 1, point_radius: int = 2) -> DataFrame:
+    """Sparse channels of traces, near links, long jumps, trims, color changes, closure gaps and order, merged by maximum.
 
-    ``events`` has from_segment, to_segment and the four labels.
-    """
-    trace = rasterize_segments(fitted, size, line_width).select(
-        *PX, F.explode(F.array(
-            F.struct(F.lit("stitch_trace").alias("channel"), F.lit(1.0).alias("value")),
-            F.struct(F.lit("path_order").alias("channel"),
-                     ((F.col("segment_id") - 1) / F.greatest(F.lit(1), F.col("n_segments") - 1)).alias("value")))).alias("c"))
-    ends = fitted.select("design_id", F.col("segment_id").alias("from_segment"), F.col("exit_x").alias("ax"), F.col("exit_y").alias("ay"))
-    starts = fitted.select("design_id", F.col("segment_id").alias("to_segment"), F.col("entry_x").alias("bx"), F.col("entry_y").alias("by"))
-    placed = events.join(ends, ["design_id", "from_segment"]).join(starts, ["design_id", "to_segment"])
-    span = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))).cast("int"))
-    clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(size - 1), c))
-    near = line_samples(placed.filter("near_connect_label"), "ax", "ay", "bx", "by", span)
-    near = near.withColumn("_d", F.explode(_offsets(disc(line_width // 2)))).select(
-        "design_id", clip(F.rint("sy").cast("int") + F.col("_d.dy")).alias("y"), clip(F.rint("sx").cast("int") + F.col("_d.dx")).alias("x"),
-        F.struct(F.lit("near_connect").alias("channel"), F.lit(1.0).alias("value")).alias("c"))
-    mark = lambda label, channel, value: F.when(F.col(label), F.struct(F.lit(channel).alias("channel"), F.lit(value).alias("value")))
-    marks = F.array_compact(F.array(mark("long_jump_label", "long_jump", 1.0), mark("trim_label", "trim", 1.0),
-                                    mark("color_change_label", "color_change", 0.85)))
-    both = F.array(F.struct(F.col("ax").alias("px"), F.col("ay").alias("py")), F.struct(F.col("bx").alias("px"), F.col("by").alias("py")))
-    points = placed.withColumn("c", F.explode(marks)).withColumn("_p", F.explode(both)).withColumn("_d", F.explode(_offsets(disc(point_radius))))
+    ``fitted`` has the end of the segment before (prev_exit_x, prev_exit_y), over which ``labels`` are columns; ``closures`` has the ends x0, y0, x1, y1
+    of each gap in pixels. A segment gives its line, the line to it and its points in one expansion, so nothing is joined to it."""
+    ok = F.sqrt((F.col("exit_x") - F.col("entry_x")) ** 2 + (F.col("exit_y") - F.col("entry_y")) ** 2) >= 1e-6
+    order = (F.col("segment_id") - 1) / F.greatest(F.lit(1), F.col("n_segments") - 1)
+    linked = F.col("seg_x").isNotNull()
+    cell = lambda channel, value: F.struct(F.lit(channel).alias("channel"), (F.lit(value) if isinstance(value, float) else value).alias("value"))
+    shapes = fitted.withColumn("_line", F.explode(F.array_compact(F.array(
+        F.when(ok, F.struct(F.col("entry_x").alias("x0"), F.col("entry_y").alias("y0"), F.col("exit_x").alias("x1"), F.col("exit_y").alias("y1"), F.lit(0).alias("kind"))),
+        F.when(linked & labels["near_connect_label"], F.struct(F.col("prev_exit_x").alias("x0"), F.col("prev_exit_y").alias("y0"), F.col("entry_x").alias("x1"), F.col("entry_y").alias("y1"), F.lit(1).alias("kind")))))))
+    span = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))).cast("int"))
+    clip = lambda c, d: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.rint(c).cast("int") + F.col(d)))
+    lines = line_samples(shapes.select("design_id", "_line.*", order.alias("order")), "x0", "y0", "x1", "y1", span)
+    lines = lines.withColumn("_d", F.explode(_offsets(disc(line_width // 2)))).select(
+        "design_id", clip("sy", "_d.dy").alias("y"), clip("sx", "_d.dx").alias("x"),
+        F.explode(F.when(F.col("kind") == 1, F.array(cell("near_connect", 1.0))).otherwise(F.array(cell("stitch_trace", 1.0), cell("path_order", F.col("order"))))).alias("c"))
+    mark = lambda label, channel, value: F.when(linked & labels[label], cell(channel, value))
+    marks = F.array_compact(F.array(mark("long_jump_label", "long_jump", 1.0), mark("trim_label", "trim", 1.0), mark("color_change_label", "color_change", 0.85)))
+    ends = lambda *names: F.array(*(F.struct(F.col(a).alias("px"), F.col(b).alias("py")) for a, b in names))
+    points = fitted.select("design_id", F.explode(marks).alias("c"), ends(("prev_exit_x", "prev_exit_y"), ("entry_x", "entry_y")).alias("_e"))
+    points = points.unionByName(closures.select("design_id", cell("closure_gap", 1.0).alias("c"), ends(("x0", "y0"), ("x1", "y1")).alias("_e")))
+    points = points.withColumn("_p", F.explode("_e")).withColumn("_d", F.explode(_offsets(disc(point_radius))))
     inside = lambda c: (c >= 0) & (c < size)
     py, px = F.rint("_p.py").cast("int") + F.col("_d.dy"), F.rint("_p.px").cast("int") + F.col("_d.dx")
     points = points.filter(inside(py) & inside(px)).select("design_id", py.alias("y"), px.alias("x"), "c")
-    return trace.unionByName(near).unionByName(points).groupBy("design_id", F.col("c.channel").alias("channel"), "y", "x").agg(
-        F.max("c.value").alias("value"))
+    return lines.unionByName(points).groupBy("design_id", F.col("c.channel").alias("channel"), "y", "x").agg(F.max("c.value").alias("value"))
 
 
 def off_mask_stitches(moves: DataFrame, mask: DataFrame, size: int = 64, target_width_mm: float = 25.6, step_mm: float = 1.0) -> DataFrame:

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import commands as ops
+from ..operators.stream import walk
 from ..functions.scores import unified_score
 from ..functions.semantics import half_even
 from .fixtures import commands
 from .registry import cte, query, r, tidy
 
 
+def segments_of(spark, sf):
+    return ops.segments_of(walk(commands(spark, sf)))
+
+
 @query("command_deltas", f"SELECT design_id, seq, command, {r('dx_mm', 'dy_mm', 'distance_mm')}, has_prev FROM deltas", "deltas")
 def command_deltas(spark, sf):
     return tidy(ops.with_deltas(commands(spark, sf)).select(
@@ -63,8 +68,7 @@ def lock_tack_runs(spark, sf):
 @query("execution_report", """
 SELECT e.*, l.lock_tack_like_count FROM execution_metrics e JOIN lock_tack l USING (design_id)""", "execution_metrics", "lock_tack")
 def execution_report(spark, sf):
-    c = commands(spark, sf)
-    return ops.execution_metrics(c).join(ops.lock_tack_runs(c), "design_id")
+    return ops.execution_report(commands(spark, sf))
 
 
 @query("design_metrics", """
@@ -150,27 +154,37 @@ FROM (SELECT *, sqrt((entry_x_mm - p_x) * (entry_x_mm - p_x) + (entry_y_mm - p_y
 
 @query("path_events", "SELECT * FROM path_events", "path_events")
 def path_events(spark, sf):
-    c = commands(spark, sf)
-    return ops.path_events(ops.build_segments(c), ops.gap_summary(c))
+    return ops.path_events(segments_of(spark, sf))
 
 
 @query("path_event_stats", """
 SELECT design_id, count(*) AS edges, count_if(near_connect_label) AS same_color_near_connect_edges, count_if(long_jump_label) AS long_jump_edges,
   count_if(trim_label) AS trim_edges, count_if(color_change_label) AS color_change_edges FROM path_events GROUP BY 1""", "path_events")
 def path_event_stats(spark, sf):
-    c = commands(spark, sf)
-    e = ops.path_events(ops.build_segments(c), ops.gap_summary(c))
+    e = ops.path_events(segments_of(spark, sf))
     return e.groupBy("design_id").agg(
         F.count(F.lit(1)).alias("edges"), F.count_if("near_connect_label").alias("same_color_near_connect_edges"),
         F.count_if("long_jump_label").alias("long_jump_edges"), F.count_if("trim_label").alias("trim_edges"),
         F.count_if("color_change_label").alias("color_change_edges"))
 
 
-@query("closure_gaps", """
+cte("closures", """
 SELECT design_id, color_layer, from_segment, to_segment, round_even(gap, 4) AS distance_mm, segments, true AS closure_gap_label FROM (
   SELECT design_id, color_layer, max(segment_id) AS from_segment, min(segment_id) AS to_segment, count(*) AS segments,
     sqrt((arg_min(entry_x_mm, segment_id) - arg_max(exit_x_mm, segment_id)) ** 2 + (arg_min(entry_y_mm, segment_id) - arg_max(exit_y_mm, segment_id)) ** 2) AS gap
   FROM segments GROUP BY 1, 2) WHERE gap >= 6.0 AND segments >= 4""", "segments")
+
+
+@query("path_events_with_closures", """
+SELECT design_id, from_segment, to_segment, same_color, distance_mm, commands_between, near_connect_label, long_jump_label, trim_label, color_change_label,
+  'STREAM' AS commands, false AS closure_gap_label, NULL::BIGINT AS color_layer FROM path_events
+UNION ALL SELECT design_id, from_segment, to_segment, true, distance_mm, NULL, NULL, NULL, NULL, NULL, 'CLOSURE_CHECK', true, color_layer FROM closures""", "path_events", "closures")
+def path_events_with_closures(spark, sf):
+    s = segments_of(spark, sf)
+    return ops.with_closures(ops.path_events(s), ops.closure_gaps(s))
+
+
+@query("closure_gaps", "SELECT * FROM closures", "closures")
 def closure_gaps(spark, sf):
     return ops.closure_gaps(ops.build_segments(commands(spark, sf)))
 

@@ -8,6 +8,7 @@ from ..functions.scalars import axis_direction, planner_prior
 from ..operators import commands as cmd
 from ..operators import components as comp
 from ..operators import pixels as px
+from ..operators.stream import walk
 from .fixtures import GRID, commands, masks
 from .registry import cte, query, r, tidy
 
@@ -15,7 +16,7 @@ PAD = 4
 
 
 def segments(spark, sf):
-    return cmd.build_segments(commands(spark, sf))
+    return cmd.segments_of(walk(commands(spark, sf)))
 
 
 def fitted(spark, sf):
@@ -95,15 +96,20 @@ SELECT design_id, channel, y, x, max(value) AS value FROM (
   UNION ALL SELECT design_id, 'near_connect', greatest(0, least({GRID - 1}, CAST(round_even({_STEP.format(a='ay', b='by_')}, 0) AS INTEGER))), greatest(0, least({GRID - 1}, CAST(round_even({_STEP.format(a='ax', b='bx')}, 0) AS INTEGER))), 1.0
     FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, {_SPAN} AS n FROM placed WHERE near_connect_label))
   UNION ALL SELECT design_id, channel, y, x, value FROM (SELECT design_id, channel, value, CAST(round_even(py, 0) AS INTEGER) + ody AS y, CAST(round_even(px, 0) AS INTEGER) + odx AS x FROM (
-     SELECT design_id, m.channel, m.value, p.px, p.py FROM (SELECT *, unnest([{{'channel': 'long_jump', 'value': 1.0::DOUBLE, 'on_': long_jump_label}}, {{'channel': 'trim', 'value': 1.0::DOUBLE, 'on_': trim_label}},
+     SELECT design_id, 'closure_gap' AS channel, 1.0::DOUBLE AS value, p.px, p.py FROM (SELECT design_id, unnest([{{'px': ax, 'py': ay}}, {{'px': bx, 'py': by_}}]) AS p FROM closed)
+     UNION ALL SELECT design_id, m.channel, m.value, p.px, p.py FROM (SELECT *, unnest([{{'channel': 'long_jump', 'value': 1.0::DOUBLE, 'on_': long_jump_label}}, {{'channel': 'trim', 'value': 1.0::DOUBLE, 'on_': trim_label}},
         {{'channel': 'color_change', 'value': 0.85::DOUBLE, 'on_': color_change_label}}]) AS m FROM (SELECT *, unnest([{{'px': ax, 'py': ay}}, {{'px': bx, 'py': by_}}]) AS p FROM placed)) WHERE m.on_), {_disc(2)})
-    WHERE y BETWEEN 0 AND {GRID - 1} AND x BETWEEN 0 AND {GRID - 1}) GROUP BY 1, 2, 3, 4""", "hits", "placed")
+    WHERE y BETWEEN 0 AND {GRID - 1} AND x BETWEEN 0 AND {GRID - 1}) GROUP BY 1, 2, 3, 4""", "hits", "placed", "closed")
+cte("closed", """
+SELECT c.design_id, a.entry_x AS ax, a.entry_y AS ay, b.exit_x AS bx, b.exit_y AS by_ FROM closures c JOIN fitted a ON c.design_id = a.design_id AND c.to_segment = a.segment_id
+JOIN fitted b ON c.design_id = b.design_id AND c.from_segment = b.segment_id""", "closures", "fitted")
 
 
 def events_px(spark, sf):
-    c = commands(spark, sf)
-    seg = cmd.build_segments(c)
-    return px.event_maps(px.fit_transform(seg, GRID, PAD), cmd.path_events(seg, cmd.gap_summary(c)), GRID)
+    f = fitted(spark, sf)
+    ends = ("entry_x", "entry_y", "exit_x", "exit_y")
+    closures = cmd.closure_gaps(f, extra=ends).withColumnsRenamed(dict(zip(ends, ("x0", "y0", "x1", "y1"))))
+    return px.event_maps(f, cmd.event_labels(), closures, GRID)
 
 
 @query("event_maps", f"SELECT design_id, channel, y, x, {r('value')} FROM event_px", "event_px")
@@ -220,10 +226,8 @@ SELECT design_id, connector_id, avg((v > 0)::INTEGER) AS inside_fraction, min(v)
 
 
 def links(spark, sf):
-    from ..functions.ordered import previous_values
-    f = fitted(spark, sf).withColumn("_p", F.col("segment_id") - 1)
-    p = previous_values(f, ["design_id"], "_p", {"ax": "exit_x", "ay": "exit_y"}).filter("ax IS NOT NULL")
-    return p.select("design_id", F.col("segment_id").alias("connector_id"), "ax", "ay", F.col("entry_x").alias("bx"), F.col("entry_y").alias("by"))
+    p = fitted(spark, sf).filter("prev_exit_x IS NOT NULL")
+    return p.select("design_id", F.col("segment_id").alias("connector_id"), F.col("prev_exit_x").alias("ax"), F.col("prev_exit_y").alias("ay"), F.col("entry_x").alias("bx"), F.col("entry_y").alias("by"))
 
 
 def link_stats(spark, sf):

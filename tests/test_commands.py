@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stitchspark.functions.scores import unified_score
 from stitchspark.operators import commands as ops
+from stitchspark.operators.stream import walk
 
 
 def stream(spark, *designs):
@@ -44,7 +45,7 @@ def test_segments_and_events(spark):
     df = stream(spark, [("JUMP", 0), ("STITCH", 1), ("TRIM", 1), ("COLOR_CHANGE", 12), ("STITCH", 13), ("STITCH", 14)])
     seg = ops.build_segments(df)
     assert [(r["segment_id"], r["color_layer"]) for r in seg.orderBy("segment_id").collect()] == [(1, 1), (2, 2), (3, 2)]
-    e = ops.path_events(seg, ops.gap_summary(df)).orderBy("to_segment").collect()
+    e = ops.path_events(ops.segments_of(walk(df, 2))).orderBy("to_segment").collect()
     assert (e[0]["distance_mm"], e[0]["long_jump_label"], e[0]["trim_label"], e[0]["color_change_label"], e[0]["near_connect_label"]) == (11.0, True, True, True, False)
     assert e[1]["near_connect_label"] and not e[1]["color_change_label"]
     p = ops.preceding_commands(df).orderBy("stitch_no", "position").collect()
