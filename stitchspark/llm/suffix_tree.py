@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ BATCH, BUCKET = 300_000, 1_200_000
 #: Gains and shares of words are added up as whole numbers, so that their order doesn't matter.
 _UNIT = 1_000_000_000
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" "))
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Kinds of totals: counts of sequences have the number of their words; numbers of different words after a context, and gains of contexts, this and theirs.
 _TYPES, _GAIN = 100, 200
@@ -47,14 +49,22 @@ class _Words(dict):
         return h
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """An array with the first bytes of all numbers first, and so on: small numbers compress well that way."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+def _blob(a: np.ndarray) -> bytes:
+    """An array of whole numbers in as few bytes as its largest needs, first bytes of all first, and so on, compressed."""
+    kind = np.int64 if len(a) and a.min() < 0 else np.min_scalar_type(a.max() if len(a) else 0)
+    planes = np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(len(a), -1).T)
+    return np.dtype(kind).char.encode() + _ZIP.compress(planes.tobytes())
 
 
-def _array(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+def _array(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:1].decode())
+    planes = np.frombuffer(_UNZIP.decompress(data[1:]), np.uint8).reshape(kind.itemsize, -1)
+    a = np.ascontiguousarray(planes.T).view(kind)[:, 0]
+    return a if kind == np.uint64 else a.astype(np.int64)
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return _array(data).astype(np.uint64)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +77,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_words = np.concatenate([w[0] for w in waiting])
         vocabulary, index = np.unique(all_words, return_inverse=True)
         sizes, lead, train = (np.array([w[k] for w in waiting], t) for k, t in ((1, np.int64), (2, np.int64), (5, np.uint8)))
-        cells = [part + made, _planes(vocabulary), _planes(index.astype(np.int32)), _planes(sizes), _planes(lead), _planes(train), [w[3] for w in waiting], [w[4] for w in waiting], [w[6] for w in waiting]]
+        cells = [part + made, _blob(vocabulary), _blob(index), _blob(sizes), _blob(lead), _blob(train), [w[3] for w in waiting], [w[4] for w in waiting], [w[6] for w in waiting]]
         kinds = [pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
         made, waiting = made + 1, []
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], [x.split()[0] for x in _KEPT.split(", ")])
@@ -95,13 +105,13 @@ class _Batch:
 
     def __init__(self, row: dict):
         self.row = row
-        self.vocabulary, self.index = _array(row["vocabulary"], np.uint64), _array(row["words"], np.int32)
-        self.sizes, self.lead = _array(row["sizes"], np.int64), _array(row["lead"], np.int64)
+        self.vocabulary, self.index = _keys(row["vocabulary"]), _array(row["words"])
+        self.sizes, self.lead = _array(row["sizes"]), _array(row["lead"])
         first = np.cumsum(self.sizes) - self.sizes
         self.first, self.piece = first, np.repeat(np.arange(len(first)), self.sizes)
         self.offset = np.arange(len(self.index)) - first[self.piece]
         self.scored = self.offset >= self.lead[self.piece]
-        self.own = (self.scored & (_array(row["train"], np.uint8)[self.piece] > 0)).astype(np.int64)
+        self.own = (self.scored & (_array(row["train"])[self.piece] > 0)).astype(np.int64)
         self._keys = [None, self.vocabulary[self.index]]
 
     def keys(self, order: int) -> np.ndarray:
@@ -114,9 +124,16 @@ class _Batch:
         return self._keys[order]
 
     def counts(self, order: int) -> np.ndarray:
-        known = _array(self.row[f"n{order}"], np.int64)
+        known = _array(self.row[f"n{order}"])
         return known[self.index] if order == 1 else known
 
+    def followers(self, depth: int) -> np.ndarray:
+        """How many different words follow the context of `depth` words before each word."""
+        known = _array(self.row[f"t{depth}"])
+        if depth == 1:
+            known = np.concatenate([known[:1], known[self.index[:-1]]])
+        return known
+
     def before(self, order: int) -> np.ndarray:
         """Counts of the context of so many words before each word; 0 where a piece has no such context."""
         n = np.zeros(len(self.index), np.int64)
@@ -126,7 +143,7 @@ class _Batch:
 
     def level(self) -> np.ndarray:
         """The length of the longest context in the tree that was found so far."""
-        return _array(self.row["level"], np.int8) if self.row.get("level") else np.zeros(len(self.index), np.int8)
+        return _array(self.row["level"]) if self.row.get("level") else np.zeros(len(self.index), np.int64)
 
     def contexts(self, depth: int) -> np.ndarray:
         """Words whose context of `depth` words occurs often enough."""
@@ -146,7 +163,7 @@ class _Batch:
         """Chances of each word after contexts of 0 to `depth` words, with `out` occurrences of the word itself left out."""
         p = [(self.counts(1) - out + 0.5) / max(n - out + 0.5 * (types + 1), 0.5)]
         for d in range(1, depth + 1):
-            here, followers = self.counts(d + 1), _array(self.row[f"t{d}"], np.int64) / _UNIT
+            here, followers = self.counts(d + 1), self.followers(d)
             if d > 1 and not out:
                 here = np.where(self.counts(d) < 2, 0, here)
             followers = np.maximum(followers - out * (here == 1), 1)
@@ -176,19 +193,24 @@ class _Batch:
 
         found = {}
         if step == 0:
-            found["n1"] = _planes(totals.get(1, np.zeros(len(self.vocabulary), np.int64)))
+            found["n1"] = _blob(totals[1])
         if 1 <= step <= DEPTH:
-            some, followers = self.contexts(step), np.zeros(len(self.index), np.int64)
-            followers[some] = of(_TYPES + step, self.keys(step)[some - 1])
-            found[f"t{step}"] = _planes(followers)
+            some = self.contexts(step)
+            if step == 1:  # by word
+                followers = np.zeros(len(self.vocabulary), np.int64)
+                followers[np.unique(self.index[some - 1])] = totals.get(_TYPES + 1, 0)
+            else:
+                followers = np.zeros(len(self.index), np.int64)
+                followers[some] = of(_TYPES + step, self.keys(step)[some - 1])
+            found[f"t{step}"] = _blob(followers)
         if step >= 2:
             some, level = self.open_contexts(step - 1), self.level().copy()
-            level[some[of(_GAIN + step - 1, self.keys(step - 1)[some - 1]) >= GAIN * _UNIT]] = step - 1
-            found["level"] = _planes(level)
+            level[some[of(_GAIN + step - 1, self.keys(step - 1)[some - 1]) > 0]] = step - 1
+            found["level"] = _blob(level)
         if step + 2 <= DEPTH + 1:
             some, n = self.open_sequences(step + 2), self.own.copy()
             n[some] = of(step + 2, self.keys(step + 2)[some])
-            found[f"n{step + 2}"] = _planes(n)
+            found[f"n{step + 2}"] = _blob(n)
         return found
 
     def sums(self, n: int, types: int) -> list[np.ndarray]:
@@ -220,7 +242,7 @@ def _ask(step: int, buckets: int, n: int, types: int):
             for kind, keys, counts in _Batch(row).asked(step, n, types):
                 cuts = np.r_[0, np.searchsorted(keys, edges), len(keys)]
                 some = np.flatnonzero(cuts[1:] > cuts[:-1])
-                cut = lambda a: pa.array([_planes(a[cuts[b]:cuts[b + 1]]) for b in some], pa.binary())
+                cut = lambda a: pa.array([_blob(a[cuts[b]:cuts[b + 1]]) for b in some], pa.binary())
                 # Keys are in order, so their differences are smaller numbers.
                 steps = np.diff(keys, prepend=np.uint64(0))
                 steps[cuts[some]] = keys[cuts[some]]
@@ -230,9 +252,9 @@ def _ask(step: int, buckets: int, n: int, types: int):
 
 
 def _add_up(asked: pa.Table) -> pa.Table:
-    """All that was asked of one bucket to the totals, in the same order; types: distinct keys with a total above 0, in one row."""
-    parts = [np.cumsum(_array(k, np.uint64), dtype=np.uint64) for k in asked["keys"].to_pylist()]
-    counts = np.concatenate([_array(c, np.int64) for c in asked["counts"].to_pylist()])
+    """All that was asked of one bucket to what its totals say, in the same order; types: distinct keys with a total above 0, in one row."""
+    parts = [np.cumsum(_keys(k), dtype=np.uint64) for k in asked["keys"].to_pylist()]
+    counts = np.concatenate([_array(c) for c in asked["counts"].to_pylist()])
     keys = np.concatenate(parts)
     order = np.argsort(keys, kind="stable")
     new = np.r_[True, keys[order][1:] != keys[order][:-1]]
@@ -240,26 +262,35 @@ def _add_up(asked: pa.Table) -> pa.Table:
     per_key = np.empty_like(counts)
     per_key[order] = total[np.cumsum(new) - 1]
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    types = np.zeros(len(parts), np.int64)
+    types, kind = np.zeros(len(parts), np.int64), asked["kind"][0].as_py()
     types[0] = (total > 0).sum()
-    return pa.table({"batch": asked["batch"], "kind": asked["kind"], "bucket": asked["bucket"], "totals": pa.array([_planes(x) for x in np.split(per_key, cuts)], pa.binary()), "types": types})
+    if kind > _GAIN:
+        per_key = (per_key >= GAIN * _UNIT).astype(np.int64)
+    elif kind > _TYPES:
+        per_key = np.rint(per_key / _UNIT).astype(np.int64)
+    return pa.table({"batch": asked["batch"], "kind": asked["kind"], "bucket": asked["bucket"], "totals": pa.array([_blob(x) for x in np.split(per_key, cuts)], pa.binary()), "types": types})
+
+
+def _told(row: dict, step: int) -> dict:
+    totals: dict[int, list] = {}
+    for a in sorted(row.pop("answers") or [], key=lambda a: (a["kind"], a["bucket"])):
+        totals.setdefault(a["kind"], []).append(_array(a["totals"]))
+    return row | _Batch(row).told(step, {k: np.concatenate(v) for k, v in totals.items()})
 
 
 def _hear(step: int, names: list[str]):
     def hear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            totals: dict[int, list] = {}
-            for a in sorted(row.pop("answers") or [], key=lambda a: (a["kind"], a["bucket"])):
-                totals.setdefault(a["kind"], []).append(_array(a["totals"], np.int64))
-            row |= _Batch(row).told(step, {k: np.concatenate(v) for k, v in totals.items()})
+            row = _told(row, step)
             lists = {"ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "rows": pa.list_(pa.int64()), "batch": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array([row[c]], lists.get(c, pa.binary())) for c in names], names)
     return hear
 
 
-def _finish(n: int, types: int):
+def _finish(step: int, n: int, types: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
+            row = _told(row, step)
             words, known, base, score = _Batch(row).sums(n, types)
             yield pa.RecordBatch.from_arrays([pa.array(row["rows"], pa.int64()), pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(words), pa.array(known), pa.array(base), pa.array(score)],
                                              ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -276,27 +307,28 @@ def score(df: DataFrame) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held"), F.coalesce(rest != 1, F.lit(False)).alias("train"), "text")
     kept, kinds = scratch.keep(docs.mapInArrow(_pack, _KEPT), "words-0"), _KEPT
-    total, types = kept.agg(F.sum(F.length("words") / 4)).first()[0] or 0, 0
-    buckets, n = int(total) // BUCKET + 1, 0
+    sizes = kept.mapInArrow(_sizes, "words long, trained long").agg(F.sum("words"), F.sum("trained")).first()
+    buckets, n, types = (sizes[0] or 0) // BUCKET + 1, sizes[1] or 0, 0
     for step in range(DEPTH + 2):
         asked = kept.mapInArrow(_ask(step, buckets, n, types), _ASKED)
         told = scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(_add_up, "batch long, kind int, bucket int, totals binary, types long"), f"told-{step}")
         if step == 0:
             types = told.filter("kind = 1").agg(F.sum("types")).first()[0] or 0
         answers = told.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
-        new = [*(["n1"] if step == 0 else [f"t{step}"] if step <= DEPTH else []), *(["level"] if step == 2 else []), *([f"n{step + 2}"] if step + 2 <= DEPTH + 1 else [])]
+        both = kept.join(answers, "batch", "left")
+        if step > DEPTH:
+            break
+        new = [*(["n1"] if step == 0 else [f"t{step}"]), *(["level"] if step == 2 else []), *([f"n{step + 2}"] if step + 2 <= DEPTH + 1 else [])]
         kinds = ", ".join([kinds, *(f"{c} binary" for c in new)])
-        names = [x.split()[0] for x in kinds.split(", ")]
-        kept = scratch.keep(kept.join(answers, "batch", "left").mapInArrow(_hear(step, names), kinds), f"words-{step + 1}")
+        kept = scratch.keep(both.mapInArrow(_hear(step, [x.split()[0] for x in kinds.split(", ")]), kinds), f"words-{step + 1}")
         scratch.drop(f"words-{step}")
         scratch.drop(f"told-{step}")
-        if step == 0:
-            n = kept.mapInArrow(_trained, "n long").agg(F.sum("n")).first()[0] or 0
-    made = kept.mapInArrow(_finish(n, types), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    made = both.mapInArrow(_finish(step, n, types), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     whole = made.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([int(_Batch(row).own.sum())])], ["n"])
+        b = _Batch(row)
+        yield pa.RecordBatch.from_arrays([pa.array([len(b.index)]), pa.array([int(b.own.sum())])], ["words", "trained"])
