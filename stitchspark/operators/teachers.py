@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import BLOCK_ROWS, order_number, previous_values
 from ..functions.scalars import candidate_family, label_family
 from ..functions.semantics import half_even, mean0, num_value
 from .summaries import execution_risk
@@ -123,60 +124,62 @@ def positives(df: DataFrame, columns: Sequence[str] = SCHEMA) -> DataFrame:
     return df.filter("is_positive_teacher > 0").select(*[c for c in columns if c in df.columns])
 
 
-def edge_features(rows: DataFrame) -> DataFrame:
-    """Features of candidate nodes against the current point and the previous node.
-
-    ``rows``: cur_x, cur_y, start_x, start_y, end_x, end_y, length_mm, point_count, prev_length_mm, prev_points, bbox (x0, y0, x1, y1).
-    """
-    gap = lambda a, b: F.sqrt((F.col("cur_x") - F.col(a)) ** 2 + (F.col("cur_y") - F.col(b)) ** 2)
-    s, e = gap("start_x", "start_y"), gap("end_x", "end_y")
-    rev = e < s
-    dx = F.when(rev, F.col("end_x")).otherwise(F.col("start_x")) - F.col("cur_x")
-    dy = F.when(rev, F.col("end_y")).otherwise(F.col("start_y")) - F.col("cur_y")
-    w, h = F.greatest(F.lit(0.0), F.col("x1") - F.col("x0")), F.greatest(F.lit(0.0), F.col("y1") - F.col("y0"))
-    tiny = F.lit(1e-6)
-    return rows.withColumns({
-        "distance_to_start_mm": s, "distance_to_end_mm": e, "min_endpoint_distance_mm": F.least(s, e), "endpoint_distance_gap_mm": F.abs(s - e),
-        "choose_reverse_by_distance": rev.cast("double"), "dx_best_endpoint_mm": dx, "dy_best_endpoint_mm": dy,
-        "abs_dx_best_endpoint_mm": F.abs(dx), "abs_dy_best_endpoint_mm": F.abs(dy),
-        "length_ratio_to_previous": F.col("length_mm") / F.greatest(tiny, F.col("prev_length_mm")),
-        "point_ratio_to_previous": F.col("point_count") / F.greatest(tiny, F.col("prev_points")),
-        "candidate_bbox_width_px": w, "candidate_bbox_height_px": h, "candidate_bbox_area_px": w * h, "candidate_bbox_aspect": w / F.greatest(tiny, h)})
-
-
-def edge_decisions(nodes: DataFrame, edges: DataFrame, max_negatives: int = 32) -> DataFrame:
-    """Positive and nearest unvisited nodes of each routing decision.
-
-    ``nodes``: task_id, node_id, start_x, start_y, end_x, end_y; ``edges``: task_id, step, from_node, to_node, reverse.
-    A node stays a candidate until the step that visits it.  The nodes of a task are the pieces of one color of
-    one canvas, which bounds them; a decision leaves the task with at most 1 + ``max_negatives`` rows.
-    """
-    import numpy as np
-    import pandas as pd
-
-    schema = "task_id bigint, step bigint, from_node bigint, candidate_node bigint, label int, remaining_count bigint, cur_x double, cur_y double, min_endpoint_distance_mm double"
-
-    def decide(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.drop_duplicates("node_id", keep="last").sort_values("node_id")
-        ids = n["node_id"].to_numpy()
-        at = {v: k for k, v in enumerate(ids)}
-        start, end = n[["start_x", "start_y"]].to_numpy(float), n[["end_x", "end_y"]].to_numpy(float)
-        left, out, cur = np.ones(len(ids), bool), [], None
-        for row in e.sort_values("step").itertuples(index=False):
-            k = at.get(row.to_node)
-            if len(ids) <= 1 or k is None or not left[k]:
-                continue
-            if row.from_node != -1:
-                if cur is None:
-                    f = at.get(row.from_node)
-                    cur = end[f] if f is not None else np.zeros(2)
-                gap = np.minimum(np.hypot(*(start - cur).T), np.hypot(*(end - cur).T))
-                others = np.flatnonzero(left & (np.arange(len(ids)) != k))
-                near = others[np.argsort(gap[others], kind="stable")[:max_negatives]]
-                for c in (k, *near):
-                    out.append((key[0], row.step, row.from_node, ids[c], int(c == k), int(left.sum()), cur[0], cur[1], gap[c]))
-            left[k] = False
-            cur = start[k] if row.reverse else end[k]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return nodes.groupBy("task_id").cogroup(edges.groupBy("task_id")).applyInPandas(decide, schema)
+#: Names of the features of a routing decision's candidates, in their order (fixed values).
+EDGE_FEATURES = (
+    "distance_to_start_mm", "distance_to_end_mm", "min_endpoint_distance_mm", "endpoint_distance_gap_mm", "choose_reverse_by_distance",
+    "dx_best_endpoint_mm", "dy_best_endpoint_mm", "abs_dx_best_endpoint_mm", "abs_dy_best_endpoint_mm", "candidate_length_mm", "candidate_point_count",
+    "previous_length_mm", "previous_point_count", "length_ratio_to_previous", "point_ratio_to_previous", "remaining_count", "step_index", "task_area_px",
+    "task_order_score", "task_type_running", "task_type_satin", "task_type_fill", "selected_edge_distance_mm", "selected_edge_cost",
+    "candidate_bbox_width_px", "candidate_bbox_height_px", "candidate_bbox_area_px", "candidate_bbox_aspect")
+
+
+def edge_features() -> dict[str, Column]:
+    """The 28 features, over a decision's cur_x, cur_y, prev_length_mm, prev_points, remaining, step, edge_distance_mm, edge_cost, a candidate's start_x,
+    start_y, end_x, end_y, length_mm, point_count, x0, y0, x1, y1 and a task's type_id, area_px, order_score. Absent numbers count as 0."""
+    v = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    gap = lambda end: F.sqrt((v("cur_x") - v(f"{end}_x")) ** 2 + (v("cur_y") - v(f"{end}_y")) ** 2)
+    s, e = gap("start"), gap("end")
+    toward = lambda axis: F.when(e < s, v(f"end_{axis}")).otherwise(v(f"start_{axis}")) - v(f"cur_{axis}")
+    side = lambda axis: F.greatest(F.lit(0.0), v(f"{axis}1") - v(f"{axis}0"))
+    ratio = lambda a, b: a / F.greatest(F.lit(1e-6), b)
+    kind = lambda k: (F.coalesce(F.col("type_id").cast("long"), F.lit(0)) == k).cast("double")
+    columns = (s, e, F.least(s, e), F.abs(s - e), (e < s).cast("double"), toward("x"), toward("y"), F.abs(toward("x")), F.abs(toward("y")), v("length_mm"), v("point_count"),
+               v("prev_length_mm"), v("prev_points"), ratio(v("length_mm"), v("prev_length_mm")), ratio(v("point_count"), v("prev_points")), v("remaining"), v("step"), v("area_px"),
+               v("order_score"), kind(1), kind(2), kind(3), v("edge_distance_mm"), v("edge_cost"), side("x"), side("y"), side("x") * side("y"), ratio(side("x"), side("y")))
+    return dict(zip(EDGE_FEATURES, columns, strict=True))
+
+
+def edge_decisions(tasks: DataFrame, nodes: DataFrame, edges: DataFrame, max_negatives: int = 24, steps: int = 256, rows: int = BLOCK_ROWS) -> DataFrame:
+    """task_id, step, from_node, candidate_node, selected_node, label and the 28 features of the nodes that each routing decision could take: the one that
+    it took and the ``max_negatives`` nearest others that no earlier step has visited, by distance and number.
+
+    ``tasks``: task_id, type_id, area_px, order_score; ``nodes``: task_id, node_id (once), start_x, start_y, end_x, end_y, length_mm, point_count, x0, y0,
+    x1, y1; ``edges``: task_id, step (once), from_node, to_node, reverse, distance_mm, cost. An edge to a node that isn't there or was visited before is
+    passed over; one from node -1 starts the route without a decision; tasks with one node have none.
+
+    A node is a candidate of all decisions up to its own visit. Visits are numbered along the route and cut into ranges of ``steps``; a node is sent to
+    each range that it outlives and meets the decisions there, so a long route is many groups of bounded height."""
+    counted = nodes.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_nodes")).filter("n_nodes > 1")
+    real = edges.join(nodes.select("task_id", F.col("node_id").alias("to_node")), ["task_id", "to_node"], "left_semi")
+    first = real.groupBy("task_id", F.col("to_node").alias("node_id")).agg(F.min_by(F.struct("step", "from_node", "reverse", "distance_mm", "cost"), "step").alias("e"))
+    visits = order_number(first.join(counted, "task_id").select("task_id", "node_id", "n_nodes", "e.*"), ["task_id"], [F.col("step")], F.floor(F.col("step") / rows), "visit")
+    visited = visits.withColumn("visit", F.col("visit") - 1).join(nodes, ["task_id", "node_id"])
+    ends = {"cur_x": F.when(F.col("reverse"), F.col("start_x")).otherwise(F.col("end_x")), "cur_y": F.when(F.col("reverse"), F.col("start_y")).otherwise(F.col("end_y"))}
+    known = previous_values(visited, ["task_id"], "visit", ends | {"prev_length_mm": "length_mm", "prev_points": "point_count"}, rows)
+    decisions = known.filter("from_node <> -1").select("task_id", "step", "from_node", F.col("node_id").alias("selected_node"), "visit", (F.col("n_nodes") - F.col("visit")).alias("remaining"),
+                                                       F.col("distance_mm").alias("edge_distance_mm"), F.col("cost").alias("edge_cost"), "cur_x", "cur_y", "prev_length_mm", "prev_points")
+    # A route that doesn't start from node -1 starts at the end of the node that its first edge names.
+    origin = nodes.select("task_id", F.col("node_id").alias("from_node"), F.col("end_x").alias("_x"), F.col("end_y").alias("_y"), F.col("length_mm").alias("_l"), F.col("point_count").alias("_p"))
+    decisions = decisions.join(origin, ["task_id", "from_node"], "left")
+    start = {c: F.when(F.col("visit") == 0, F.col(o)).otherwise(F.col(c)) for c, o in (("cur_x", "_x"), ("cur_y", "_y"), ("prev_length_mm", "_l"), ("prev_points", "_p"))}
+    decisions = decisions.withColumns(start | {"range": F.floor(F.col("visit") / steps)}).drop("_x", "_y", "_l", "_p").join(tasks.select("task_id", "type_id", "area_px", "order_score"), "task_id", "left")
+
+    last = visits.groupBy("task_id").agg(F.max("visit").alias("visits"))
+    lasting = nodes.join(visited.select("task_id", "node_id", F.col("visit").alias("until")), ["task_id", "node_id"], "left").join(last, "task_id")
+    lasting = lasting.withColumn("until", F.coalesce("until", F.col("visits") - 1)).drop("visits")
+    alive = lasting.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("until") / steps)))).withColumnRenamed("node_id", "candidate_node")
+    met = decisions.join(alive, ["task_id", "range"]).filter(F.col("until") >= F.col("visit")).withColumns(
+        {"label": (F.col("candidate_node") == F.col("selected_node")).cast("int")} | edge_features())
+    near = F.row_number().over(Window.partitionBy("task_id", "step", "label").orderBy("min_endpoint_distance_mm", "candidate_node"))
+    kept = met.withColumn("_near", near).filter(F.col("_near") <= max(1, max_negatives)) if max_negatives > 0 else met
+    return kept.select("task_id", F.col("step"), "from_node", "candidate_node", "selected_node", "label", *EDGE_FEATURES)

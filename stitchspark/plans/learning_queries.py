@@ -14,6 +14,64 @@ from .policy_queries import gated_pool
 from .registry import Tables, cte, query, r, tidy
 from .selection_queries import decisions, grid_choice
 
+# ---- routes ----
+cte("route_nodes", """
+SELECT design_id AS task_id, seq // 6 AS node_id, arg_min(x_mm, seq) AS start_x, arg_min(y_mm, seq) AS start_y, arg_max(x_mm, seq) AS end_x, arg_max(y_mm, seq) AS end_y,
+  coalesce(sum(distance_mm) FILTER (seq % 6 > 0), 0.0) AS length_mm, count(*) AS point_count, min(x_mm) * 10 AS x0, min(y_mm) * 10 AS y0, max(x_mm) * 10 AS x1, max(y_mm) * 10 AS y1
+FROM deltas GROUP BY 1, 2""", "deltas")
+cte("route_edges", """
+SELECT task_id, node_id * 37 % 101 * 1000000 + node_id + add_ AS step, CASE WHEN node_id % 23 = 0 THEN -1 ELSE node_id + 1 END AS from_node, CASE WHEN add_ = 400000000 THEN -5 - node_id ELSE node_id END AS to_node,
+  node_id % 3 = 0 AS reverse, node_id % 17 * 0.5::DOUBLE AS distance_mm, node_id % 13 * 0.25::DOUBLE AS cost
+FROM route_nodes, (SELECT unnest([0, 400000000, 500000000]) AS add_)
+WHERE CASE add_ WHEN 0 THEN node_id % 11 <> 7 WHEN 400000000 THEN node_id % 9 = 0 ELSE node_id % 5 = 0 AND node_id % 11 <> 7 END""", "route_nodes")
+
+
+def routes(spark, sf):
+    """Tasks, nodes and edges of a route through each design's chunks of six commands; some edges repeat a node or name none."""
+    d = cmd.with_deltas(commands(spark, sf)).withColumn("node_id", F.floor(F.col("seq") / 6))
+    first, last = (lambda c: F.min_by(c, "seq")), (lambda c: F.max_by(c, "seq"))
+    nodes = d.groupBy(F.col("design_id").alias("task_id"), "node_id").agg(
+        first("x_mm").alias("start_x"), first("y_mm").alias("start_y"), last("x_mm").alias("end_x"), last("y_mm").alias("end_y"),
+        F.coalesce(F.sum(F.when(F.col("seq") % 6 > 0, F.col("distance_mm"))), F.lit(0.0)).alias("length_mm"), F.count(F.lit(1)).alias("point_count"),
+        *((agg(c) * 10).alias(f"{c[0]}{k}") for k, agg in ((0, F.min), (1, F.max)) for c in ("x_mm", "y_mm")))
+    tasks = nodes.groupBy("task_id").agg((F.sum("point_count") * 1.5).alias("area_px")).withColumns({"type_id": F.col("task_id") % 5, "order_score": (F.col("task_id") % 7) / 7.0})
+    n = F.col("node_id")
+    kinds = F.array_compact(F.array(F.when(n % 11 != 7, F.lit(0)), F.when(n % 9 == 0, F.lit(400000000)), F.when((n % 5 == 0) & (n % 11 != 7), F.lit(500000000))))
+    edges = nodes.select("task_id", "node_id", F.explode(kinds).alias("add")).select(
+        "task_id", (n * 37 % 101 * 1000000 + n + F.col("add")).alias("step"), F.when(n % 23 == 0, F.lit(-1)).otherwise(n + 1).alias("from_node"),
+        F.when(F.col("add") == 400000000, -5 - n).otherwise(n).alias("to_node"), (n % 3 == 0).alias("reverse"), (n % 17 * 0.5).alias("distance_mm"), (n % 13 * 0.25).alias("cost"))
+    return tasks, nodes, edges
+
+
+_GAPS = ("sqrt((cx - start_x) * (cx - start_x) + (cy - start_y) * (cy - start_y))", "sqrt((cx - end_x) * (cx - end_x) + (cy - end_y) * (cy - end_y))")
+_TOWARD = {k: f"CASE WHEN e < s THEN end_{k} ELSE start_{k} END - c{k}" for k in "xy"}
+_EDGE_SQL = ("s", "e", "least(s, e)", "abs(s - e)", "(e < s)::INTEGER::DOUBLE", _TOWARD["x"], _TOWARD["y"], f"abs({_TOWARD['x']})", f"abs({_TOWARD['y']})", "length_mm", "point_count::DOUBLE",
+             "pl", "pp::DOUBLE", "length_mm / greatest(1e-6, pl)", "point_count / greatest(1e-6, pp::DOUBLE)", "remaining::DOUBLE", "step::DOUBLE", "area_px", "order_score",
+             "(type_id = 1)::INTEGER::DOUBLE", "(type_id = 2)::INTEGER::DOUBLE", "(type_id = 3)::INTEGER::DOUBLE", "distance_mm", "cost", "x1 - x0", "y1 - y0", "(x1 - x0) * (y1 - y0)",
+             "(x1 - x0) / greatest(1e-6, y1 - y0)")
+cte("edge_decisions", f"""
+WITH tasks AS (SELECT task_id, sum(point_count) * 1.5::DOUBLE AS area_px, task_id % 5 AS type_id, (task_id % 7) / 7.0::DOUBLE AS order_score, count(*) AS n FROM route_nodes GROUP BY 1),
+once AS (SELECT g.* FROM route_edges g JOIN route_nodes v ON g.task_id = v.task_id AND g.to_node = v.node_id QUALIFY row_number() OVER (PARTITION BY g.task_id, g.to_node ORDER BY step) = 1),
+visits AS (SELECT o.*, n, area_px, type_id, order_score, row_number() OVER (PARTITION BY task_id ORDER BY step) - 1 AS visit FROM once o JOIN tasks USING (task_id) WHERE n > 1),
+placed AS (SELECT p.*, v.length_mm, v.point_count, CASE WHEN reverse THEN start_x ELSE end_x END AS ex, CASE WHEN reverse THEN start_y ELSE end_y END AS ey FROM visits p JOIN route_nodes v ON p.task_id = v.task_id AND p.to_node = v.node_id),
+moved AS (SELECT *, lag(ex) OVER w AS px, lag(ey) OVER w AS py, lag(length_mm) OVER w AS plen, lag(point_count) OVER w AS ppts FROM placed WINDOW w AS (PARTITION BY task_id ORDER BY step)),
+decided AS (
+  SELECT m.task_id, step, from_node, to_node, visit, n - visit AS remaining, area_px, type_id, order_score, distance_mm, cost,
+    coalesce(CASE WHEN visit = 0 THEN f.end_x ELSE px END, 0.0) AS cx, coalesce(CASE WHEN visit = 0 THEN f.end_y ELSE py END, 0.0) AS cy,
+    coalesce(CASE WHEN visit = 0 THEN f.length_mm ELSE plen END, 0.0) AS pl, coalesce(CASE WHEN visit = 0 THEN f.point_count ELSE ppts END, 0) AS pp
+  FROM moved m LEFT JOIN route_nodes f ON f.task_id = m.task_id AND f.node_id = m.from_node WHERE from_node <> -1),
+met AS (
+  SELECT d.*, c.node_id, (c.node_id = d.to_node)::INTEGER AS label, c.start_x, c.start_y, c.end_x, c.end_y, c.length_mm, c.point_count, c.x0, c.y0, c.x1, c.y1, {_GAPS[0]} AS s, {_GAPS[1]} AS e
+  FROM decided d JOIN route_nodes c USING (task_id) LEFT JOIN visits u ON u.task_id = c.task_id AND u.to_node = c.node_id WHERE u.visit IS NULL OR u.visit >= d.visit)
+SELECT task_id, step, from_node, node_id AS candidate_node, to_node AS selected_node, label, {', '.join(f'round_even({x}, 6) AS {n}' for n, x in zip(teachers.EDGE_FEATURES, _EDGE_SQL, strict=True))}
+FROM met QUALIFY row_number() OVER (PARTITION BY task_id, step, label ORDER BY least(s, e), node_id) <= 24""", "route_nodes", "route_edges")
+
+
+@query("edge_decisions", "SELECT * FROM edge_decisions", "edge_decisions")
+def edge_decisions(spark, sf):
+    return tidy(teachers.edge_decisions(*routes(spark, sf)))
+
+
 # ---- teachers ----
 _TF = """CASE WHEN candidate = 'base_keep' THEN 'base_keep' WHEN candidate LIKE '%satin%' THEN 'satin_like' WHEN candidate LIKE '%styleaware%' THEN 'style_aware_mixed' WHEN candidate LIKE '%outline%' THEN 'outline_border'
   WHEN candidate LIKE '%mask_fill%' THEN 'fill_tatami_like' WHEN candidate LIKE '%skel%' THEN 'running_line' ELSE 'unknown' END"""

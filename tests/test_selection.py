@@ -1,4 +1,6 @@
 import itertools
+import math
+
 
 import numpy as np
 import pandas as pd
@@ -140,11 +142,44 @@ def test_knn_matches_brute_force(spark):
         assert got[got["query_id"] == q["query_id"]].sort_values("match_no")["id"].tolist() == want
 
 
-def test_edge_decisions(spark):
-    nodes = spark.createDataFrame([(1, i, float(x), 0.0, float(x) + 1, 0.0) for i, x in enumerate((0, 10, 3, 20))] + [(2, 0, 0.0, 0.0, 1.0, 0.0)],
-                                  "task_id bigint, node_id bigint, start_x double, start_y double, end_x double, end_y double")
-    edges = spark.createDataFrame([(1, 0, -1, 0, False), (1, 1, 0, 2, False), (1, 2, 2, 1, True), (1, 3, 1, 3, False), (2, 0, -1, 0, False)],
-                                  "task_id bigint, step bigint, from_node bigint, to_node bigint, reverse boolean")
-    got = teachers.edge_decisions(nodes, edges, 1).orderBy("step", F.col("label").desc()).collect()
-    assert [(r["step"], r["candidate_node"], r["label"], r["remaining_count"], r["min_endpoint_distance_mm"]) for r in got] == [
-        (1, 2, 1, 3, 2.0), (1, 1, 0, 3, 9.0), (2, 1, 1, 2, 6.0), (2, 3, 0, 2, 16.0), (3, 3, 1, 1, 10.0)]
+def looped_decisions(nodes, edges, most):
+    """task -> rows by walking each route."""
+    out = []
+    for task in {t for t, *_ in nodes}:
+        own = {n[1]: n for n in nodes if n[0] == task}
+        left, cur, prev = set(own), None, None
+        for _, step, origin, to, reverse, *_ in sorted(e for e in edges if e[0] == task):
+            if len(own) <= 1 or to not in left:
+                continue
+            if origin != -1:
+                if prev is None:
+                    prev = own.get(origin)
+                    cur = prev[4:6] if prev else (0.0, 0.0)
+                gap = {c: min(math.dist(cur, own[c][2:4]), math.dist(cur, own[c][4:6])) for c in left}
+                near = sorted((gap[c], c) for c in left if c != to)[:most]
+                out += [(task, step, origin, c, to, int(c == to), float(len(left)), gap[c], prev[6] if prev else 0.0) for c in [to, *(c for _, c in near)]]
+            left.remove(to)
+            prev, cur = own[to], own[to][2:4] if reverse else own[to][4:6]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("steps,rows", [(3, 4), (256, 1 << 16)])
+def test_edge_decisions(spark, steps, rows):
+    """Ranges and blocks so small that routes cross them; unvisited, repeated and missing nodes; a restart; a route that starts elsewhere."""
+    rng = np.random.default_rng(4)
+    nodes = [(t, i, *(float(v) for v in rng.integers(0, 9, 4)), float(i), i + 2, 0.0, 0.0, 4.0, 2.0) for t, n in ((1, 30), (2, 1), (3, 5), (4, 12)) for i in range(n)]
+    edges = []
+    for t, n in ((1, 30), (2, 1), (3, 5), (4, 12)):
+        order = rng.permutation(n).tolist()
+        for k, to in enumerate([*order[:n - n // 4], order[0], 999, order[-1]]):
+            edges.append((t, k * 7, -1 if k == (0 if t != 4 else 5) else int(order[k - 1]) if k <= n // 2 and t != 3 else 77, int(to), bool(k % 3 == 0), 1.5, 2.5))
+    tasks = spark.createDataFrame([(1, 1, 10.0, 0.5), (2, 2, 1.0, 0.5), (3, 3, 1.0, None)], "task_id long, type_id long, area_px double, order_score double")
+    df = teachers.edge_decisions(
+        tasks, spark.createDataFrame(nodes, "task_id long, node_id long, start_x double, start_y double, end_x double, end_y double, length_mm double, point_count long, x0 double, y0 double, x1 double, y1 double"),
+        spark.createDataFrame(edges, "task_id long, step long, from_node long, to_node long, reverse boolean, distance_mm double, cost double"), 4, steps, rows)
+    got = sorted(map(tuple, df.select("task_id", "step", "from_node", "candidate_node", "selected_node", "label", "remaining_count", "min_endpoint_distance_mm", "previous_length_mm").collect()))
+    want = looped_decisions(nodes, edges, 4)
+    assert len(got) == len(want) > 60
+    for g, w in zip(got, want):
+        assert g == pytest.approx(w)
+    assert len(teachers.EDGE_FEATURES) == 28 and {r["task_type_running"] for r in df.filter("task_id = 1").collect()} == {1.0} and {r["candidate_bbox_aspect"] for r in df.collect()} == {2.0}
