@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.semantics import half_even
+from ..functions.tables import Rounds
 from .pixels import row_runs
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names; only a local session, whose executors share its disk, may go without one."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
-
 def connected_components(pixels: DataFrame, keys: Sequence[str] = ("design_id",), connectivity: int = 4) -> DataFrame:
     """Pixels with a component label (smallest run id of the component).
 
@@ -35,7 +22,8 @@ def connected_components(pixels: DataFrame, keys: Sequence[str] = ("design_id",)
     """
     keys = list(keys)
     canvas = 1 << 20
-    runs = row_runs(pixels, 1, keys).withColumn("run", F.col("y").cast("long") * canvas + F.col("x0"))
+    rounds, at = Rounds(pixels.sparkSession), 0
+    runs = rounds.keep(row_runs(pixels, 1, keys).withColumn("run", F.col("y").cast("long") * canvas + F.col("x0")), "runs")
     cells = runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).select(*keys, "y", "x", "run")
     reach = [0] if connectivity == 4 else [-1, 0, 1]
     # A pixel meets the pixels of the row below it at one shared key.
@@ -44,19 +32,23 @@ def connected_components(pixels: DataFrame, keys: Sequence[str] = ("design_id",)
         *keys, (F.col("y") + 1).alias("y"), (F.col("x") + F.col("_dx")).alias("x"), F.lit(None).cast("long").alias("run"), F.col("run").alias("above"))
     met = own.unionByName(down).groupBy(*keys, "y", "x").agg(F.max("run").alias("a"), F.collect_set("above").alias("bs")).filter("a IS NOT NULL")
     pairs = met.select(*keys, "a", F.explode("bs").alias("b")).distinct()
-    edges = cut_lineage(pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(runs.select(*keys, "run", F.col("run").alias("label")))
+    edges = rounds.keep(pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = rounds.keep(runs.select(*keys, "run", F.col("run").alias("label")), "labels-0")
     while True:
         la = labels.select(*keys, F.col("run").alias("a"), F.col("label").alias("la"))
         lb = labels.select(*keys, F.col("run").alias("b"), F.col("label").alias("lb"))
         seen = edges.join(la, [*keys, "a"]).join(lb, [*keys, "b"]).filter("lb < la")
         offers = seen.select(*keys, F.explode(F.array("a", "la")).alias("run"), "lb").groupBy(*keys, "run").agg(F.min("lb").alias("offer"))
         hooked = labels.join(offers, [*keys, "run"], "left").select(*keys, "run", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
+        # Many runs share a label; each of them asks for its label's label, which one row answers.
         parents = hooked.select(*keys, F.col("run").alias("label"), F.col("label").alias("jump"))
-        jumped = cut_lineage(hooked.join(parents, [*keys, "label"]).select(*keys, "run", F.col("jump").alias("label"), (F.col("jump") != F.col("old")).alias("moved")))
-        labels = jumped.select(*keys, "run", "label")
+        asked = hooked.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_n")).drop("_n").join(parents, [*keys, "label"])
+        jumped = rounds.keep(hooked.join(asked, [*keys, "label"]).select(*keys, "run", F.col("jump").alias("label"), (F.col("jump") != F.col("old")).alias("moved")), f"labels-{at + 1}")
+        rounds.drop(f"labels-{at}")
+        at, labels = at + 1, jumped.select(*keys, "run", "label")
         if jumped.filter("moved").isEmpty():
             break
+    rounds.drop("edges")
     return cells.join(labels, [*keys, "run"]).select(*keys, "y", "x", F.col("label").alias("component"))
 
 
@@ -89,12 +81,17 @@ def component_nodes(px: DataFrame, keys: Sequence[str] = ("design_id", "componen
     keys = list(keys)
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     types = [F.count_if(F.col("stitch_type") == c).alias(f"_t{c}") for c in (1, 2, 3)]
+    # Sums of whole numbers are exact, so that shapes without a leading axis have angle 0 whatever the order of the sums.
+    s = lambda c: F.sum(c.cast("long"))
+    lx, ly = F.col("x").cast("long"), F.col("y").cast("long")
     g = px.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("area_px"), F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.min("x").alias("min_x"), F.min("y").alias("min_y"),
-        F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.covar_samp(x, y).alias("_cxy"), F.var_samp(x).alias("_vx"), F.var_samp(y).alias("_vy"), *types,
+        F.max("x").alias("max_x"), F.max("y").alias("max_y"), s(lx).alias("_sx"), s(ly).alias("_sy"), s(lx * ly).alias("_sxy"), s(lx * lx).alias("_sxx"), s(ly * ly).alias("_syy"), *types,
         (F.avg(boundary) if boundary else F.lit(0.0)).alias("boundary_mean"))
-    small = F.col("area_px") < 3
-    theta = F.when(small, F.lit(0.0)).otherwise(0.5 * F.atan2(2.0 * F.col("_cxy"), F.col("_vx") - F.col("_vy")))
+    small, n = F.col("area_px") < 3, F.col("area_px")
+    cross = n * F.col("_sxy") - F.col("_sx") * F.col("_sy")
+    spread = n * (F.col("_sxx") - F.col("_syy")) - F.col("_sx") * F.col("_sx") + F.col("_sy") * F.col("_sy")
+    theta = F.when(small, F.lit(0.0)).otherwise(0.5 * F.atan2((2 * cross).cast("double"), spread.cast("double")))
     mode = F.when((F.col("_t1") == 0) & (F.col("_t2") == 0) & (F.col("_t3") == 0), 0).when(
         (F.col("_t1") >= F.col("_t2")) & (F.col("_t1") >= F.col("_t3")), 1).when(F.col("_t2") >= F.col("_t3"), 2).otherwise(3)
     g = g.withColumns({"obb_angle": theta, "stitch_type": mode})
@@ -113,30 +110,39 @@ def component_nodes(px: DataFrame, keys: Sequence[str] = ("design_id", "componen
         half_even("obb_angle", 5).alias("obb_angle"), "stitch_type", half_even("boundary_mean", 5).alias("boundary_mean"))
 
 
-def component_graph(nodes: DataFrame, k: int = 4, same_color: float = 0.65) -> DataFrame:
-    """The k cheapest other nodes of each node by centroid distance, less for the same color.
-
-    ``nodes``: design_id, node_id, color_layer, centroid_x, centroid_y.  The components of at least
-    eight pixels on one canvas bound a design's nodes; only k rows per node leave the task.
-    """
-    schema = "design_id bigint, source bigint, target bigint, cost double, same_color boolean"
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        ids, color = pdf["node_id"].to_numpy(), pdf["color_layer"].to_numpy()
-        xy = pdf[["centroid_x", "centroid_y"]].to_numpy(dtype=float)
-        parts = []
-        for at in range(0, len(ids), 256):
-            rows = slice(at, at + 256)
-            same = color[rows, None] == color[None, :]
-            gap = np.sqrt(((xy[rows, None, :] - xy[None]) ** 2).sum(axis=2)) * np.where(same, same_color, 1.0)
-            gap[np.arange(len(gap)), np.arange(at, at + len(gap))] = np.inf
-            take = np.argsort(gap, axis=1, kind="stable")[:, :min(k, len(ids) - 1)]
-            i, j = np.repeat(np.arange(len(gap)), take.shape[1]), take.ravel()
-            parts.append(pd.DataFrame({"source": ids[at + i], "target": ids[j], "cost": gap[i, j], "same_color": same[i, j]}))
-        out = pd.concat(parts)
-        out.insert(0, "design_id", pdf["design_id"].iloc[0])
-        return out
-
-    slim = nodes.select(F.col("design_id").cast("long").alias("design_id"), F.col("node_id").cast("long").alias("node_id"), "color_layer", "centroid_x", "centroid_y")
-    return slim.groupBy("design_id").applyInPandas(nearest, schema).withColumn("cost", half_even("cost", 4))
+def component_graph(nodes: DataFrame, k: int = 4, same_color: float = 0.65, per_cell: int = 2) -> DataFrame:
+    """The k cheapest other nodes of each node by centroid distance, less for the same color; ties by number.
+
+    ``nodes``: design_id, node_id, color_layer, centroid_x, centroid_y. A design is cut into a grid of about ``per_cell`` nodes a cell, four cells of a
+    level are one of the next, up to one cell for all. A node starts from the finest level on which the ring of cells around its own holds k others: they
+    bound its k-th cost, so only cells within that cost can hold a cheaper one. Rings are widened only where they hold too few."""
+    low, high = min(1.0, same_color), max(1.0, same_color)
+    n = nodes.select(F.col("design_id").cast("long").alias("design_id"), F.col("node_id").cast("long").alias("node_id"), "color_layer", "centroid_x", "centroid_y")
+    box = n.groupBy("design_id").agg(F.min("centroid_x").alias("_x0"), F.min("centroid_y").alias("_y0"), F.count(F.lit(1)).alias("_n"),
+                                     F.greatest(F.max("centroid_x") - F.min("centroid_x"), F.max("centroid_y") - F.min("centroid_y"), F.lit(1e-9)).alias("_span"))
+    top = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / per_cell) / 2)).cast("int")
+    box = box.withColumn("_top", top).withColumn("_cells", F.expr("shiftleft(1, _top)"))
+    cell = lambda c, o: F.least(F.col("_cells") - 1, F.floor((F.col(c) - F.col(o)) / F.col("_span") * F.col("_cells")).cast("int"))
+    placed = n.join(box, "design_id").withColumns({"gx": cell("centroid_x", "_x0"), "gy": cell("centroid_y", "_y0")}).drop("_x0", "_y0", "_span", "_cells")
+    each = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_top")))).withColumns({"cx": F.expr("shiftright(gx, level)"), "cy": F.expr("shiftright(gy, level)")})
+
+    def ring(df: DataFrame, radius: int) -> DataFrame:
+        steps = F.sequence(F.lit(-radius), F.lit(radius))
+        return df.withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("_dx"), "cy": F.col("cy") + F.col("_dy")}).filter(
+            (F.col("cx") >= 0) & (F.col("cy") >= 0) & (F.col("cx") <= F.expr("shiftright(shiftleft(1, _top) - 1, level)")) & (F.col("cy") <= F.expr("shiftright(shiftleft(1, _top) - 1, level)"))).drop("_dx", "_dy")
+
+    at = ["design_id", "level", "cx", "cy"]
+    held = each.groupBy(*at).agg(F.count(F.lit(1)).alias("_held"))
+    around = ring(each.select("design_id", "node_id", "level", "cx", "cy", "_top", "_n"), 1).join(held, at).groupBy("design_id", "node_id", "level", "_n").agg(F.sum("_held").alias("_sum"))
+    start = around.filter(F.col("_sum") >= F.least(F.lit(k + 1), F.col("_n"))).groupBy("design_id", "node_id").agg(F.min("level").alias("level"))
+    # The ring's nodes are within two cells' diagonals; on the next level a cell is twice as wide.
+    radius = math.ceil(math.ceil(2 * math.sqrt(2) * high / low) / 2)
+    asking = placed.join(start, ["design_id", "node_id"]).withColumn("level", F.least(F.col("level") + 1, F.col("_top")))
+    asking = asking.withColumns({"cx": F.expr("shiftright(gx, level)"), "cy": F.expr("shiftright(gy, level)")})
+    other = each.select(*at, F.col("node_id").alias("target"), F.col("color_layer").alias("_c"), F.col("centroid_x").alias("_x"), F.col("centroid_y").alias("_y"))
+    met = ring(asking, radius).join(other, at).filter("node_id <> target")
+    same = F.col("color_layer") == F.col("_c")
+    gap = F.sqrt((F.col("centroid_x") - F.col("_x")) ** 2 + (F.col("centroid_y") - F.col("_y")) ** 2) * F.when(same, same_color).otherwise(1.0)
+    place = F.row_number().over(W.partitionBy("design_id", "node_id").orderBy("_gap", "target"))
+    near = met.select("design_id", "node_id", "target", gap.alias("_gap"), same.alias("same_color")).withColumn("_place", place).filter(F.col("_place") <= k)
+    return near.select("design_id", F.col("node_id").alias("source"), "target", half_even("_gap", 4).alias("cost"), "same_color")

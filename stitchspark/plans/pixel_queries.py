@@ -413,42 +413,76 @@ def labelled(spark, sf):
     return comp.connected_components(typed(spark, sf).select(*px.PX, "color_layer"), ["design_id", "color_layer"])
 
 
-@query("connected_components")
+cte("labelled", """
+WITH RECURSIVE runs AS (
+  SELECT design_id, color_layer, y, min(x) AS x0, max(x) AS x1, y * 1048576::BIGINT + min(x) AS run
+  FROM (SELECT *, x - row_number() OVER (PARTITION BY design_id, color_layer, y ORDER BY x) AS g FROM typed) GROUP BY design_id, color_layer, y, g),
+met AS (SELECT a.design_id, a.color_layer, a.run AS a, b.run AS b FROM runs a JOIN runs b ON a.design_id = b.design_id AND a.color_layer = b.color_layer AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+spread(design_id, color_layer, run, label) USING KEY (design_id, color_layer, run) AS (
+  SELECT design_id, color_layer, run, run FROM runs
+  UNION SELECT m.design_id, m.color_layer, m.b, min(s.label) FROM spread s JOIN met m ON m.design_id = s.design_id AND m.color_layer = s.color_layer AND m.a = s.run
+    JOIN recurring.spread c ON c.design_id = m.design_id AND c.color_layer = m.color_layer AND c.run = m.b WHERE s.label < c.label GROUP BY 1, 2, 3)
+SELECT t.design_id, t.color_layer, t.y, t.x, s.label AS component FROM typed t JOIN runs r ON r.design_id = t.design_id AND r.color_layer = t.color_layer AND r.y = t.y AND t.x BETWEEN r.x0 AND r.x1
+JOIN spread s ON s.design_id = r.design_id AND s.color_layer = r.color_layer AND s.run = r.run""", "typed")
+cte("component_areas", "SELECT design_id, color_layer, component, count(*) AS area_px FROM labelled GROUP BY 1, 2, 3", "labelled")
+
+
+@query("connected_components", "SELECT * FROM labelled", "labelled")
 def connected_components(spark, sf):
     return labelled(spark, sf)
 
 
-@query("component_order")
+@query("component_order", """
+SELECT *, row_number() OVER (PARTITION BY design_id, color_layer ORDER BY area_px DESC, component) AS component_rank FROM component_areas WHERE area_px >= 2""", "component_areas")
 def component_order(spark, sf):
-    return comp.component_order(comp.component_sizes(labelled(spark, sf), ["design_id", "color_layer"], 2))
+    return comp.component_order(comp.component_sizes(labelled(spark, sf), ["design_id", "color_layer"], 2), ["design_id", "color_layer"])
 
 
-@query("drop_small_components")
+@query("drop_small_components", """
+SELECT design_id, color_layer, CAST(coalesce(sum(area_px) FILTER (area_px < 6 AND m >= 6), 0) AS BIGINT) AS removed_pixels, count(*) AS components_total
+FROM (SELECT *, max(area_px) OVER (PARTITION BY design_id, color_layer) AS m FROM component_areas) GROUP BY 1, 2""", "component_areas")
 def drop_small_components(spark, sf):
     return comp.drop_small_components(labelled(spark, sf), 6, ["design_id", "color_layer"])[1]
 
 
+@query("kept_components", """
+SELECT l.design_id, l.color_layer, y, x FROM labelled l JOIN (SELECT *, max(area_px) OVER (PARTITION BY design_id, color_layer) AS m FROM component_areas) a
+  ON a.design_id = l.design_id AND a.color_layer = l.color_layer AND a.component = l.component WHERE area_px >= 6 OR m < 6""", "labelled", "component_areas")
+def kept_components(spark, sf):
+    return comp.drop_small_components(labelled(spark, sf), 6, ["design_id", "color_layer"])[0].select("design_id", "color_layer", "y", "x")
+
+
+cte("shaped", """
+SELECT design_id, color_layer, color_layer * 4294967296 + component AS node_id, x, y, stitch_type FROM labelled JOIN typed USING (design_id, color_layer, y, x)""", "labelled", "typed")
 cte("nodes", """
-SELECT design_id, color_layer AS node_id, count(*) AS area_px, avg(x) AS cx, avg(y) AS cy, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y,
-  CASE WHEN count(*) < 3 THEN 0.0 ELSE 0.5 * atan2(2.0 * coalesce(covar_samp(x, y), 0), var_samp(x) - var_samp(y)) END AS obb_angle,
-  CASE WHEN count_if(stitch_type = 1) >= greatest(count_if(stitch_type = 2), count_if(stitch_type = 3)) THEN 1 WHEN count_if(stitch_type = 2) >= count_if(stitch_type = 3) THEN 2 ELSE 3 END AS stitch_type FROM typed GROUP BY 1, 2""", "typed")
+SELECT design_id, node_id, any_value(color_layer) AS color_layer, count(*) AS area_px, avg(x) AS cx, avg(y) AS cy, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y,
+  CASE WHEN count(*) < 3 THEN 0.0 ELSE 0.5 * atan2((2 * (count(*) * sum(x * y) - sum(x) * sum(y)))::DOUBLE, (count(*) * (sum(x * x) - sum(y * y)) - sum(x) * sum(x) + sum(y) * sum(y))::DOUBLE) END AS obb_angle,
+  CASE WHEN count_if(stitch_type = 1) >= greatest(count_if(stitch_type = 2), count_if(stitch_type = 3)) THEN 1 WHEN count_if(stitch_type = 2) >= count_if(stitch_type = 3) THEN 2 ELSE 3 END AS stitch_type FROM shaped GROUP BY 1, 2""", "shaped")
+cte("boxes", """
+SELECT n.design_id, n.node_id, max(u) AS u1, min(u) AS u0, max(v) AS v1, min(v) AS v0 FROM (
+  SELECT n.design_id, n.node_id, cos(obb_angle) * (s.x - cx) + sin(obb_angle) * (s.y - cy) AS u, cos(obb_angle) * (s.y - cy) - sin(obb_angle) * (s.x - cx) AS v FROM shaped s JOIN nodes n USING (design_id, node_id)) n GROUP BY 1, 2""", "shaped", "nodes")
 
 
 def nodes(spark, sf):
-    return comp.component_nodes(typed(spark, sf).withColumnRenamed("color_layer", "node_id"), ["design_id", "node_id"])
+    """A node for each component, of every color; components that aren't of one color never touch."""
+    types = typed(spark, sf).select(*px.PX, "color_layer", "stitch_type")
+    shaped = labelled(spark, sf).join(types, ["design_id", "color_layer", "y", "x"]).withColumn("node_id", F.col("color_layer") * 4294967296 + F.col("component"))
+    return comp.component_nodes(shaped, ["design_id", "node_id"])
 
 
 @query("component_nodes", """
-SELECT design_id, node_id, area_px, round_even(cx, 3) AS centroid_x, round_even(cy, 3) AS centroid_y, min_x, min_y, max_x, max_y, stitch_type,
-  round_even(CASE WHEN area_px < 3 THEN 1.0 ELSE (SELECT max(cos(obb_angle) * (t.x - cx) + sin(obb_angle) * (t.y - cy)) - min(cos(obb_angle) * (t.x - cx) + sin(obb_angle) * (t.y - cy)) FROM typed t WHERE t.design_id = n.design_id AND t.color_layer = n.node_id) END, 5) AS obb_w
-FROM nodes n""", "nodes", "typed")
+SELECT n.design_id, n.node_id, area_px, round_even(cx, 3) AS centroid_x, round_even(cy, 3) AS centroid_y, min_x, min_y, max_x, max_y,
+  round_even(CASE WHEN area_px < 3 THEN cx ELSE cx + cos(obb_angle) * (u0 + u1) / 2.0 - sin(obb_angle) * (v0 + v1) / 2.0 END, 5) AS obb_cx,
+  round_even(CASE WHEN area_px < 3 THEN cy ELSE cy + sin(obb_angle) * (u0 + u1) / 2.0 + cos(obb_angle) * (v0 + v1) / 2.0 END, 5) AS obb_cy,
+  round_even(CASE WHEN area_px < 3 THEN 1.0 ELSE u1 - u0 END, 5) AS obb_w, round_even(CASE WHEN area_px < 3 THEN 1.0 ELSE v1 - v0 END, 5) AS obb_h, round_even(obb_angle, 5) AS obb_angle, stitch_type
+FROM nodes n JOIN boxes USING (design_id, node_id)""", "nodes", "boxes")
 def component_nodes(spark, sf):
-    return nodes(spark, sf).select("design_id", "node_id", "area_px", "centroid_x", "centroid_y", "min_x", "min_y", "max_x", "max_y", "stitch_type", "obb_w")
+    return nodes(spark, sf).drop("boundary_mean")
 
 
 @query("component_graph", """
 SELECT a.design_id, a.node_id AS source, b.node_id AS target, round_even(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * CASE WHEN a.c = b.c THEN 0.65 ELSE 1.0 END, 4) AS cost, a.c = b.c AS same_color
-FROM (SELECT design_id, node_id, node_id % 3 AS c, round_even(cx, 3) AS x, round_even(cy, 3) AS y FROM nodes) a JOIN (SELECT design_id, node_id, node_id % 3 AS c, round_even(cx, 3) AS x, round_even(cy, 3) AS y FROM nodes) b ON a.design_id = b.design_id AND a.node_id <> b.node_id
+FROM (SELECT design_id, node_id, color_layer AS c, round_even(cx, 3) AS x, round_even(cy, 3) AS y FROM nodes) a JOIN (SELECT design_id, node_id, color_layer AS c, round_even(cx, 3) AS x, round_even(cy, 3) AS y FROM nodes) b ON a.design_id = b.design_id AND a.node_id <> b.node_id
 QUALIFY row_number() OVER (PARTITION BY a.design_id, a.node_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * CASE WHEN a.c = b.c THEN 0.65 ELSE 1.0 END, b.node_id) <= 4""", "nodes")
 def component_graph(spark, sf):
-    return comp.component_graph(nodes(spark, sf).withColumn("color_layer", F.col("node_id") % 3))
+    return comp.component_graph(nodes(spark, sf).withColumn("color_layer", F.floor(F.col("node_id") / 4294967296)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import hard_score
 from ..functions.semantics import half_even
 from ..operators import gates, pareto, ranking, summaries
-from ..operators.components import cut_lineage
+from ..functions.tables import Rounds
 from .fixtures import CANDIDATE_NAMES, baseline, candidates, manifest, policy_pool
 from .registry import Tables, cte, query, r, tidy
 
@@ -54,7 +54,7 @@ def reranked(spark, sf):
     ranked = ranking.learned_rank(predicted(candidates(spark, sf)), "predicted_score")
     wide = ranking.expand_profiles(ranked, PROFILES)
     # The choosers read the ranked pool several times: compute it once.
-    return cut_lineage(ranking.profile_rerank(wide, STRENGTH, ranking.COVERAGE_FLOORS, 0.35, ("sample_id", "task_profile")))
+    return Rounds(spark).keep(ranking.profile_rerank(wide, STRENGTH, ranking.COVERAGE_FLOORS, 0.35, ("sample_id", "task_profile")), "reranked")
 
 
 @query("profile_rerank", f"SELECT sample_id, candidate, task_profile, {r('semantic_score', 'calibrated_score')} FROM reranked", "reranked")

@@ -96,14 +96,22 @@ def test_runs_boundary_dilate(spark):
     assert {(r["y"], r["x"]) for r in px.dilate(t, 1, 7).collect()} == set(zip(*np.nonzero(big)))
 
 
-def test_component_graph_matches_brute_force(spark):
+@pytest.mark.parametrize("shape", ["even", "clusters", "line", "ties"])
+def test_component_graph_matches_brute_force(spark, shape):
     rng = np.random.default_rng(9)
-    pdf = pd.DataFrame({"design_id": [1] * 30 + [2] * 3 + [3], "node_id": list(range(30)) + [0, 1, 2] + [0], "color_layer": rng.integers(1, 4, 34),
-                        "centroid_x": rng.random(34) * 50, "centroid_y": rng.random(34) * 50})
+    sizes = ((1, 150), (2, 3), (3, 1), (4, 9))
+    xy = rng.random((163, 2)) * 50
+    if shape == "clusters":
+        xy = np.where(rng.random((163, 1)) < 0.8, rng.integers(0, 3, (163, 1)) * 20 + xy / 100, xy)
+    elif shape == "line":
+        xy[:, 1] = 7.0
+    elif shape == "ties":
+        xy = np.floor(xy / 8)
+    pdf = pd.DataFrame({"design_id": [d for d, n in sizes for _ in range(n)], "node_id": [i for _, n in sizes for i in range(n)], "color_layer": rng.integers(1, 4, 163), "centroid_x": xy[:, 0], "centroid_y": xy[:, 1]})
     got = comp.component_graph(spark.createDataFrame(pdf)).toPandas()
     for d, g in pdf.groupby("design_id"):
         for a in g.itertuples():
-            others = sorted((np.hypot(a.centroid_x - b.centroid_x, a.centroid_y - b.centroid_y) * (0.65 if a.color_layer == b.color_layer else 1.0), b.node_id)
+            others = sorted((((a.centroid_x - b.centroid_x) ** 2 + (a.centroid_y - b.centroid_y) ** 2) ** 0.5 * (0.65 if a.color_layer == b.color_layer else 1.0), b.node_id)
                             for b in g.itertuples() if b.node_id != a.node_id)[:4]
             mine = got[(got["design_id"] == d) & (got["source"] == a.node_id)]
             assert set(mine["target"]) == {o[1] for o in others}
