@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: The longest context; occurrences that a context needs; the log ratio that it must gain, in nats; what each word that follows gives up of its count.
-DEPTH, LEAST, GAIN, DISCOUNT = 3, 4, 2.0, 0.8
+DEPTH, LEAST, GAIN, DISCOUNT = 2, 4, 2.0, 0.8
 #: Words of a batch, and of the corpus for each bucket.
 BATCH, BUCKET = 300_000, 1_200_000
 #: Gains and shares of words are added up as whole numbers, so that their order doesn't matter.
@@ -75,7 +75,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def packed() -> pa.RecordBatch:
         nonlocal made, waiting
         all_words = np.concatenate([w[0] for w in waiting])
-        vocabulary, index = np.unique(all_words, return_inverse=True)
+        vocabulary, index, n = np.unique(all_words, return_inverse=True, return_counts=True)
+        # Frequent words have small numbers, which take less room.
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        vocabulary, index = vocabulary[order], rank[index]
         sizes, lead, train = (np.array([w[k] for w in waiting], t) for k, t in ((1, np.int64), (2, np.int64), (5, np.uint8)))
         cells = [part + made, _blob(vocabulary), _blob(index), _blob(sizes), _blob(lead), _blob(train), [w[3] for w in waiting], [w[4] for w in waiting], [w[6] for w in waiting]]
         kinds = [pa.int64(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
@@ -173,7 +178,8 @@ class _Batch:
     def asked(self, step: int, n: int, types: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """kind, distinct keys in order, what this batch adds to each."""
         if step == 0:
-            yield 1, self.vocabulary, np.bincount(self.index, self.own, len(self.vocabulary)).astype(np.int64)
+            order = np.argsort(self.vocabulary)
+            yield 1, self.vocabulary[order], np.bincount(self.index, self.own, len(self.vocabulary)).astype(np.int64)[order]
         if 1 <= step <= DEPTH:
             some = self.contexts(step)
             yield _TYPES + step, *_summed(self.keys(step)[some - 1], np.rint(_UNIT / np.maximum(self.counts(step + 1)[some], 1)).astype(np.int64) * self.own[some])
@@ -193,12 +199,15 @@ class _Batch:
 
         found = {}
         if step == 0:
-            found["n1"] = _blob(totals[1])
+            counts = np.empty(len(self.vocabulary), np.int64)
+            counts[np.argsort(self.vocabulary)] = totals[1]
+            found["n1"] = _blob(counts)
         if 1 <= step <= DEPTH:
             some = self.contexts(step)
             if step == 1:  # by word
                 followers = np.zeros(len(self.vocabulary), np.int64)
-                followers[np.unique(self.index[some - 1])] = totals.get(_TYPES + 1, 0)
+                used = np.unique(self.index[some - 1])
+                followers[used[np.argsort(self.vocabulary[used])]] = totals.get(_TYPES + 1, 0)
             else:
                 followers = np.zeros(len(self.index), np.int64)
                 followers[some] = of(_TYPES + step, self.keys(step)[some - 1])
