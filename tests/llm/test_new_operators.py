@@ -197,7 +197,7 @@ def test_pieces_of_a_long_text(monkeypatch):
         n = collections.Counter()
         for row in map(lambda b: b.to_pylist()[0], suffix_tree._pack(iter([batch]))):
             x = suffix_tree._Batch(row)
-            for k in range(1, 5):
+            for k in range(1, suffix_tree.DEPTH + 2):
                 n.update(x.keys(k)[(x.offset >= k - 1) & (x.own > 0)].tolist())
         found.append(n)
-    assert found[0] == found[1] and sum(found[0].values()) == 501 + 500 + 499 + 498
+    assert found[0] == found[1] and sum(found[0].values()) == sum(501 - k for k in range(suffix_tree.DEPTH + 1))
