@@ -12,6 +12,7 @@ their suffix more than once (else they count as unseen, which leaves their share
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,9 @@ from .common import Scratch
 
 #: The longest context; occurrences that a context needs; the log ratio that it must gain, in nats; what each word that follows gives up of its count.
 DEPTH, LEAST, GAIN, DISCOUNT = 2, 4, 2.0, 0.8
-#: Words of a batch, and of the corpus for each bucket.
-BATCH, BUCKET = 300_000, 1_200_000
+#: Words of a batch, and of the corpus for each bucket; slices in which batches hear their answers, one after the other, so that no more than a slice is
+#: there twice.
+BATCH, BUCKET, SLICES = 300_000, 1_200_000, 4
 #: Gains and shares of words are added up as whole numbers, so that their order doesn't matter.
 _UNIT = 1_000_000_000
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" "))
@@ -317,22 +319,29 @@ def score(df: DataFrame) -> DataFrame:
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held"), F.coalesce(rest != 1, F.lit(False)).alias("train"), "text")
     kept, kinds = scratch.keep(docs.mapInArrow(_pack, _KEPT), "words-0"), _KEPT
     sizes = kept.mapInArrow(_sizes, "words long, trained long").agg(F.sum("words"), F.sum("trained")).first()
+    slice_of = F.pmod(F.xxhash64("batch"), F.lit(SLICES))
+    parts = [kept.filter(slice_of == i) for i in range(SLICES)]
     buckets, n, types = (sizes[0] or 0) // BUCKET + 1, sizes[1] or 0, 0
     for step in range(DEPTH + 2):
         asked = kept.mapInArrow(_ask(step, buckets, n, types), _ASKED)
         told = scratch.keep(asked.groupBy("kind", "bucket").applyInArrow(_add_up, "batch long, kind int, bucket int, totals binary, types long"), f"told-{step}")
         if step == 0:
             types = told.filter("kind = 1").agg(F.sum("types")).first()[0] or 0
-        answers = told.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
-        both = kept.join(answers, "batch", "left")
+        heard = lambda batches, told: batches.join(told.groupBy("batch").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers")), "batch", "left")
         if step > DEPTH:
             break
         new = [*(["n1"] if step == 0 else [f"t{step}"]), *(["level"] if step == 2 else []), *([f"n{step + 2}"] if step + 2 <= DEPTH + 1 else [])]
         kinds = ", ".join([kinds, *(f"{c} binary" for c in new)])
-        kept = scratch.keep(both.mapInArrow(_hear(step, [x.split()[0] for x in kinds.split(", ")]), kinds), f"words-{step + 1}")
-        scratch.drop(f"words-{step}")
+        hear = _hear(step, [x.split()[0] for x in kinds.split(", ")])
+        for i, part in enumerate(parts):
+            parts[i] = scratch.keep(heard(part, told.filter(slice_of == i)).mapInArrow(hear, kinds), f"words-{step + 1}-{i}")
+            if step:
+                scratch.drop(f"words-{step}-{i}")
+        if not step:
+            scratch.drop("words-0")
+        kept = functools.reduce(DataFrame.unionByName, parts)
         scratch.drop(f"told-{step}")
-    made = both.mapInArrow(_finish(step, n, types), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    made = heard(kept, told).mapInArrow(_finish(step, n, types), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     whole = made.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
