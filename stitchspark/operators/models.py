@@ -10,10 +10,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import half_even, num_value
+from ..functions.tables import Rounds
 
 MAX_FEATURES = 512
 
@@ -244,35 +247,73 @@ def rank_quality(ranks: DataFrame) -> DataFrame:
                      F.avg((r <= 3).cast("double")).alias("top3_accuracy"), F.avg(r).alias("mean_oracle_rank"))
 
 
+def pack_groups(df: DataFrame, features: Sequence[str], group: str, mean: np.ndarray, std: np.ndarray, *extra: Column) -> DataFrame:
+    """One row per group: ``x``, the standardised features of its rows one after the other, and an array for each column of ``extra``.
+
+    A group is the candidates of one sample, which its generators bound."""
+    z = F.array(*[(num_value(f) - float(mean[k])) / float(std[k]) for k, f in enumerate(features)])
+    rows = df.select(F.col(group).alias("_g"), F.struct(z.alias("z"), *[e.alias(f"e{k}") for k, e in enumerate(extra)]).alias("r"))
+    packed = rows.groupBy("_g").agg(F.collect_list("r").alias("r"))
+    return packed.select(F.flatten("r.z").alias("x"), *[F.col(f"r.e{k}").alias(f"e{k}") for k in range(len(extra))])
+
+
+def _softmax_terms(w: np.ndarray, temperature: float):
+    """A batch of packed groups to what it adds to loss, gradient and curvature of the cross-entropy: rows (i, v) of one long vector."""
+    p = len(w)
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + p + p * p)
+        for batch in batches:
+            size = np.asarray(pc.list_value_length(batch.column("e0")), np.int64)
+            if not len(size):
+                continue
+            z, t = (np.asarray(batch.column(c).flatten(), float) for c in ("x", "e0"))
+            z, first = z.reshape(-1, p), np.cumsum(size) - size
+            each = lambda v: np.repeat(v, size, axis=0)
+            logs = lambda v: (v := v - each(np.maximum.reduceat(v, first))) - each(np.log(np.add.reduceat(np.exp(v), first)))
+            teacher, mine = np.exp(logs(t)), logs(-(z @ w) / temperature)
+            likely = np.exp(mine)
+            middle = np.add.reduceat(likely[:, None] * z, first)
+            total += np.concatenate([[-(teacher * mine).sum()], z.T @ (teacher - likely) / temperature, ((z.T * likely) @ z - middle.T @ middle).ravel() / temperature**2])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    return terms
+
+
 def fit_listwise(df: DataFrame, features: Sequence[str], teacher: str, group: str = "sample_id", temperature: float = 0.02,
-                 alpha: float = 1.0, epochs: int = 10, learning_rate: float = 0.05, decay: float = 0.995) -> dict:
-    """Softmax ranker (low scores win): gradient descent on the cross-entropy between the group softmax of
-    -teacher / temperature and that of -score / temperature.
+                 alpha: float = 1.0, max_steps: int = 1200, tolerance: float = 1e-8) -> dict:
+    """Softmax ranker (low scores win): the weights that minimise the mean cross-entropy between the group softmax of -teacher / temperature and that of
+    -score / temperature, plus alpha / 2 times their square.
 
-    Each epoch is one aggregate per group and one over all rows; weights are the only state on the driver.
-    """
+    The objective is convex. Damped Newton steps go on until the gradient's norm is below ``tolerance``; ``converged`` says whether it came to that within
+    ``max_steps``. Groups are packed into arrays once; a step is one pass over them, of which a vector over the features reaches the driver."""
     p = len(features)
     mean, std = standardise(total_matrix(moments(df, features), p + 1), p)
-    z = [((num_value(f) - float(mean[k])) / float(std[k])).alias(f"z{k}") for k, f in enumerate(features)]
-    base = df.select(F.col(group).alias("g"), (-F.col(teacher) / temperature).alias("t"), *z)
-    top = base.groupBy("g").agg(F.max("t").alias("tm"))
-    q = base.join(top, "g").withColumn("e", F.exp(F.col("t") - F.col("tm")))
-    data = q.join(q.groupBy("g").agg(F.sum("e").alias("es")), "g").withColumn("q", F.col("e") / F.col("es")).drop("t", "tm", "e", "es").persist()
-    groups = data.select("g").distinct().count()
-    w, rate = np.zeros(p), learning_rate
-    for _ in range(epochs):
-        logit = F.lit(0.0)
-        for k in range(p):
-            logit = logit - F.col(f"z{k}") * (float(w[k]) / temperature)
-        scored = data.withColumn("l", logit)
-        norm = scored.groupBy("g").agg(F.max("l").alias("lm"))
-        ex = scored.join(norm, "g").withColumn("x", F.exp(F.col("l") - F.col("lm")))
-        pr = ex.join(ex.groupBy("g").agg(F.sum("x").alias("xs")), "g")
-        row = pr.agg(*[F.sum((F.col("q") - F.col("x") / F.col("xs")) * F.col(f"z{k}") / temperature).alias(f"g{k}") for k in range(p)]).first()
-        w = w - rate * (np.array([row[f"g{k}"] for k in range(p)]) / max(1, groups) + alpha * w)
-        rate *= decay
-    data.unpersist()
-    return {"features": list(features), "mean": mean, "std": std, "weights": w}
+    rounds = Rounds(df.sparkSession)
+    packed = rounds.keep(pack_groups(df, features, group, mean, std, -F.col(teacher).cast("double") / temperature), "groups")
+    groups = max(1, packed.count())
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        rows = packed.mapInArrow(_softmax_terms(w, temperature), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        v = np.zeros(1 + p + p * p)
+        for r in rows:
+            v[r["i"]] = r["v"] / groups
+        return v[0] + alpha / 2 * w @ w, v[1:p + 1] + alpha * w, v[p + 1:].reshape(p, p) + alpha * np.eye(p)
+
+    w, steps = np.zeros(p), 0
+    loss, gradient, curve = at(w)
+    while np.linalg.norm(gradient) > tolerance and steps < max_steps:
+        step, share = np.linalg.solve(curve + 1e-12 * np.eye(p), gradient), 1.0
+        while True:
+            new = at(w - share * step)
+            steps += 1
+            if new[0] <= loss - 1e-4 * share * gradient @ step or np.linalg.norm(new[1]) < np.linalg.norm(gradient) or share < 1e-6:
+                break
+            share /= 2
+        w, (loss, gradient, curve) = w - share * step, new
+    rounds.drop("groups")
+    norm = float(np.linalg.norm(gradient))
+    return {"features": list(features), "mean": mean, "std": std, "weights": w, "gradient_norm": norm, "steps": steps, "objective": float(loss), "converged": norm <= tolerance}
 
 
 def fit_preset_classifier(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.01):

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordered import order_number
 from ..functions.semantics import half_even, minmax_norm, num_value
+from ..functions.tables import Rounds
 
 MINIMISE = ("mean_unified_loss", "mean_jump_count", "mean_trim_count", "mean_off_mask_stitch_length_mm", "mean_visible_connector_count")
 MAXIMISE = ("mean_coverage_ratio", "mean_stitch_precision_ratio")
@@ -27,47 +32,47 @@ def _beaten(rows: np.ndarray, by: np.ndarray, eps: float, chunk: int = 512) -> n
 
 
 def pareto_front(df: DataFrame, id_col: str, group: Sequence[str] = (), minimise: Sequence[str] = MINIMISE,
-                 maximise: Sequence[str] = MAXIMISE, eps: float = 1e-12, block_rows: int = 4096) -> DataFrame:
+                 maximise: Sequence[str] = MAXIMISE, eps: float = 1e-12, block_rows: int = 4096, best: int = 64) -> DataFrame:
     """Rows no other row of their group dominates.
 
-    Blocks of bounded size first drop what their own rows dominate.  The survivors of a group are cut
-    into blocks again and each block is checked against each other block in a task of its own, so no task
-    holds a group.
+    A row can only be dominated by one whose sum of normalised values is no larger. So the ``best`` rows of a group by that sum drop most others first, in
+    one pass over all rows; the rest are put in order of the sum and cut into blocks, and a block is checked against the blocks whose sums start no later
+    than its own end, each two in a task of their own. No task holds a group, and rows with later sums are never compared.
     """
-    group = list(group)
+    df = df if group else df.withColumn("_all", F.lit(0))
+    group = list(group) or ["_all"]
     cols = [*minimise, *maximise]
-    slim = df.select(*group, F.col(id_col).alias("_id"), *[
-        (num_value(c) if c in minimise else -num_value(c)).alias(c) for c in cols])
-    schema, names = slim.schema, slim.columns
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[cols].to_numpy(dtype=float)
-        return pdf.loc[~_beaten(values, values, eps), names]
-
-    survivors = _blocked(slim, group, block_rows).groupBy(*group, "_blocks", "_block").applyInPandas(local, schema)
-    again = _blocked(survivors, group, block_rows)
-    others = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    # Each block as candidates against every block, and as the dominators of every block.
-    tasks = again.withColumn("_other", F.explode(others)).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("_cand"))
-    tasks = tasks.withColumns({"_i": F.when(F.col("_cand"), F.col("_block")).otherwise(F.col("_other")),
-                               "_j": F.when(F.col("_cand"), F.col("_other")).otherwise(F.col("_block"))})
+    slim = df.select(*group, F.col(id_col).alias("_id"), *[(num_value(c) if c in minimise else -num_value(c)).alias(c) for c in cols])
+    spans = slim.groupBy(*group).agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
+    width = lambda c: F.col(f"hi_{c}") - F.col(f"lo_{c}")
+    total = sum((F.when(width(c) > 0, (F.col(c) - F.col(f"lo_{c}")) / width(c)).otherwise(0.0) for c in cols), F.lit(0.0))
+    # Sums that eps or rounding may have put in the wrong order.
+    loose = sum((F.when(width(c) > 0, eps / width(c)).otherwise(0.0) for c in cols), F.lit(1e-9))
+    rounds = Rounds(df.sparkSession)
+    scored = rounds.keep(slim.join(spans, group).select(*slim.columns, total.alias("_sum"), loose.alias("_loose")), "scored")
+    place = F.row_number().over(W.partitionBy(*group).orderBy("_sum", "_id"))
+    few = scored.withColumn("_place", place).filter(F.col("_place") <= best).groupBy(*group).agg(F.collect_list(F.struct(*cols)).alias("_few"))
+    beats = lambda f: reduce(and_, [f[c] <= F.col(c) + eps for c in cols]) & reduce(or_, [f[c] + eps < F.col(c) for c in cols])
+    left = scored.join(few, group).filter(~F.exists("_few", beats)).drop("_few")
+    left = rounds.keep(order_number(left, group, [F.col("_sum"), F.col("_id")], F.floor(F.col("_sum") * 1000), "_place").withColumn("_block", F.floor((F.col("_place") - 1) / block_rows)), "left")
+    rounds.drop("scored")
+
+    blocks = left.groupBy(*group, "_block").agg(F.min("_sum").alias("_from"), F.max(F.col("_sum") + F.col("_loose")).alias("_to"))
+    own, other = blocks.select(*group, F.col("_block").alias("_i"), "_to"), blocks.select(*group, F.col("_block").alias("_j"), "_from")
+    pairs = own.join(other, group).filter("_from <= _to").select(*group, "_i", "_j")
+    many = pairs.groupBy(*group, "_i").agg(F.count(F.lit(1)).alias("_blocks"))
+    values = left.select(*group, "_id", *cols, F.col("_block"))
+    tasks = values.withColumnRenamed("_block", "_i").join(pairs, [*group, "_i"]).withColumn("_cand", F.lit(True)).unionByName(
+        values.withColumnRenamed("_block", "_j").join(pairs, [*group, "_j"]).withColumn("_cand", F.lit(False)))
 
     def against(pdf: pd.DataFrame) -> pd.DataFrame:
         cand, by = pdf[pdf["_cand"]], pdf[~pdf["_cand"]]
-        kept = cand[~_beaten(cand[cols].to_numpy(dtype=float), by[cols].to_numpy(dtype=float), eps)]
-        return kept[[*group, "_id", "_blocks"]]
+        return cand.loc[~_beaten(cand[cols].to_numpy(dtype=float), by[cols].to_numpy(dtype=float), eps), [*group, "_id", "_i"]]
 
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in (*group, "_id")) + ", _blocks bigint"
-    kept = tasks.groupBy(*group, "_i", "_j").applyInPandas(against, kept_schema)
-    front = kept.groupBy(*group, "_id").agg(F.count(F.lit(1)).alias("_n"), F.max("_blocks").alias("_b")).filter("_n = _b")
-    return df.join(front.select(*group, F.col("_id").alias(id_col)), [*group, id_col], "left_semi")
-
-
-def _blocked(df: DataFrame, group: list[str], rows: int) -> DataFrame:
-    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("long").alias("_blocks"))
-    # A table without groups has one size row.
-    joined = df.join(sizes, group) if group else df.withColumn("_k", F.lit(1)).join(sizes.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return joined.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*group, "_id")) + ", _i bigint"
+    kept = tasks.groupBy(*group, "_i", "_j").applyInPandas(against, kinds).groupBy(*group, "_id", "_i").agg(F.count(F.lit(1)).alias("_n"))
+    front = kept.join(many, [*group, "_i"]).filter("_n = _blocks")
+    return df.join(front.select(*group, F.col("_id").alias(id_col)), [*group, id_col], "left_semi").drop("_all")
 
 
 def collapse_duplicates(df: DataFrame, signature: Sequence[str], objective: str = "objective", order: Sequence[str] = ()) -> DataFrame:
@@ -95,6 +100,7 @@ def knee_score(df: DataFrame, group: Sequence[str], min_coverage: float = 0.90)
 
 def recommendations(front: DataFrame, group: Sequence[str], id_col: str, min_coverage: float = 0.90, max_hard_fail: int = 0) -> DataFrame:
     """Best objective, low jump, high coverage and knee of the feasible rows (of all when none is feasible)."""
+    front = Rounds(front.sparkSession).keep(front, "front")  # it is read several times
     feasible = (num_value("hard_fail") <= max_hard_fail) & (num_value("mean_coverage_ratio") + 1e-12 >= min_coverage)
     marked = front.withColumn("_f", feasible)
     some = marked.groupBy(*group).agg(F.max("_f").alias("_any"))
@@ -135,7 +141,6 @@ ROBUST_WEIGHTS = {"objective": 0.40, "mean_unified_loss": 0.18, "mean_jump_count
 def robust_policies(rows: DataFrame, sweep: str, config: Sequence[str], n_sweeps: int, profile: str = "profile",
                     min_coverage: float = 0.90, max_hard_fail: int = 0) -> DataFrame:
     """Configurations feasible in every sweep, scored by mean, worst and range of their per-sweep scores."""
-    from ..functions.ordered import order_number
     keys = [profile, *config]
     unique = collapse_duplicates(rows, [sweep, *keys])
     feasible = unique.filter((num_value("hard_fail") <= max_hard_fail) & (num_value("mean_coverage_ratio") >= min_coverage))

@@ -280,13 +280,44 @@ def edge_ranker_quality(spark, sf):
     return tidy(models.rank_quality(models.decision_ranks(rows.withColumn("u", util), "u")))
 
 
-@query("listwise_scores")
+def _newton_sql(temperature: float, alpha: float, steps: int) -> str:
+    """The listwise objective of two features, minimised by Newton steps written out one after the other; w{steps} has the weights."""
+    inv = f"{1 / temperature}::DOUBLE"
+    parts = ["lz AS MATERIALIZED (SELECT c.sample_id, c.candidate, (c.jump_count - s.ma) / s.sa AS a, (c.coverage_ratio - s.mb) / s.sb AS b, exp(m.lo - c.unified_loss / {t}) / m.total AS q FROM candidates c, "
+             "(SELECT avg(jump_count::DOUBLE) AS ma, stddev_pop(jump_count::DOUBLE) AS sa, avg(coverage_ratio) AS mb, stddev_pop(coverage_ratio) AS sb FROM candidates) s "
+             "JOIN (SELECT sample_id, any_value(lo) AS lo, sum(exp(lo - unified_loss / {t})) AS total FROM (SELECT *, min(unified_loss) OVER (PARTITION BY sample_id) / {t} AS lo FROM candidates) GROUP BY 1) m ON m.sample_id = c.sample_id)".format(t=f"{temperature}::DOUBLE"),
+             "w0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb)"]
+    for k in range(steps):
+        parts.append(f"""h{k} AS MATERIALIZED (
+  SELECT sum(ga) / count(*) + {alpha} * any_value(wa) AS ga, sum(gb) / count(*) + {alpha} * any_value(wb) AS gb, sum(haa) / count(*) + {alpha} AS haa, sum(hab) / count(*) AS hab, sum(hbb) / count(*) + {alpha} AS hbb FROM (
+    SELECT sample_id, any_value(wa) AS wa, any_value(wb) AS wb, sum((q - p) * a) * {inv} AS ga, sum((q - p) * b) * {inv} AS gb, (sum(p * a * a) - sum(p * a) ** 2) * {inv} ** 2 AS haa,
+      (sum(p * a * b) - sum(p * a) * sum(p * b)) * {inv} ** 2 AS hab, (sum(p * b * b) - sum(p * b) ** 2) * {inv} ** 2 AS hbb
+    FROM (SELECT *, x / sum(x) OVER (PARTITION BY sample_id) AS p FROM (SELECT *, exp(l - max(l) OVER (PARTITION BY sample_id)) AS x FROM (SELECT *, -(a * wa + b * wb) * {inv} AS l FROM lz, w{k}))) GROUP BY 1))""")
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT wa - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS wa, wb - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS wb FROM w{k}, h{k})")
+    return "WITH " + ", ".join(parts)
+
+
+_STEPS = 12
+
+
+@query("listwise_scores", f"""
+SELECT l.sample_id, l.candidate, round_even(a * wa + b * wb, 6) AS score FROM ({_newton_sql(0.2, 0.01, _STEPS)} SELECT sample_id, candidate, a, b, wa, wb FROM lz, w{_STEPS}) l""", "candidates")
 def listwise_scores(spark, sf):
     c = candidates(spark, sf)
-    m = models.fit_listwise(c, _X, "unified_loss", temperature=0.2, alpha=0.01, epochs=3)
+    m = models.fit_listwise(c, _X, "unified_loss", temperature=0.2, alpha=0.01)
     return tidy(c.select("sample_id", "candidate", models.linear_score(m, intercept=False).alias("score")))
 
 
+@query("listwise_fit", f"""
+SELECT true AS converged, true AS gradient_vanishes, round_even(wa, 6) AS jump_weight, round_even(wb, 6) AS coverage_weight FROM ({_newton_sql(0.2, 0.01, _STEPS)} SELECT * FROM w{_STEPS})""", "candidates")
+def listwise_fit(spark, sf):
+    """The fitted weights, and whether the fit came to an end."""
+    m = models.fit_listwise(candidates(spark, sf), _X, "unified_loss", temperature=0.2, alpha=0.01)
+    row = candidates(spark, sf).limit(1).select(F.lit(bool(m["converged"])).alias("converged"), F.lit(m["gradient_norm"] < 1e-8).alias("gradient_vanishes"),
+                                                F.lit(float(m["weights"][0])).alias("jump_weight"), F.lit(float(m["weights"][1])).alias("coverage_weight"))
+    return tidy(row)
+
+
 @query("preset_classifier")
 def preset_classifier(spark, sf):
     c = candidates(spark, sf)

@@ -116,7 +116,7 @@ def test_leave_one_out_best(table):
 
 def test_listwise_and_logistic_learn_the_order(table):
     df, pdf = table
-    m = models.fit_listwise(df, ("a", "b"), "y", "s", temperature=0.5, alpha=0.001, epochs=25, learning_rate=0.2)
+    m = models.fit_listwise(df, ("a", "b"), "y", "s", temperature=0.5, alpha=0.001)
     assert m["weights"][0] > 0 > m["weights"][1]
     best = df.groupBy("s").agg(F.min("y").alias("m"))
     rows = df.join(best, "s").select(F.col("s").alias("decision_id"), F.col("row").alias("node_id"), (F.col("y") == F.col("m")).cast("int").alias("label"), "a", "b")
@@ -183,3 +183,41 @@ def test_edge_decisions(spark, steps, rows):
     for g, w in zip(got, want):
         assert g == pytest.approx(w)
     assert len(teachers.EDGE_FEATURES) == 28 and {r["task_type_running"] for r in df.filter("task_id = 1").collect()} == {1.0} and {r["candidate_bbox_aspect"] for r in df.collect()} == {2.0}
+
+
+@pytest.mark.parametrize("block,best", [(7, 1), (50, 8), (4096, 64)])
+def test_front_in_order_of_sums(spark, block, best):
+    """Ties, equal rows, a column without a span and several groups, with blocks that the survivors of the first pass cross."""
+    rng = np.random.default_rng(block)
+    pdf = pd.DataFrame(rng.integers(0, 12, (900, 3)).astype(float), columns=list("abc"))
+    pdf["a"] = 11 - pdf["b"] + rng.integers(0, 3, 900)
+    pdf["d"], pdf["g"], pdf["id"] = 1.0, rng.integers(0, 3, 900), range(900)
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = {r["id"] for r in pareto.pareto_front(df, "id", ["g"], ("a", "b", "d"), ("c",), block_rows=block, best=best).collect()}
+    want = set()
+    for _, part in pdf.groupby("g"):
+        v = part[["a", "b", "d"]].assign(c=-part["c"]).to_numpy()
+        beaten = ((v[None] <= v[:, None]).all(2) & (v[None] < v[:, None]).any(2)).any(1)
+        want |= set(part["id"][~beaten])
+    assert got == want and len(want) > 30
+
+
+def test_listwise_fit_comes_to_an_end(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"sample_id": np.repeat(range(60), rng.integers(1, 9, 60))})
+    pdf["p"], pdf["q"] = rng.normal(5, 3, len(pdf)), rng.normal(0, 1, len(pdf))
+    pdf["loss"] = 0.3 * pdf["p"] - 0.5 * pdf["q"] + rng.normal(0, 0.2, len(pdf))
+    from stitchspark.operators import models
+    m = models.fit_listwise(spark.createDataFrame(pdf).repartition(3), ["p", "q"], "loss", temperature=0.3, alpha=0.05)
+    x = (pdf[["p", "q"]] - pdf[["p", "q"]].mean()) / pdf[["p", "q"]].std(ddof=0)
+    soft = lambda v: (e := np.exp(v - v.max())) / e.sum()
+    w = np.zeros(2)
+    for _ in range(4000):  # plain gradient descent on the same objective
+        g = 0.05 * w
+        for _, part in pdf.groupby("sample_id"):
+            z = x.loc[part.index].to_numpy()
+            g = g + z.T @ (soft(-part["loss"].to_numpy() / 0.3) - soft(-z @ w / 0.3)) / 0.3 / 60
+        w = w - 0.05 * g
+    assert m["converged"] and m["gradient_norm"] < 1e-8 and m["steps"] < 60 and m["weights"] == pytest.approx(w, abs=1e-5)
+    stopped = models.fit_listwise(spark.createDataFrame(pdf), ["p", "q"], "loss", temperature=0.3, alpha=0.05, max_steps=1)
+    assert not stopped["converged"] and stopped["steps"] == 1
