@@ -150,7 +150,7 @@ def candidate_tags(name) -> dict[str, Column]:
     fixed = one((inset > 0) & (adaptive == 0))
     nearest = has("nearestrow", "nearest_row")
     adapt = r"adapt_t([0-9]+(?:p[0-9]+)?)_m([0-9]+(?:p[0-9]+)?)"
-    return {
+    tags = {
         "is_skeleton": has("skeleton"), "is_auto": has("auto"), "is_mask_fill": has("mask_fill"),
         "is_edgewalk": has("edgewalk"), "is_nearestrow": nearest,
         "is_raw_nearestrow": one((nearest == 1) & (fixed == 0) & (adaptive == 0)),
@@ -162,22 +162,25 @@ def candidate_tags(name) -> dict[str, Column]:
         "is_satinrail": has("satinrail"), "is_dt_satin": has("dtsatin", "dt_satin"), "is_quantvalid": has("quantvalid"),
         "is_segvalid": has("segvalid"), "is_qdirect": has("qdirect"), "is_qpath": has("qpath"), "is_strict": has("strict"),
     }
-
-
-# Which tag is multiplied by which measure.
-TAG_INTERACTIONS = (
-    ("is_skeleton", "branch_line_score"), ("is_skeleton", "coverage_ratio"), ("is_auto", "coverage_ratio"),
-    ("is_mask_fill", "coverage_ratio"), ("is_mask_fill", "branch_line_score"), ("is_edgewalk", "coverage_ratio"),
-    ("is_nearestrow", "coverage_ratio"), ("is_nearestrow", "mask_area_ratio"), ("is_fixed_inset", "mask_area_ratio"),
-    ("is_inset2", "mask_area_ratio"), ("is_adaptive_inset", "mask_area_ratio"),
-    ("is_adaptive_inset", "skeleton_to_mask_ratio"), ("is_style_aware", "coverage_ratio"),
-    ("is_style_aware", "branch_line_score"),
-)
+    return {f"candidate_{name}": value for name, value in tags.items()}
+
+
+# Which tag is multiplied by which measure, under which name.
+TAG_INTERACTIONS = {
+    "interaction_skeleton_x_line_score": ("is_skeleton", "branch_line_score"), "interaction_skeleton_x_coverage": ("is_skeleton", "coverage_ratio"),
+    "interaction_auto_x_coverage": ("is_auto", "coverage_ratio"), "interaction_mask_fill_x_coverage": ("is_mask_fill", "coverage_ratio"),
+    "interaction_mask_fill_x_line_score": ("is_mask_fill", "branch_line_score"), "interaction_edgewalk_x_coverage": ("is_edgewalk", "coverage_ratio"),
+    "interaction_nearestrow_x_coverage": ("is_nearestrow", "coverage_ratio"), "interaction_nearestrow_x_mask_area": ("is_nearestrow", "mask_area_ratio"),
+    "interaction_fixed_inset_x_mask_area": ("is_fixed_inset", "mask_area_ratio"), "interaction_inset2_x_mask_area": ("is_inset2", "mask_area_ratio"),
+    "interaction_adaptive_inset_x_mask_area": ("is_adaptive_inset", "mask_area_ratio"),
+    "interaction_adaptive_inset_x_skeleton_ratio": ("is_adaptive_inset", "skeleton_to_mask_ratio"),
+    "interaction_style_aware_x_coverage": ("is_style_aware", "coverage_ratio"), "interaction_style_aware_x_line_score": ("is_style_aware", "branch_line_score"),
+}
 
 
 def tag_interactions(name, measures) -> dict[str, Column]:
     tags = candidate_tags(name)
-    return {f"{t}_x_{m}": tags[t] * num_value(m) for t, m in TAG_INTERACTIONS if m in measures}
+    return {k: tags[f"candidate_{t}"] * num_value(m) for k, (t, m) in TAG_INTERACTIONS.items() if m in measures}
 
 
 def command_class(code, names: Mapping[int, str], mask: int = 0xFF, unknown: str = "unsupported_") -> Column:

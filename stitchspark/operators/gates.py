@@ -146,6 +146,8 @@ def promote(gated: DataFrame, baseline: DataFrame, policy: Policy, ties: Sequenc
     """Chosen candidate per baseline sample, the baseline where none passes."""
     ties = ties if ties is not None else (-F.col("ordinal"),)
     passing = gated.filter("gate_pass")
+    for c in policy.never_base:  # a row without the column's value is no base row
+        passing = passing.filter(F.coalesce(F.col(c), F.lit("")) != "base_keep")
     if policy.min_score is not None and not policy.gains:
         passing = passing.filter(F.col("policy_score") >= policy.min_score)
     best = best_per_sample(passing, ["candidate", "policy_score", "gate_reason", "unified_loss"], policy.best, ties=ties, key=key)
@@ -206,10 +208,11 @@ def keep_all_chain(df: DataFrame, gates: Sequence[Column], key: str = "sample_id
 
 
 def select_rows_by_gate(current: DataFrame, other: DataFrame, policy: Policy, key: str = "sample_id") -> DataFrame:
-    """Row-level choice between two profiles of the same sample."""
+    """Row-level choice between two profiles of the same sample: the other one where the policy lets it pass, else the current one with the reason why."""
     gated = apply_policy(with_baseline(other, current, key), policy)
     picked = gated.select(key, "gate_pass", "gate_reason", F.col("candidate").alias("_c"))
     return current.join(picked, key, "left").select(
         key, "source_name", "category", F.coalesce("gate_pass", F.lit(False)).alias("switched"),
         F.when(F.col("gate_pass"), F.col("_c")).otherwise(F.col("candidate")).alias("chosen_candidate"),
-        F.coalesce("gate_reason", F.lit("missing_row")).alias("gate_reason"))
+        F.when(F.col("gate_pass"), F.col("gate_reason")).when(F.col("gate_reason") == "other_source", F.lit("non_text_source"))
+        .when(F.col("gate_reason").isNotNull(), F.concat_ws(":", F.lit("text_safe_fallback"), "gate_reason", F.coalesce("category", F.lit("")))).otherwise("missing_row").alias("gate_reason"))

@@ -149,7 +149,7 @@ TEXTURE_TEACHER = Policy(
 
 MULTIFAMILY = Policy(
     "multifamily_safety",
-    [Reject("missing_prediction_dst", "round_trip_parse_success", "not in", (True,)),
+    [Reject("missing_prediction_dst", "executable_candidate", "in", (False,)),
      Reject("family_rejected", "deployed_family", "is", "reject"), Reject("hard_fail", "quality_level", "is", "hard_fail"),
      *increases({VIS: 0.0, OFF: 0.0, LOSS: 0.01, JUMP: 2.0, TRIM: 2.0}, INCREASE),
      Reject("coverage_drop", f"d:{COV}", "<", -0.015), Reject("precision_drop", f"d:{PREC}", "<", -0.03)],
@@ -161,7 +161,7 @@ MULTIFAMILY = Policy(
 PREVIEW_VETO = Policy(
     "preview_gated",
     [Reject("baseline_or_empty_candidate", "candidate", "in", ("base_keep", "")),
-     Reject("policy_failed", "policy_pass", "in", (False,)),
+     Reject("m2_82_policy_failed", "policy_pass", "in", (False,)),
      Reject("preview_score_regression", f"d:{PREV}", "<", 0.0), Reject("texture_score_regression", f"d:{TEX}", "<", -0.005),
      Reject("visible_connector_increase", f"d:{VIS}", ">", 0.0), Reject("off_mask_increase", f"d:{OFF}", ">", 0.0)],
     "preview_gate_pass")
@@ -169,14 +169,14 @@ PREVIEW_VETO = Policy(
 _PREVIEW_TERMS = (Term(0.20, f"d:{COV}"), Term(-0.02, f"d:{JUMP}", "positive"), Term(-0.02, f"d:{TRIM}", "positive"))
 PREVIEW_RERANK = Policy(
     "preview_aware_rerank",
-    [Reject("baseline_or_empty_candidate", "candidate", "in", ("base_keep", "")), Reject("policy_failed", "policy_pass", "in", (False,)),
-     *PREVIEW_LADDER],
+    [Reject("baseline_or_empty_candidate", "candidate", "in", ("base_keep", "")), Reject("m2_82_policy_failed", "policy_pass", "not in", (True,)),
+     Reject("missing_prediction_dst", "executable_candidate", "in", (False,)), *PREVIEW_LADDER],
     "preview_aware_candidate_pass",
     [Term(6.0, f"d:{PREV}"), Term(0.20, f"d:{TEX}"), Term(0.30, f"d:{PREC}"), Term(-0.80, f"d:{LOSS}", "positive"), *_PREVIEW_TERMS])
 
 PREVIEW_SWEEP = Policy(
     "preview_sweep",
-    [Reject("missing_prediction_dst", "round_trip_parse_success", "not in", (True,)),
+    [Reject("missing_prediction_dst", "executable_candidate", "in", (False,)),
      *(Reject(f"missing_{m}", m, "null", None) for m in ("unified_loss", "coverage_ratio", "stitch_precision_ratio")), *PREVIEW_LADDER],
     "preview_sweep_candidate_pass",
     [Term(6.5, f"d:{PREV}"), Term(0.25, f"d:{TEX}"), Term(0.35, f"d:{PREC}"), Term(-0.85, f"d:{LOSS}", "positive"), *_PREVIEW_TERMS],

@@ -196,7 +196,7 @@ def policy_pool(spark: SparkSession, sf: str) -> DataFrame:
         "satin_like_segments": F.col("satin_columns") + F.col("satin_rail_segments") + F.col("dt_satin_segments"),
         "skeleton_coverage_ratio": F.round(1.0 - 0.5 * (1.0 - F.col("coverage_ratio")), 6),
         "adaptive_skeleton_coverage_ratio": F.round(1.0 - 0.1 * (1.0 - F.col("coverage_ratio")), 6),
-        "policy_pass": q % 5 != 0,
+        "policy_pass": q % 5 != 0, "executable_candidate": q % 37 != 0,
         **{f"score_{n}": ((q * k + ordinal * 3) % 101) / 100.0 for n, k in LABEL_STEPS.items()},
     })
     return c.withColumns({**preview_scores(), "predicted_family": predicted_family()})
@@ -223,7 +223,7 @@ FROM (SELECT *, greatest(%s) AS best_score,
     (q %% 5) / 10.0::DOUBLE AS stitch_length_cv, (q %% 13) / 50.0::DOUBLE AS long_stitch_ratio, (q %% 29) / 5.0::DOUBLE AS stitch_density_per_100mm2,
     CASE WHEN q %% 41 = 0 THEN 1 ELSE 0 END AS illegal_long_stitch_count, satin_rail_segments + dt_satin_segments AS rail_and_dt_segments,
     satin_columns + satin_rail_segments + dt_satin_segments AS satin_like_segments, round(1.0 - 0.5 * (1.0 - coverage_ratio), 6) AS skeleton_coverage_ratio,
-    round(1.0 - 0.1 * (1.0 - coverage_ratio), 6) AS adaptive_skeleton_coverage_ratio, q %% 5 <> 0 AS policy_pass, %s
+    round(1.0 - 0.1 * (1.0 - coverage_ratio), 6) AS adaptive_skeleton_coverage_ratio, q %% 5 <> 0 AS policy_pass, q %% 37 <> 0 AS executable_candidate, %s
   FROM candidates))""" % (", ".join(f"score_{n}" for n in LABEL_STEPS),
                           ", ".join(f"((q * {k} + ordinal * 3) % 101) / 100.0::DOUBLE AS score_{n}" for n, k in LABEL_STEPS.items())), "candidates")
 cte("pool_base", """

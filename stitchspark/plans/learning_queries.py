@@ -367,15 +367,30 @@ def candidate_families(spark, sf):
     return candidates(spark, sf).select("candidate", *[scalars.candidate_family("candidate", s).alias(s) for s in ("teacher", "sweep", "kind")]).distinct()
 
 
-@query("candidate_tags", """
-SELECT sample_id, candidate, (candidate LIKE '%mask_fill%')::DOUBLE AS is_mask_fill, (candidate LIKE '%adapt%')::DOUBLE AS is_adaptive_inset, coalesce(TRY_CAST(regexp_extract(candidate, 'inset([0-9]+)', 1) AS DOUBLE), 0.0) AS fixed_inset_px,
-  coalesce(TRY_CAST(replace(regexp_extract(candidate, 'adapt_t([0-9]+(?:p[0-9]+)?)_m([0-9]+(?:p[0-9]+)?)', 1), 'p', '.') AS DOUBLE), 0.0) AS adaptive_thin_px, coalesce(TRY_CAST(regexp_extract(candidate, 'rows([0-9]+)', 1) AS DOUBLE), 0.0) AS row_spacing_tag,
-  round_even((candidate LIKE '%mask_fill%')::DOUBLE * coverage_ratio, 6) AS is_mask_fill_x_coverage_ratio FROM candidates""", "candidates")
+_HAS = lambda *words: "(" + " OR ".join(f"contains(n, '{w}')" for w in words) + ")::INTEGER::DOUBLE"
+_NUMBER = lambda pattern, group=1: f"coalesce(TRY_CAST(replace(regexp_extract(n, '{pattern}', {group}), 'p', '.') AS DOUBLE), 0.0)"
+_ADAPT = "adapt_t([0-9]+(?:p[0-9]+)?)_m([0-9]+(?:p[0-9]+)?)"
+_TAG_SQL = {
+    "is_skeleton": _HAS("skeleton"), "is_auto": _HAS("auto"), "is_mask_fill": _HAS("mask_fill"), "is_edgewalk": _HAS("edgewalk"), "is_nearestrow": _HAS("nearestrow", "nearest_row"),
+    "is_adaptive_inset": _HAS("adapt_", "_adapt"), "fixed_inset_px": _NUMBER("inset([0-9]+)"), "adaptive_thin_px": _NUMBER(_ADAPT, 1), "adaptive_mid_px": _NUMBER(_ADAPT, 2),
+    "row_spacing_tag": _NUMBER("rows([0-9]+)"), "mask_path_limit_tag": _NUMBER("_p([0-9]+)"), "is_style_aware": _HAS("styleaware", "style_aware"), "is_outline": _HAS("outline"),
+    "is_satin": _HAS("satin"), "is_satinrail": _HAS("satinrail"), "is_dt_satin": _HAS("dtsatin", "dt_satin"), "is_quantvalid": _HAS("quantvalid"), "is_segvalid": _HAS("segvalid"),
+    "is_qdirect": _HAS("qdirect"), "is_qpath": _HAS("qpath"), "is_strict": _HAS("strict")}
+_TAG_AFTER = {
+    "is_fixed_inset": "(fixed_inset_px > 0 AND is_adaptive_inset = 0)::INTEGER::DOUBLE", "is_inset1": "(fixed_inset_px = 1 AND is_adaptive_inset = 0)::INTEGER::DOUBLE",
+    "is_inset2": "(fixed_inset_px = 2 AND is_adaptive_inset = 0)::INTEGER::DOUBLE",
+    "is_raw_nearestrow": "(is_nearestrow = 1 AND NOT (fixed_inset_px > 0 AND is_adaptive_inset = 0) AND is_adaptive_inset = 0)::INTEGER::DOUBLE"}
+_MEASURES = {"coverage_ratio": "coverage_ratio", "branch_line_score": "(q % 10) / 10.0::DOUBLE", "mask_area_ratio": "(q % 7) / 7.0::DOUBLE", "skeleton_to_mask_ratio": "(q % 9) / 9.0::DOUBLE"}
+
+
+@query("candidate_tags", "SELECT sample_id, candidate, " + ", ".join(
+    [f"{k} AS candidate_{k}" for k in _TAG_SQL] + [f"{x} AS candidate_{k}" for k, x in _TAG_AFTER.items()]
+    + [f"round_even({_TAG_AFTER.get(t, t)} * {_MEASURES[m]}, 6) AS {k}" for k, (t, m) in scalars.TAG_INTERACTIONS.items()]) + " FROM (SELECT *, " + ", ".join(
+    f"{x} AS {k}" for k, x in _TAG_SQL.items()) + " FROM (SELECT *, lower(candidate) AS n FROM candidates))", "candidates")
 def candidate_tags(spark, sf):
-    c = candidates(spark, sf)
-    t, i = scalars.candidate_tags("candidate"), scalars.tag_interactions("candidate", c.columns)
-    names = ("is_mask_fill", "is_adaptive_inset", "fixed_inset_px", "adaptive_thin_px", "row_spacing_tag")
-    return tidy(c.select("sample_id", "candidate", *[t[n].alias(n) for n in names], i["is_mask_fill_x_coverage_ratio"].alias("is_mask_fill_x_coverage_ratio")))
+    q = F.col("q")
+    c = candidates(spark, sf).withColumns({"branch_line_score": (q % 10) / 10.0, "mask_area_ratio": (q % 7) / 7.0, "skeleton_to_mask_ratio": (q % 9) / 9.0})
+    return tidy(c.select("sample_id", "candidate", *[x.alias(k) for k, x in (scalars.candidate_tags("candidate") | scalars.tag_interactions("candidate", c.columns)).items()]))
 
 
 @query("relation_costs", """

@@ -34,7 +34,8 @@ def _rule(rule) -> str:
     if rule.op == "is":
         return f"{rule.measure} = '{rule.limit}'"
     if rule.op in ("in", "not in"):
-        return f"{rule.measure} {rule.op} ({', '.join(map(text, rule.limit))})"
+        none = f"{rule.measure} IS NULL OR " if rule.op == "not in" else ""
+        return f"({none}{rule.measure} {rule.op} ({', '.join(map(text, rule.limit))}))"
     if rule.op == "null":
         return f"{rule.measure} IS NULL"
     return f"{_m(rule.measure)} {rule.op} {rule.limit:.12g}::DOUBLE"
@@ -65,7 +66,7 @@ def ladder_sql(p: Policy, source: str) -> str:
 
 def promote_sql(p: Policy, gated: str) -> str:
     limit = f" AND policy_score >= {p.min_score}" if p.min_score is not None and not p.gains else ""
-    limit += "".join(f" AND {c} <> 'base_keep'" for c in p.never_base)
+    limit += "".join(f" AND coalesce({c}, '') <> 'base_keep'" for c in p.never_base)
     direction = "DESC" if p.best == "max" else "ASC"
     tie = "unified_loss, ordinal" if p.gains else "ordinal"
     return f"""SELECT b.sample_id, b.source_name, b.category, b.candidate AS base_candidate, coalesce(g.candidate, b.candidate) AS chosen_candidate,
@@ -103,8 +104,6 @@ def _register(p: Policy) -> None:
         def promoted(spark, sf):
             gated, base = gated_pool(spark, sf, p)
             ties = (-F.col("unified_loss"), -F.col("ordinal")) if p.gains else None
-            for c in p.never_base:
-                gated = gated.filter(F.col(c) != "base_keep")
             return tidy(gates.promote(gated, base, p, ties))
 
 
@@ -128,7 +127,8 @@ def near_misses(spark, sf):
 
 @query("text_switch_rows", """
 SELECT f.sample_id, f.source_name, f.category, coalesce(g.gate_pass, false) AS switched,
-  CASE WHEN g.gate_pass THEN g.candidate ELSE f.candidate END AS chosen_candidate, coalesce(g.gate_reason, 'missing_row') AS gate_reason
+  CASE WHEN g.gate_pass THEN g.candidate ELSE f.candidate END AS chosen_candidate, CASE WHEN g.gate_pass THEN g.gate_reason WHEN g.gate_reason = 'other_source' THEN 'non_text_source'
+    WHEN g.gate_reason IS NOT NULL THEN 'text_safe_fallback:' || g.gate_reason || ':' || coalesce(f.category, '') ELSE 'missing_row' END AS gate_reason
 FROM pool_base f LEFT JOIN (SELECT * FROM gated_text_profile_switcher WHERE ordinal = 5) g USING (sample_id)""", "gated_text_profile_switcher", "pool_base")
 def text_switch_rows(spark, sf):
     pool = policy_pool(spark, sf)
