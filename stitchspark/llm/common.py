@@ -83,16 +83,24 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def numbered(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        """The table written with a number for each row, and the name of that column. Rows that are alike in all columns are told apart by it."""
-        row = fresh(df, "_row")
-        return self.keep(df.withColumn(row, F.monotonically_increasing_id()), name), row
-
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_of_each(df: DataFrame, identity: dict[str, Column], stay: DataFrame) -> DataFrame:
+    """The rows of `df` whose identity is in `stay` (the identity's columns, once each, and `rows`, how many rows have it), each once: where several rows
+    have one identity, one of them."""
+    names = {k: fresh(df, f"_{k}") for k in (*identity, "rows")}
+    stay = stay.select(*(F.col(k).alias(n) for k, n in names.items()))
+    keyed = df.withColumns({names[k]: c for k, c in identity.items()})
+    keys = [names[k] for k in identity]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    alone = keyed.join(stay.filter(F.col(names["rows"]) == 1), keys, "left_semi").select(*columns)
+    several = keyed.join(stay.filter(F.col(names["rows"]) > 1), keys, "left_semi").groupBy(*keys).agg(F.first(F.struct(*columns)).alias("r"))
+    return alone.unionByName(several.select("r.*"))
+
+
 def cell_bits(rows: int, cell_rows: int = CELL_ROWS) -> int:
     """Bits of a hash that cut so many rows into cells of about `cell_rows`."""
     return max(1, (rows // cell_rows).bit_length())

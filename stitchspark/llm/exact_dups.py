@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, cell_bits, doc_id, doc_id_of, doc_key, positions, whole_text
+from .common import SPACE, Scratch, cell_bits, doc_id, doc_id_of, doc_key, one_of_each, positions, whole_text
 
 BLOCK_BYTES = 4096
 
@@ -24,7 +24,7 @@ def _blocks(bodies: DataFrame, size: int) -> DataFrame:
     """One row per block; an empty text is one empty block."""
     n = F.greatest(F.ceil(F.octet_length("body") / size), F.lit(1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("body"), i * size + 1, F.lit(size)))
-    return bodies.select("row", n.alias("n"), F.posexplode(cut).alias("idx", "block")).withColumn("h", F.xxhash64("block"))
+    return bodies.select("key", "sha", n.alias("n"), F.posexplode(cut).alias("idx", "block")).withColumn("h", F.xxhash64("block"))
 
 
 def _numbered(distinct: DataFrame, hashed: str, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -36,10 +36,13 @@ def _numbered(distinct: DataFrame, hashed: str, keys: list[str], scratch: Scratc
     return named
 
 
-def _groups(bodies: DataFrame, block_bytes: int, scratch: Scratch) -> DataFrame:
-    """row, key, sha, keep (key and row of the one that stays), group_size. bodies: row, key, body, a table that is read several times."""
+def _groups(df: DataFrame, block_bytes: int, scratch: Scratch) -> DataFrame:
+    """key, sha, rows (how many have this id and text), keep (the least key of the text), group_size."""
+    bodies = df.select(doc_key().alias("key"), one_space(whole_text()).cast("binary").alias("body")).withColumn("sha", F.sha2("body", 256))
+    docs = bodies.groupBy("key", "sha").agg(F.count("*").alias("rows"))
     blocks = _blocks(bodies, block_bytes)
-    parts = scratch.keep(blocks.drop("block"), "parts")
+    # Rows that repeat id and text have the same blocks; one of them stands for all.
+    parts = scratch.keep(blocks.drop("block").distinct(), "parts")
 
     # Blocks of the same hash: compared in full, and numbered within the hash.
     contents = blocks.groupBy("h", "block").agg(F.count("*").alias("_"))
@@ -48,30 +51,30 @@ def _groups(bodies: DataFrame, block_bytes: int, scratch: Scratch) -> DataFrame:
     if not mixed.isEmpty():
         ties = (contents.join(mixed, "h", "left_semi").withColumn("tie", F.row_number().over(Window.partitionBy("h").orderBy("block")))
                 .select("h", "block", "tie"))
-        keyed = parts.join(blocks.join(ties, ["h", "block"]).select("row", "idx", "tie"), ["row", "idx"], "left").fillna(0, ["tie"])
+        keyed = parts.join(blocks.join(ties, ["h", "block"]).select("key", "sha", "idx", "tie").distinct(), ["key", "sha", "idx"], "left").fillna(0, ["tie"])
         keyed = scratch.keep(keyed, "keyed")
     names = _numbered(keyed.groupBy("h", "tie").agg(F.count("*").alias("_")).drop("_"), "h", ["h", "tie"], scratch, "names-0")
-    held = scratch.keep(keyed.join(names, ["h", "tie"]).select("row", "n", "idx", "name"), "held-0")
-    scratch.drop("parts")
+    held = scratch.keep(keyed.join(names, ["h", "tie"]).select("key", "sha", "n", "idx", "name"), "held-0")
+    for name in ("parts", "mixed", "keyed", "names-0"):
+        scratch.drop(name)
 
     most, level = held.agg(F.max("n")).first()[0] or 1, 0
-    ended = held.filter("n = 1").select("row", F.lit(0).alias("level"), "name")
+    ended = held.filter("n = 1").select("key", "sha", F.lit(0).alias("level"), "name")
     while most > 1:
         level, most = level + 1, (most + 1) // 2
-        pairs = (held.filter("n > 1").groupBy("row", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("idx") / 2).cast("int").alias("idx"))
+        pairs = (held.filter("n > 1").groupBy("key", "sha", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("idx") / 2).cast("int").alias("idx"))
                  .agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b")))
         pairs = scratch.keep(pairs.withColumn("h", F.xxhash64("a", "b")), f"pairs-{level}")
         names = _numbered(pairs.select("h", "a", "b").distinct(), "h", ["a", "b"], scratch, f"names-{level}")
-        held = scratch.keep(pairs.join(names, ["h", "a", "b"]).select("row", "n", "idx", "name"), f"held-{level}")
+        held = scratch.keep(pairs.join(names, ["h", "a", "b"]).select("key", "sha", "n", "idx", "name"), f"held-{level}")
         scratch.drop(f"pairs-{level}")
-        ended = ended.unionByName(held.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
-    member = scratch.keep(bodies.select("row", "key", F.sha2("body", 256).alias("sha")).join(ended, "row"), "member")
-    groups = scratch.keep(member.groupBy("level", "name").agg(F.min(F.struct("key", "row")).alias("keep"), F.count("*").alias("group_size")), "groups")
-    return member.join(groups, ["level", "name"]).select("row", "key", "sha", "keep", "group_size")
-
-
-def _bodies(df: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
-    return scratch.keep(df.select(row.alias("row"), doc_key().alias("key"), one_space(whole_text()).cast("binary").alias("body")), "bodies")
+        scratch.drop(f"names-{level}")
+        ended = ended.unionByName(held.filter("n = 1").select("key", "sha", F.lit(level).alias("level"), "name"))
+    member = scratch.keep(docs.join(ended, ["key", "sha"]), "member")
+    for at in range(level + 1):
+        scratch.drop(f"held-{at}")
+    groups = scratch.keep(member.groupBy("level", "name").agg(F.min("key").alias("keep"), F.sum("rows").alias("group_size")), "groups")
+    return member.join(groups, ["level", "name"]).select("key", "sha", "rows", "keep", "group_size")
 
 
 def exact_groups(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -80,14 +83,12 @@ def exact_groups(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     A null text is an empty text, and all empty texts are one group. Each row is a document for itself: of rows that repeat the smallest doc_id of a
     group one is kept, whichever it is. A null doc_id sorts after all others; a group without ids keeps one row too. A text of any length is cut into
     blocks. An empty table gives no rows."""
-    scratch = Scratch(df.sparkSession)
-    found = _groups(_bodies(df, F.monotonically_increasing_id(), scratch), block_bytes, scratch)
-    return found.select(doc_id("key").alias("doc_id"), doc_id_of(F.col("keep.key")).alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    found = _groups(df, block_bytes, Scratch(df.sparkSession)).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    kept = (F.col("key") == F.col("keep")) & (F.col("again") == 1)
+    return found.select(doc_id("key").alias("doc_id"), doc_id_of(F.col("keep")).alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
     """The rows of `df` that stay, one of each group of equal texts: one of the smallest doc_id, or of none. All columns of `df` are kept."""
-    scratch = Scratch(df.sparkSession)
-    rows, row = scratch.numbered(df, "rows")
-    stay = _groups(_bodies(rows, F.col(row), scratch), BLOCK_BYTES, scratch).filter(F.col("row") == F.col("keep.row")).select(F.col("row").alias(row))
-    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    stay = _groups(df, BLOCK_BYTES, Scratch(df.sparkSession)).filter("key = keep").select("key", "sha", "rows")
+    return one_of_each(df, {"key": doc_key(), "sha": F.sha2(one_space(whole_text()).cast("binary"), 256)}, stay)

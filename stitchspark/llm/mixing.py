@@ -7,10 +7,10 @@ r modulo the number of blocks: a source that is wanted more than once is read ag
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cell_bits, doc_id_of, doc_key, fresh, n_words, positions, whole_text
+from .common import Scratch, cell_bits, doc_id_of, doc_key, fresh, n_words, one_of_each, positions, whole_text
 
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often.
@@ -50,7 +50,7 @@ def schedule(shares: DataFrame, slots: int, scratch: Scratch) -> DataFrame:
     return positions(placed, ["source_no"], "at", [], cell_bits(slots), out="rank").select("slot", "source_no", "rank")
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block_words: int = BLOCK_WORDS, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Two tables. Documents: doc_id, source, size, source_size, target, taken for each row of `df` (doc_id, text, source). Parts: slot, doc_id, text_hash,
     pass, first, words: what each slot of the mix takes, as words of a document (its text's hash tells repeated ids apart).
 
@@ -58,7 +58,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
     an order that their texts settle. An empty table, or one without words, gives targets and takings of 0."""
     scratch = Scratch(df.sparkSession)
     order = F.shiftleft(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), doc_key().cast("string"))), 1, 15), 16, 10).cast("long"), 4)
-    docs = scratch.keep(df.select((F.monotonically_increasing_id() if row is None else row).alias("row"), doc_key().alias("key"), F.col("source").alias("source_key"), n_words(whole_text()).alias("size"),
+    docs = scratch.keep(df.select(F.monotonically_increasing_id().alias("row"), doc_key().alias("key"), F.col("source").alias("source_key"), n_words(whole_text()).alias("size"),
                                   F.xxhash64(whole_text()).alias("text_hash"), order.alias("at")), "docs")
     total = docs.agg(F.sum("size")).first()[0] or 0
     sources = targets(docs.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, passes)
@@ -82,20 +82,24 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES,
     read = read.withColumn("to", to).withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("to") - 1) / block_words))))
     first = F.greatest(F.col("from"), F.col("rank") * block_words)
     cut = read.withColumn("words", F.least(F.col("to"), (F.col("rank") + 1) * block_words) - first).withColumn("first", first - F.col("from"))
-    parts = cut.join(made, ["source_no", "rank"]).select("slot", "row", "key", "text_hash", "size", "pass", "first", "words")
+    parts = cut.join(made, ["source_no", "rank"]).select("slot", "row", "key", "text_hash", "source", "size", "pass", "first", "words")
     parts = scratch.keep(parts, "parts")
     out = rows.join(parts.groupBy("row").agg(F.sum("words").alias("taken")), "row", "left")
-    documents = out.select("row", doc_id_of(F.col("key")).alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    documents = out.select("key", "text_hash", doc_id_of(F.col("key")).alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return documents, parts
 
 
 def mixed_documents(df: DataFrame, **how) -> DataFrame:
     """The mix as rows of `df`: a row for each time that a document is read. No document is cut: where a source's target ends inside one, it is read whole if
     half of its words or more are wanted, and else left out, so a source is off its target by half a document at most. Rows without words are never read."""
-    scratch = Scratch(df.sparkSession)
-    rows, row = scratch.numbered(df, "rows")
-    _, parts = mix(rows, row=F.col(row), **how)
-    reads = parts.groupBy("row", "pass", "size").agg(F.sum("words").alias("words")).filter(F.col("words") * 2 >= F.col("size"))
-    reads = reads.groupBy(F.col("row").alias(row)).agg(F.count("*").cast("int").alias(times := fresh(df, "_times")))
-    again = rows.join(reads, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return again.select(*(F.col(f"`{c}`") for c in df.columns))
+    documents, parts = mix(df, **how)
+    name = lambda c: F.concat(F.col(c).isNull().cast("string"), F.coalesce(F.col(c), F.lit("")))
+    reads = parts.groupBy("row", "key", "text_hash", "source", "pass", "size").agg(F.sum("words").alias("words")).filter(F.col("words") * 2 >= F.col("size"))
+    reads = reads.groupBy("key", "text_hash", name("source").alias("source")).agg(F.count("*").cast("int").alias("reads"))
+    same = documents.groupBy("key", "text_hash", name("source").alias("source")).agg(F.count("*").alias("rows"))
+    identity = {"key": doc_key(), "text_hash": F.xxhash64(whole_text()), "source": name("source")}
+    rows = one_of_each(df, identity, same.join(reads, list(identity), "left_semi"))
+    names = {k: fresh(df, f"_{k}") for k in (*identity, "reads")}
+    reads = reads.select(*(F.col(k).alias(n) for k, n in names.items()))
+    again = rows.withColumns({names[k]: c for k, c in identity.items()}).join(reads, [names[k] for k in identity])
+    return again.withColumn(names["reads"], F.explode(F.sequence(F.lit(1), F.col(names["reads"])))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, doc_id, doc_key, whole_text
+from .common import NO_ID, Scratch, doc_id, doc_key, one_of_each, whole_text
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -70,7 +70,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = _Words()
     for batch in batches:
         sets = [shingles(t, words) for t in batch["text"]]
-        yield pd.DataFrame({"row": batch["row"], "key": batch["key"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+        yield pd.DataFrame({"key": batch["key"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                             "minima": [minima(s) if len(s) else None for s in sets]})
 
 
@@ -152,12 +152,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _grouped(df: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
-    """row, key, n_shingles, comp (the least key of the row's group), kept (one of each group) for each row of `df`. A node is a set, whatever ids its texts have."""
-    docs = df.select(row.alias("row"), doc_key().alias("key"), F.xxhash64(whole_text()).alias("text_hash"), "text")
-    sketch = scratch.keep(docs.mapInPandas(_sketch, "row long, key long, text_hash long, n_shingles long, set_key binary, minima array<int>"), "sketch")
-    sets = sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("key", "row", "text_hash")).alias("head"), F.first("minima").alias("sig"))
-    sets = scratch.keep(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "head.key", "head.row", "head.text_hash", "sig"), "sets")
+def _grouped(df: DataFrame) -> DataFrame:
+    """key, text_hash, n_shingles, comp (the least key of the row's group), kept (one text of each group) for each row of `df`. A node is a set, whatever ids
+    its texts have."""
+    scratch = Scratch(df.sparkSession)
+    docs = df.select(doc_key().alias("key"), F.xxhash64(whole_text()).alias("text_hash"), "text")
+    sketch = scratch.keep(docs.mapInPandas(_sketch, "key long, text_hash long, n_shingles long, set_key binary, minima array<int>"), "sketch")
+    sets = sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("key", "text_hash")).alias("head"), F.first("minima").alias("sig"))
+    sets = scratch.keep(sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "head.key", "head.text_hash", "sig"), "sets")
     bands = F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)))
     bands = scratch.keep(sets.select("node", F.posexplode(bands).alias("band", "bucket")), "bands")
     leaders = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1")
@@ -169,12 +171,14 @@ def _grouped(df: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     sig = lambda c: sets.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     agree = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     pairs = scratch.keep(pairs.join(sig("v"), "v").join(sig("u"), "u").filter(agree >= int(np.ceil(LEAST * BANDS * ROWS))).select("u", "v"), "pairs-2")
+    scratch.drop("pairs-1")
     involved = shared.select("node").distinct()
     heads = scratch.keep(sets.join(involved, "node", "left_semi").select("node", "key", "text_hash"), "heads")
     texts = scratch.keep(docs.join(heads, ["key", "text_hash"]).select("node", "text"), "texts")
     if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat id and text
         texts = scratch.keep(texts.groupBy("node").agg(F.first("text").alias("text")), "texts-once")
     links = scratch.keep(_verified(pairs, texts), "links-1")
+    scratch.drop("pairs-2")
     found = components(links, scratch, "stars-1")
 
     # Buckets that are still in several components: the rest against all.
@@ -196,15 +200,18 @@ def _grouped(df: DataFrame, row: Column, scratch: Scratch) -> DataFrame:
     left, right = gathered(rows, "blocks", ""), gathered(rows.filter("comp <> main"), "blocks2", "2")
     more = left.join(right, "bucket").mapInPandas(_compare, "u long, v long").distinct()
     links = scratch.keep(links.unionByName(more), "links")
+    for name in ("open", "part", "shared", "bands", "leaders", "texts", "texts-once", "heads"):
+        scratch.drop(name)
 
-    # Copies of a set follow their node; the least id of a group stands for it, and of the rows with that id one.
+    # Copies of a set follow their node; the least id of a group stands for it, and of its texts one.
     final = scratch.keep(components(links, scratch, "stars"), "components")
-    member = sets.select("node", "set_key", "key", "row").join(final, "node", "left").select("set_key", "key", "row", F.coalesce("component", "node").alias("component"))
+    member = sets.select("node", "set_key", "key", "text_hash").join(final, "node", "left").select("set_key", "key", "text_hash", F.coalesce("component", "node").alias("component"))
     member = scratch.keep(member, "member")
-    least = member.groupBy("component").agg(F.min(F.struct("key", "row")).alias("least"))
+    least = member.groupBy("component").agg(F.min(F.struct("key", "text_hash")).alias("least"))
     least = scratch.keep(member.join(least, "component").select("set_key", "least"), "least")
     return (sketch.drop("minima").join(least, "set_key", "left")
-            .select("row", "key", "n_shingles", F.coalesce("least.key", "key").alias("comp"), F.coalesce(F.col("row") == F.col("least.row"), F.lit(True)).alias("kept")))
+            .select("key", "text_hash", "n_shingles", F.coalesce("least.key", "key").alias("comp"),
+                    F.coalesce((F.col("key") == F.col("least.key")) & (F.col("text_hash") == F.col("least.text_hash")), F.lit(True)).alias("kept")))
 
 
 def near_groups(df: DataFrame) -> DataFrame:
@@ -214,13 +221,11 @@ def near_groups(df: DataFrame) -> DataFrame:
     Rows that repeat a doc_id with other texts are linked by their texts only; component_id is the least doc_id of a row's group, and kept says whether it
     is the row's own. Null doc_ids come after all others and are returned as null (kept: null). An empty table gives no rows."""
     kept = F.when(F.col("key") != NO_ID, F.col("key") == F.col("comp"))
-    found = _grouped(df, F.monotonically_increasing_id(), Scratch(df.sparkSession))
-    return found.select(doc_id("key").alias("doc_id"), "n_shingles", doc_id("comp").alias("component_id"), kept.alias("kept"))
+    return _grouped(df).select(doc_id("key").alias("doc_id"), "n_shingles", doc_id("comp").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(df: DataFrame) -> DataFrame:
     """The rows of `df` that stay, one of each group: one of the smallest doc_id, or of none. Rows whose text has no words all stay."""
-    scratch = Scratch(df.sparkSession)
-    rows, row = scratch.numbered(df, "rows")
-    stay = _grouped(rows, F.col(row), scratch).filter("kept").select(F.col("row").alias(row))
-    return rows.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))
+    wordy = F.max(F.col("n_shingles") > 0)
+    stay = _grouped(df).filter("kept").groupBy("key", "text_hash").agg(F.when(wordy, F.count("*")).otherwise(1).alias("rows"))
+    return one_of_each(df, {"key": doc_key(), "text_hash": F.xxhash64(whole_text())}, stay)
