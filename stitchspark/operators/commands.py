@@ -122,6 +122,21 @@ def execution_report(commands: DataFrame, max_stitch_mm: float = 4.0, high_risk_
         zero("path_stitch").alias("stitch_path_mm"), zero("path_jump").alias("jump_path_mm"), "lock_tack_like_count")
 
 
+def full_execution_report(commands: DataFrame, off_mask: DataFrame, mask_path: Column | None = None, target_width_mm: float = 25.6, max_stitch_mm: float = 4.0,
+                          high_risk_jump_mm: float = 8.0, visible_min_mm: float = 1.5, visible_ratio: float = 0.65) -> DataFrame:
+    """All 25 columns of a design's report: the metrics in one pass, the count map, and what lies off the mask, with the limits they were taken at.
+
+    ``off_mask``: the share of each stitch outside the mask (``pixels.off_mask_stitches``); a design without any has none."""
+    from .pixels import visible_connectors
+    seen = visible_connectors(off_mask, visible_min_mm, visible_ratio)
+    report = execution_report(commands, max_stitch_mm, high_risk_jump_mm).join(command_counts(commands), "design_id").join(seen, "design_id", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast(t)) for c, t in seen.dtypes if c != "design_id"}
+    return report.withColumns(zero | {
+        "round_trip_parse_success": F.lit(True), "mask_path": F.coalesce(mask_path, F.lit("")) if mask_path is not None else F.lit(""), "target_width_mm": F.lit(target_width_mm),
+        "max_stitch_threshold_mm": F.lit(max_stitch_mm), "high_risk_jump_threshold_mm": F.lit(high_risk_jump_mm), "visible_connector_min_mm": F.lit(visible_min_mm),
+        "visible_connector_off_mask_ratio": F.lit(visible_ratio)})
+
+
 def design_metrics(commands: DataFrame, trim_mm: float = 6.0, high_risk_mm: float = 12.0) -> DataFrame:
     """Segment counts and distances; the first command has no segment."""
     d, prev = F.col("distance_mm"), F.col("has_prev")

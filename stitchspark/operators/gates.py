@@ -90,6 +90,27 @@ def with_baseline(candidates: DataFrame, baseline: DataFrame, key: str = "sample
     return joined.withColumns({f"delta_{m}": rounded_delta(num_value(m), num_value(f"base_{m}")) for m in used})
 
 
+def candidate_roots(candidates: DataFrame, texture_rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Where a candidate's outputs lie: as its own (sample, candidate) row says, else by the candidate's name, else nowhere (null).
+
+    ``texture_rows``: sample_id, candidate, candidate_root, row (of rows with one key the last counts); ``roots``: candidate, result_dir (once)."""
+    own = texture_rows.groupBy("sample_id", "candidate").agg(F.max_by("candidate_root", "row").alias("_own"))
+    named = roots.select("candidate", F.col("result_dir").alias("_named"))
+    found = candidates.join(own, ["sample_id", "candidate"], "left").join(named, "candidate", "left")
+    root = F.coalesce(F.when(F.col("_own") != "", F.col("_own")), "_named")
+    return found.withColumn("candidate_root", root).drop("_own", "_named")
+
+
+SKELETON = ("skeleton_coverage_ratio", "adaptive_skeleton_coverage_ratio")
+
+
+def with_skeleton_rows(rows: DataFrame, audit: DataFrame, selection: Column) -> DataFrame:
+    """``rows`` with the skeleton coverage that ``audit`` (selection, sample_id, and the two ratios) has for their sample under the named selection; null
+    where it has none. Columns of these names in ``rows`` are replaced."""
+    held = audit.select(F.col("selection").alias("_selection"), "sample_id", *SKELETON)
+    return rows.drop(*SKELETON).withColumn("_selection", selection).join(held, ["_selection", "sample_id"], "left").drop("_selection")
+
+
 def utility(terms: Sequence[Term], rounded: bool = True) -> Column:
     total = F.lit(0.0)
     for t in terms:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import order_number
@@ -283,18 +283,17 @@ def pool_gates(flat_min: float = 0.75, line_min: float = 0.45, tolerance: float
     ]
 
 
+# The order of hard failures.
 HARD_ORDER = ("parse_fail", "visible_connector_count", "off_mask_stitch_length_mm", "jump_count", "trim_count", "unified_loss")
 
 
 def hard_and_mean_ranks(df: DataFrame, key: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """0-based positions by the lexicographic hard order and by loss, and the best flags."""
+    """0-based positions by the lexicographic hard order and by loss, and the best flags. The candidates of a sample, which its generators bound, are
+    grouped once for both orders."""
     d = df.withColumn("parse_fail", (~F.col("round_trip_parse_success")).cast("int")).withColumn("hard_score", hard_score())
-    hard = [F.col(c).asc() for c in HARD_ORDER] + [F.col("ordinal").asc()]
-    coarse = F.struct("parse_fail", "visible_connector_count", F.floor("off_mask_stitch_length_mm").alias("o"))
-    a = order_number(d, list(key), hard, coarse, "hard_rank")
-    b = order_number(a, list(key), [F.col("unified_loss").asc(), F.col("ordinal").asc()], F.floor(F.col("unified_loss") * 1000), "mean_rank")
-    return b.withColumns({"hard_rank": F.col("hard_rank") - 1, "mean_rank": F.col("mean_rank") - 1}).withColumns(
-        {"is_hard_best": F.col("hard_rank") == 0, "is_mean_best": F.col("mean_rank") == 0})
+    place = lambda *order: (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long")
+    ranked = d.withColumns({"hard_rank": place(*HARD_ORDER, "ordinal"), "mean_rank": place("unified_loss", "ordinal")})
+    return ranked.withColumns({"is_hard_best": F.col("hard_rank") == 0, "is_mean_best": F.col("mean_rank") == 0})
 
 
 def oracle_choice(df: DataFrame, score: str = "oracle_score", key: str = "sample_id") -> DataFrame:

@@ -158,6 +158,24 @@ def visible_connectors(spark, sf):
     return px.visible_connectors(off_mask(spark, sf))
 
 
+_COUNT_TEXT = "SELECT design_id, string_agg(name || '=' || n, ',' ORDER BY name) AS command_counts FROM (SELECT design_id, lower(command) AS name, count(*) AS n FROM commands GROUP BY 1, 2) GROUP BY 1"
+
+
+@query("full_execution_report", f"""
+SELECT e.*, l.lock_tack_like_count, c.command_counts, coalesce(v.off_mask_stitch_length_mm, 0.0) AS off_mask_stitch_length_mm, coalesce(v.off_mask_stitch_count, 0) AS off_mask_stitch_count,
+  coalesce(v.visible_connector_count, 0) AS visible_connector_count, coalesce(v.visible_connector_length_mm, 0.0) AS visible_connector_length_mm, true AS round_trip_parse_success,
+  'masks/' || e.design_id || '.png' AS mask_path, 25.6::DOUBLE AS target_width_mm, 4.0::DOUBLE AS max_stitch_threshold_mm, 8.0::DOUBLE AS high_risk_jump_threshold_mm,
+  1.5::DOUBLE AS visible_connector_min_mm, 0.65::DOUBLE AS visible_connector_off_mask_ratio
+FROM execution_metrics e JOIN lock_tack l USING (design_id) JOIN ({_COUNT_TEXT}) c USING (design_id) LEFT JOIN (
+  SELECT design_id, round_even(sum(distance_mm * off_fraction), 4) AS off_mask_stitch_length_mm, count_if(off_fraction > 0) AS off_mask_stitch_count, count_if(distance_mm >= 1.5 AND off_fraction >= 0.65) AS visible_connector_count,
+    round_even(coalesce(sum(distance_mm) FILTER (distance_mm >= 1.5 AND off_fraction >= 0.65), 0.0), 4) AS visible_connector_length_mm FROM off_mask GROUP BY 1) v USING (design_id)""", "execution_metrics", "lock_tack", "commands", "off_mask")
+def full_execution_report(spark, sf):
+    path = F.concat(F.lit("masks/"), F.col("design_id").cast("string"), F.lit(".png"))
+    report = cmd.full_execution_report(commands(spark, sf), off_mask(spark, sf), path)
+    pairs = F.transform(F.map_entries("command_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return report.withColumn("command_counts", F.array_join(pairs, ","))
+
+
 cte("drawn", "SELECT DISTINCT design_id, y, x FROM wide_hits", "wide_hits")
 cte("dilated", f"SELECT DISTINCT design_id, y + ody AS y, x + odx AS x FROM masks, {_disc(1)} WHERE y + ody BETWEEN 0 AND {GRID - 1} AND x + odx BETWEEN 0 AND {GRID - 1}", "masks")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import semantics
 from ..operators import gates, policies as P
 from ..operators.gates import METRICS, Policy
-from .fixtures import baseline, policy_pool
+from .fixtures import baseline, candidates, policy_pool
 from .registry import cte, query, r, tidy
 
 EXTRA = ("skeleton_coverage_ratio", "adaptive_skeleton_coverage_ratio", "family_texture_score_norm", "directional_score", "rhythm_score")
@@ -141,6 +142,41 @@ def deployed_families(spark, sf):
     return tidy(d.select("sample_id", "candidate", "predicted_family", "deployed_family", "deployment_reason", "selector_margin_vs_reject"))
 
 
+@query("candidate_roots", """
+SELECT sample_id, candidate, CASE WHEN q % 3 = 0 AND q % 12 <> 0 THEN 'textures/' || sample_id || '/' || candidate WHEN ordinal < 6 THEN 'pool/' || candidate END AS candidate_root FROM candidates""", "candidates")
+def candidate_roots(spark, sf):
+    c = candidates(spark, sf)
+    path = F.concat_ws("/", F.lit("textures"), F.col("sample_id").cast("string"), "candidate")
+    texture = c.filter("q % 3 = 0").select("sample_id", "candidate", F.explode(F.array(
+        F.struct(F.lit("old").alias("candidate_root"), F.lit(1).alias("row")), F.struct(F.when(F.col("q") % 12 == 0, "").otherwise(path).alias("candidate_root"), F.lit(2).alias("row")))).alias("r"))
+    roots = c.filter("ordinal < 6").select("candidate").distinct().withColumn("result_dir", F.concat(F.lit("pool/"), F.col("candidate")))
+    return gates.candidate_roots(c, texture.select("sample_id", "candidate", "r.*"), roots).select("sample_id", "candidate", "candidate_root")
+
+
+cte("skeleton_audit", """
+SELECT candidate AS selection, sample_id, round_even(1.0 - 0.3 * (1.0 - coverage_ratio), 6) AS skeleton_coverage_ratio, round_even(1.0 - 0.05 * (1.0 - coverage_ratio), 6) AS adaptive_skeleton_coverage_ratio
+FROM policy_pool WHERE q % 4 <> 3 OR candidate = 'base_keep'""", "policy_pool")
+cte("audited", "SELECT p.* EXCLUDE (skeleton_coverage_ratio, adaptive_skeleton_coverage_ratio), a.skeleton_coverage_ratio, a.adaptive_skeleton_coverage_ratio FROM policy_pool p LEFT JOIN skeleton_audit a ON a.selection = p.candidate AND a.sample_id = p.sample_id", "policy_pool", "skeleton_audit")
+cte("audited_deltas", "SELECT c.*, %s FROM audited c JOIN (SELECT a.* FROM audited a JOIN pool_base p ON p.sample_id = a.sample_id AND p.ordinal = a.ordinal) b USING (sample_id)" % ", ".join(
+    f"round_even(coalesce(c.{m}, 0) - coalesce(b.{m}, 0), 8) AS delta_{m}" for m in ALL_METRICS), "audited", "pool_base")
+
+
+@query("line_skeleton_rows", """
+SELECT sample_id, candidate, CASE WHEN source_name <> 'QuickDraw' THEN 'other_source' WHEN quality_level = 'hard_fail' THEN 'candidate_hard_fail' WHEN delta_off_mask_stitch_length_mm > 0 THEN 'off_mask_increase'
+  WHEN delta_visible_connector_count > 0 THEN 'visible_increase' WHEN delta_jump_count > 0 THEN 'jump_increase' WHEN delta_trim_count > 0 THEN 'trim_increase' WHEN delta_unified_loss > 0 THEN 'loss_increase'
+  WHEN adaptive_stitch_precision_ratio < 0.95 THEN 'adaptive_precision_too_low' WHEN coalesce(adaptive_skeleton_coverage_ratio, 0) < 0.95 THEN 'adaptive_skeleton_coverage_too_low'
+  WHEN delta_skeleton_coverage_ratio < 0.005 THEN 'skeleton_coverage_gain_too_small' WHEN delta_adaptive_skeleton_coverage_ratio < 0.005 THEN 'adaptive_skeleton_coverage_gain_too_small'
+  ELSE 'line_skeleton_fidelity' END AS gate_reason FROM audited_deltas""", "audited_deltas")
+def line_skeleton_rows(spark, sf):
+    """The line-skeleton gate over audit rows joined by selection and sample; its SQL states the published ladder, not the policy's table."""
+    pool = policy_pool(spark, sf)
+    half = lambda k: semantics.half_even(1.0 - k * (1.0 - F.col("coverage_ratio")), 6)
+    audit = pool.filter("q % 4 <> 3 OR candidate = 'base_keep'").select(F.col("candidate").alias("selection"), "sample_id", half(0.3).alias("skeleton_coverage_ratio"), half(0.05).alias("adaptive_skeleton_coverage_ratio"))
+    rows = gates.with_skeleton_rows(pool, audit, F.col("candidate"))
+    joined = gates.with_baseline(rows, baseline(rows), metrics=ALL_METRICS)
+    return gates.apply_policy(joined, P.LINE_SKELETON).select("sample_id", "candidate", "gate_reason")
+
+
 _TEACHER = ("base_keep", "fill_tatami_like", "satin_like", "outline_border", "reject")
 _TEACHER_SQL = "[%s][q %% 5 + 1]" % ", ".join(f"'{t}'" for t in _TEACHER)
 _SUMMARY_SQL = """count(*) AS rows, round_even(count_if({p} = t) / count(*), 6) AS accuracy,
