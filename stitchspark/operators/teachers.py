@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import BLOCK_ROWS, order_number, previous_values
-from ..functions.scalars import candidate_family, label_family
+from ..functions.scalars import candidate_family, derived_features, label_family, ratio_features
 from ..functions.semantics import half_even, mean0, num_value
+from .ranking import hard_and_mean_ranks
 from .summaries import execution_risk
 
 SCHEMA = ("seed_source", "sample_id", "source_name", "category", "candidate", "candidate_family", "teacher_family",
@@ -124,6 +125,49 @@ def positives(df: DataFrame, columns: Sequence[str] = SCHEMA) -> DataFrame:
     return df.filter("is_positive_teacher > 0").select(*[c for c in columns if c in df.columns])
 
 
+# Which fields of a sample, a prediction and an export are features, and which of them are multiplied.
+PRE_FIELDS = ("size", "colors", "color_distance", "min_component_px", "max_components", "initial_foreground_ratio", "refined_foreground_ratio", "thread_foreground_ratio",
+              "region_foreground_ratio", "selected_foreground_ratio", "region_thread_area_ratio")
+PRED_FIELDS = ("foreground_pixels", "hybrid_pixels", "mask_mean", "density_mean")
+POST_FIELDS = ("stitches", "jumps", "jump_distance_mm", "max_jump_mm", "stitch_path_mm", "color_layers", "color_changes", "trims", "components", "continuity_connectors", "outline_stitches")
+SAMPLE_FACTORS = ("pre.selected_foreground_ratio", "pre.region_foreground_ratio", "pre.thread_foreground_ratio", "pre.region_thread_area_ratio", "pred.mask_mean", "pred.density_mean",
+                  "pred.stitch_type.1_ratio", "pred.stitch_type.2_ratio", "pred.stitch_type.3_ratio")
+PRESET_FACTORS = ("preset.graph_tsp_planner", "preset.mask_safe_connectors", "preset.connect_near_mm", "preset.continuity_connect_max_mm", "preset.continuity_connect_threshold",
+                  "preset.max_stitch_mm", "preset.row_step_px", "preset.point_step_px", "preset.min_active_px", "preset.max_components")
+
+
+def selector_dataset(rows: DataFrame, samples: DataFrame, presets: DataFrame, exports: DataFrame | None = None) -> DataFrame:
+    """``rows`` (sample_id, method, ordinal and metrics) with their ranks, the flags is_best_hard and is_best_mean, and a map of ``features``.
+
+    ``samples``: sample_id, source_width, source_height, selected_source, and the maps pre, pred and stitch_type_counts; ``presets``: method and the map
+    args. What a sample or method lacks gives no feature. ``exports`` (sample_id, method, and the maps dst, type_component_counts, graph) are known only
+    after a candidate was exported: leave them out unless the features may leak that."""
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    named = lambda m, rename: F.coalesce(F.transform_keys(m, lambda k, v: rename(k)), none)
+    none = F.map_filter(F.create_map(F.lit(""), F.lit(0.0)), lambda k, v: F.lit(False))
+    held = lambda m, fields: F.map_filter(F.col(m), lambda k, v: k.isin(*fields) & v.isNotNull())
+    ratios = lambda m, prefix: named(ratio_features(m), lambda k: text(f"{prefix}.", k, "_ratio"))
+    w, h = F.col("source_width"), F.col("source_height")
+    size = F.when(w.isNotNull() & h.isNotNull(), F.create_map(F.lit("pre.source_width"), w, F.lit("pre.source_height"), h, F.lit("pre.source_aspect"), w / F.greatest(F.lit(1.0), h))).otherwise(none)
+    clean = lambda k: text("preset.", F.replace(F.regexp_replace(k, "^-+", ""), F.lit("-"), F.lit("_")))
+    base = F.map_concat(
+        size, named(held("pre", PRE_FIELDS), lambda k: text("pre.", k)), F.create_map(text("pre.selected_source=", F.coalesce("selected_source", F.lit("unknown"))), F.lit(1.0)),
+        named(held("pred", PRED_FIELDS), lambda k: text("pred.", k)), ratios("stitch_type_counts", "pred.stitch_type"), named(F.col("args"), clean))
+    d = rows.join(samples, "sample_id", "left").join(presets, "method", "left").withColumn("_base", base)
+    have = lambda keys: F.filter(F.array(*map(F.lit, keys)), lambda k: F.map_contains_key("_base", k))
+    value = lambda k: F.try_element_at("_base", k if isinstance(k, Column) else F.lit(k))
+    under = lambda k: F.replace(k, F.lit("."), F.lit("_"))
+    products = F.flatten(F.transform(have(SAMPLE_FACTORS), lambda s: F.transform(have(PRESET_FACTORS), lambda p: F.struct(text("interaction.", under(s), "__x__", under(p)).alias("k"), (value(s) * value(p)).alias("v")))))
+    zero = lambda k: F.coalesce(value(k), F.lit(0.0))
+    derived = derived_features(zero("pre.selected_foreground_ratio"), zero("pred.density_mean"), zero("pred.mask_mean"), zero("pred.stitch_type.1_ratio"), zero("pred.stitch_type.2_ratio"), zero("pred.stitch_type.3_ratio"))
+    parts = [F.col("_base"), F.map_from_entries(products), F.create_map(*[x for k, c in derived.items() for x in (F.lit(f"derived.{k}"), c)])]
+    if exports is not None:
+        d = d.join(exports, ["sample_id", "method"], "left")
+        parts += [named(held("dst", POST_FIELDS), lambda k: text("post.dst.", k)), ratios("type_component_counts", "post.type_component"), named(F.col("graph"), lambda k: text("post.graph.", k))]
+    ranked = hard_and_mean_ranks(d.withColumn("features", F.map_concat(*parts)))
+    return ranked.select(*rows.columns, "hard_score", "hard_rank", "mean_rank", F.col("is_hard_best").alias("is_best_hard"), F.col("is_mean_best").alias("is_best_mean"), "features")
+
+
 #: Names of the features of a routing decision's candidates, in their order (fixed values).
 EDGE_FEATURES = (
     "distance_to_start_mm", "distance_to_end_mm", "min_endpoint_distance_mm", "endpoint_distance_gap_mm", "choose_reverse_by_distance",

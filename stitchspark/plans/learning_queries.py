@@ -14,6 +14,50 @@ from .policy_queries import gated_pool
 from .registry import Tables, cte, query, r, tidy
 from .selection_queries import decisions, grid_choice
 
+# ---- selector dataset ----
+_PAIR = lambda k, v: f"{{'k': {k}, 'v': ({v})::DOUBLE}}"
+_SHARE = lambda prefix, counts: ("CASE WHEN " + " + ".join(f"greatest(0, {v})" for v in counts.values()) + " > 0 THEN [" + ", ".join(
+    _PAIR(f"'{prefix}.{k}_ratio'", f"greatest(0, {v}) / (" + " + ".join(f"greatest(0, {x})" for x in counts.values()) + ")") for k, v in counts.items()) + "] ELSE [] END")
+_LIST = lambda keys: "[" + ", ".join(f"'{k}'" for k in keys) + "]"
+cte("selector_base", f"""
+SELECT *, list_concat(CASE WHEN sample_id % 10 = 0 THEN [] ELSE [{_PAIR("'pre.source_width'", '100 + sample_id % 50')}, {_PAIR("'pre.source_height'", '80 + sample_id % 30')}, {_PAIR("'pre.source_aspect'", '(100 + sample_id % 50) / (80 + sample_id % 30)')}] END,
+  [{_PAIR("'pre.size'", 'sample_id % 7')}, {_PAIR("'pre.selected_foreground_ratio'", 'sample_id % 90 / 90')}, {_PAIR("'pre.region_foreground_ratio'", 'sample_id % 80 / 80')},
+   {_PAIR("'pre.selected_source=' || CASE WHEN sample_id % 3 = 0 THEN 'unknown' ELSE 'mask' || sample_id % 2 END", '1')}, {_PAIR("'pred.mask_mean'", 'sample_id % 11 / 11')}, {_PAIR("'pred.density_mean'", 'sample_id % 13 / 13')}],
+  {_SHARE('pred.stitch_type', {'1': 'sample_id % 4', '2': 'sample_id % 5', '3': '(sample_id % 6 - 1)'})},
+  CASE WHEN ordinal = 6 THEN [] ELSE [{_PAIR("'preset.connect_near_mm'", 'ordinal * 0.5')}, {_PAIR("'preset.graph_tsp_planner'", '(ordinal % 2 = 0)::INTEGER')}, {_PAIR("'preset.row_step_px'", 'ordinal')}] END) AS base FROM ranked_candidates""", "ranked_candidates")
+cte("ranked_candidates", """
+SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY (NOT round_trip_parse_success)::INTEGER, visible_connector_count, off_mask_stitch_length_mm, jump_count, trim_count, unified_loss, ordinal) - 1 AS hard_rank,
+  row_number() OVER (PARTITION BY sample_id ORDER BY unified_loss, ordinal) - 1 AS mean_rank FROM candidates""", "candidates")
+_AT = lambda k: f"coalesce(list_filter(base, lambda e: e.k = '{k}')[1].v, 0.0)"
+_POST = f"""list_concat([{_PAIR("'post.dst.stitches'", 'q')}, {_PAIR("'post.dst.jumps'", 'jump_count')}, {_PAIR("'post.graph.edges'", 'q % 17')}], {_SHARE('post.type_component', {'a': 'q % 3', 'b': 'q % 2'})})"""
+cte("selector_features", f"""
+SELECT *, list_concat(base, flatten([[{{'k': 'interaction.' || replace(s.k, '.', '_') || '__x__' || replace(p.k, '.', '_'), 'v': s.v * p.v}} FOR p IN list_filter(base, lambda e: list_contains({_LIST(teachers.PRESET_FACTORS)}, e.k))]
+    FOR s IN list_filter(base, lambda e: list_contains({_LIST(teachers.SAMPLE_FACTORS)}, e.k))]),
+  [{_PAIR("'derived.coverage_density'", _AT('pre.selected_foreground_ratio') + ' * ' + _AT('pred.density_mean'))}, {_PAIR("'derived.mask_density'", _AT('pred.mask_mean') + ' * ' + _AT('pred.density_mean'))},
+   {_PAIR("'derived.running_to_satin_ratio'", _AT('pred.stitch_type.1_ratio') + ' / greatest(1e-6, ' + _AT('pred.stitch_type.2_ratio') + ')')}, {_PAIR("'derived.fill_or_satin_ratio'", _AT('pred.stitch_type.3_ratio') + ' + ' + _AT('pred.stitch_type.2_ratio'))}],
+  CASE WHEN post THEN {_POST} ELSE [] END) AS f FROM selector_base, (SELECT unnest([false, true]) AS post)""", "selector_base")
+
+
+@query("selector_dataset", """
+SELECT sample_id, candidate, post, hard_rank, mean_rank, hard_rank = 0 AS is_best_hard, mean_rank = 0 AS is_best_mean, len(f) AS n_features, md5(array_to_string(list_sort([e.k FOR e IN f]), ',')) AS names,
+  round_even(list_sum([CASE WHEN e.k = 'derived.running_to_satin_ratio' THEN 0.0 ELSE e.v END FOR e IN f]), 6) AS total FROM selector_features""", "selector_features")
+def selector_dataset(spark, sf):
+    """The dataset without and with what is known only after export."""
+    s, q, o = F.col("sample_id"), F.col("q"), F.col("ordinal")
+    c = candidates(spark, sf).withColumnRenamed("candidate", "method")
+    pairs = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v.cast("double"))])
+    samples = c.select("sample_id").distinct().select(
+        "sample_id", F.when(s % 10 != 0, 100.0 + s % 50).alias("source_width"), (80.0 + s % 30).alias("source_height"), F.when(s % 3 != 0, F.concat(F.lit("mask"), (s % 2).cast("string"))).alias("selected_source"),
+        pairs(size=s % 7, selected_foreground_ratio=s % 90 / 90, region_foreground_ratio=s % 80 / 80, ignored=s).alias("pre"), pairs(mask_mean=s % 11 / 11, density_mean=s % 13 / 13).alias("pred"),
+        pairs(**{"1": s % 4, "2": s % 5, "3": s % 6 - 1}).alias("stitch_type_counts"))
+    presets = c.filter("ordinal <> 6").select("method", "ordinal").distinct().select("method", pairs(**{"--connect-near-mm": o * 0.5, "--graph-tsp-planner": (o % 2 == 0).cast("int"), "--row-step-px": o}).alias("args"))
+    exports = c.select("sample_id", "method", pairs(stitches=q, jumps=F.col("jump_count"), other=q).alias("dst"), pairs(a=q % 3, b=q % 2).alias("type_component_counts"), pairs(edges=q % 17).alias("graph"))
+    total = F.aggregate(F.map_values(F.map_filter("features", lambda k, v: k != "derived.running_to_satin_ratio")), F.lit(0.0), lambda acc, v: acc + v)
+    flat = lambda d, post: d.select("sample_id", F.col("method").alias("candidate"), F.lit(post).alias("post"), "hard_rank", "mean_rank", "is_best_hard", "is_best_mean", F.size("features").cast("long").alias("n_features"),
+                                    F.md5(F.array_join(F.array_sort(F.map_keys("features")), ",")).alias("names"), half_even(total, 6).alias("total"))
+    return flat(teachers.selector_dataset(c, samples, presets), False).unionByName(flat(teachers.selector_dataset(c, samples, presets, exports), True))
+
+
 # ---- routes ----
 cte("route_nodes", """
 SELECT design_id AS task_id, seq // 6 AS node_id, arg_min(x_mm, seq) AS start_x, arg_min(y_mm, seq) AS start_y, arg_max(x_mm, seq) AS end_x, arg_max(y_mm, seq) AS end_y,
