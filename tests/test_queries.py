@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = ("execution_report", "path_events", "stitch_texture_metrics", "promote_preview_sweep", "gate_guarded_no_regression", "line_guard_chain",
         "benefit_gate", "selectable_pool", "risk_summary", "pareto_front", "robust_policies", "event_maps", "coverage_metrics", "connector_stats",
         "ridge_leave_one_sample_out", "teacher_union_summary", "canonical_split", "nearest_items", "page_records", "summarize_by_each", "edge_decisions", "component_graph", "selector_dataset",
-        "listwise_fit", "full_execution_report", "path_events_with_closures", "line_skeleton_rows", "candidate_tags")
+        "listwise_fit", "path_events_with_closures")
 NAMES = [n for n in plans.RUN if n in plans.SQL] if os.environ.get("ALL_QUERIES") else SOME
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 
