@@ -60,15 +60,22 @@ def _encoder(vocabulary: str, ranks: str | None) -> _Encoder:
     return _Encoder(vocabulary, ranks)
 
 
-def _pieces(vocabulary: str, ranks: str | None, size: int, with_ids: bool):
+def _cuts(n: int, size: int, short_first: bool) -> list[tuple[int, int]]:
+    """Start and end of the pieces of `n` ids: all of `size` but the last, or with `short_first` all but the first."""
+    first = (n - 1) % size + 1 if short_first else min(n, size)
+    ends = list(range(first, n, size)) + [n]
+    return list(zip([0, *ends], ends))
+
+
+def _pieces(vocabulary: str, ranks: str | None, size: int, with_ids: bool, short_first: bool):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(vocabulary, ranks)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 ids = encoder.ids(text)
-                for k, start in enumerate(range(0, len(ids), size)):
-                    part = ids[start:start + size]
+                for k, (start, end) in enumerate(_cuts(len(ids), size, short_first)):
+                    part = ids[start:end]
                     row = (doc, k, start, len(part), zlib.crc32(part))
                     rows.append((*row, part.astype("int32")) if with_ids else row)
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:5 + with_ids])
@@ -76,14 +83,14 @@ def _pieces(vocabulary: str, ranks: str | None, size: int, with_ids: bool):
     return cut
 
 
-def pieces(df: DataFrame, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pieces(df: DataFrame, size: int = SIZE, tokenizer: str | None = None, with_ids: bool = True, short_first: bool = False) -> DataFrame:
     """doc_id (NO_ID for null), piece, start, length, ids_crc32 and (with_ids) the ids of each piece of each row of `df`.
 
-    tokenizer: the file of another vocabulary."""
+    tokenizer: the file of another vocabulary. short_first: a cut document's first piece takes what is over, not its last."""
     files = (tokenizer, None) if tokenizer else (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     docs = df.select(doc_key().alias("doc_id"), "text")
-    return docs.mapInPandas(_pieces(*files, size, with_ids), kinds)
+    return docs.mapInPandas(_pieces(*files, size, with_ids, short_first), kinds)
 
 
 def fill(lengths: list[int], room: int, counts: dict[int, int]) -> list[int]:
@@ -148,13 +155,13 @@ def _packed(size: int):
     return pack
 
 
-def pack(df: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
+def pack(df: DataFrame, size: int = SIZE, tokenizer: str | None = None, short_first: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each row of `df` (doc_id, text; other columns are not read).
 
     A null or empty text is one piece, the end id alone. Rows that repeat, or have no doc_id, are packed each for itself. Only documents of more than
-    `size` ids are cut. An empty table gives no rows."""
+    `size` ids are cut, as `pieces` says. An empty table gives no rows."""
     scratch = Scratch(df.sparkSession)
-    made = scratch.keep(pieces(df, size, tokenizer, with_ids=False), "pieces")
+    made = scratch.keep(pieces(df, size, tokenizer, with_ids=False, short_first=short_first), "pieces")
     parts = max(1, -(-made.filter(F.col("length") < size).count() // GROUP_PIECES))
     # Full pieces are sequences of their own; they need no company.
     dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
@@ -166,9 +173,9 @@ def pack(df: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataF
     return packed.withColumn("doc_id", doc_id("doc_id"))
 
 
-def sequences(df: DataFrame, size: int = SIZE, tokenizer: str | None = None) -> DataFrame:
+def sequences(df: DataFrame, size: int = SIZE, tokenizer: str | None = None, short_first: bool = False) -> DataFrame:
     """sequence_id, ids, doc_ids: the packed sequences themselves, at most `size` ids each."""
-    made, place = pieces(df, size, tokenizer), pack(df, size, tokenizer)
+    made, place = pieces(df, size, tokenizer, short_first=short_first), pack(df, size, tokenizer, short_first)
     both = made.withColumnRenamed("doc_id", "d").join(place.select(doc_key_of(F.col("doc_id")).alias("d2"), "piece", "ids_crc32", "length", "sequence_id", "offset"),
                                                       (F.col("d") == F.col("d2")) & (made["piece"] == place["piece"]) & (made["ids_crc32"] == place["ids_crc32"]))
     packed = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "d", "ids"))).alias("p"))

@@ -308,6 +308,22 @@ def test_packing(docs):
     assert len(bins) <= -(-sum(r["length"] for r in got) // 2048) + 2
 
 
+def test_packing_query_cuts_a_short_first_piece(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {1: "one two", 2: None, 3: "a " * 5000, 4: "a " * 2047, 5: "a " * 2048, 6: " a" * 4095}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in texts.items():
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        start = 0
+        for k in range(-(-len(ids) // 2048)):
+            end = len(ids) - 2048 * (-(-len(ids) // 2048) - 1 - k)
+            want.add((i, k, start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes())))
+            start = end
+    got = RUN["op6_minimum_bin_slack"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got} == want
+
+
 def test_token_ids_of_odd_texts():
     files = [packing.public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
     tokenizer, encoder = Tokenizer.from_file(files[0]), packing._Encoder(*files)
