@@ -28,6 +28,62 @@ def _offsets(points: Sequence[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in points])
 
 
+WORD = 64
+
+
+def pixel_words(pixels: DataFrame, keys: Sequence[str] = ("design_id",)) -> DataFrame:
+    """Pixels as bits: one row per key, canvas row and word of 64 columns; pixel x is bit x % 64 of word x / 64. Pixels may repeat."""
+    bit = F.expr(f"shiftleft(1L, int(pmod(x, {WORD})))")
+    return pixels.groupBy(*keys, "y", F.floor(F.col("x") / WORD).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def word_pixels(words: DataFrame, keys: Sequence[str] = ("design_id",)) -> DataFrame:
+    """One row per set bit of :func:`pixel_words`."""
+    on = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("bits", b) == 1)
+    return words.filter("bits <> 0").select(*keys, "y", "word", F.explode(on).alias("b")).select(*keys, "y", (F.col("word") * WORD + F.col("b")).alias("x"))
+
+
+def shifted(bits: Column, dx: int) -> dict[int, Column]:
+    """The words that pixels of one word reach when moved by dx columns, by their distance from it."""
+    q, s = divmod(dx, WORD)
+    return {q: F.shiftleft(bits, s), q + 1: F.shiftrightunsigned(bits, WORD - s)} if s else {q: bits}
+
+
+def moved_words(words: DataFrame, offsets: Sequence[tuple[int, int]], size: int) -> DataFrame:
+    """design_id, y, word, near, own: the canvas words that pixels and their offsets reach, with the pixels reached and the word's own ones. Words repeat."""
+    reach: dict[tuple[int, int], Column] = {}
+    for dy, dx in offsets:
+        for dw, bits in shifted(F.col("bits"), dx).items():
+            reach[dy, dw] = reach[dy, dw].bitwiseOR(bits) if (dy, dw) in reach else bits
+    none, last = F.lit(0).cast("long"), (size - 1) // WORD
+    own = lambda at: F.col("bits") if at == (0, 0) else none
+    cells = F.array(*[F.struct(F.lit(at[0]).alias("dy"), F.lit(at[1]).alias("dw"), bits.alias("near"), own(at).alias("own")) for at, bits in reach.items()])
+    moved = words.select("design_id", "y", "word", F.explode(cells).alias("v")).select(
+        "design_id", (F.col("y") + F.col("v.dy")).alias("y"), (F.col("word") + F.col("v.dw")).alias("word"), "v.near", "v.own")
+    moved = moved.filter(F.col("y").between(0, size - 1) & F.col("word").between(0, last))
+    if size % WORD:
+        clip = lambda c: F.when(F.col("word") == last, F.col(c).bitwiseAND(F.lit((1 << size % WORD) - 1).cast("long"))).otherwise(F.col(c))
+        moved = moved.withColumns({"near": clip("near"), "own": clip("own")})
+    return moved.filter("near <> 0 OR own <> 0")
+
+
+def canvas_bits(pixels: DataFrame, size: int) -> DataFrame:
+    """One row per design with its canvas in `_canvas`, an array of words that the canvas bounds: pixel (y, x) is bit i % 64 of word i / 64, i = y * size + x."""
+    on = F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)
+    spots = pixels.filter(on).select("design_id", (F.col("y") * size + F.col("x")).alias("_i"))
+    words = spots.groupBy("design_id", F.shiftright("_i", 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, _i % {WORD})")).alias("bits"))
+    canvas = words.groupBy("design_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("_m"))
+    at = lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0).cast("long"))
+    return canvas.select("design_id", F.transform(F.sequence(F.lit(0), F.lit((size * size - 1) // WORD)), at).alias("_canvas"))
+
+
+def on_canvas(canvas: str, y: Column, x: Column, size: int) -> Column:
+    """Whether pixel (y, x) is set in an array of :func:`canvas_bits`; false off the canvas and without an array."""
+    i = y * size + x
+    on = (y >= 0) & (y < size) & (x >= 0) & (x < size)
+    return F.coalesce(F.when(on, F.getbit(F.get(F.col(canvas), F.shiftright(i, 6)), i % WORD) == 1), F.lit(False))
+
+
 _BOX = ("n_segments", "min_x", "max_x", "min_y", "max_y")
 
 
@@ -119,18 +175,17 @@ def event_maps(fitted: DataFrame, labels: dict[str, Column], closures: DataFrame
 
 
 def off_mask_stitches(moves: DataFrame, mask: DataFrame, size: int = 64, target_width_mm: float = 25.6, step_mm: float = 1.0) -> DataFrame:
-    """Share of sample points of each stitch outside the mask (outside the canvas counts as outside)."""
+    """Share of sample points of each stitch outside the mask (outside the canvas counts as outside).
+
+    A stitch meets its design's canvas as bits, not a row per pixel."""
     scale = target_width_mm / max(1, size)
     stitches = moves.filter((F.col("command") == "STITCH") & F.col("has_prev")).select("design_id", "seq", "distance_mm", "prev_x", "prev_y", "x_mm", "y_mm")
     steps = F.greatest(F.lit(1), F.ceil(F.col("distance_mm") / max(0.1, step_mm)).cast("int"))
-    t = F.col("_i") / F.col("_n")
-    at = lambda a, b: F.rint((F.col(a) + (F.col(b) - F.col(a)) * t) / scale + size / 2.0).cast("int")
-    samples = stitches.filter("distance_mm > 1e-6").withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n")))).select(
-        "design_id", "seq", "distance_mm", at("prev_y", "y_mm").alias("y"), at("prev_x", "x_mm").alias("x"))
-    marked = mask.select(*PX, F.lit(True).alias("_in"))
-    share = samples.join(marked, PX, "left").groupBy("design_id", "seq").agg(
-        F.first("distance_mm").alias("distance_mm"), F.avg(F.col("_in").isNull().cast("double")).alias("off_fraction"))
-    return share
+    at = lambda a, b, i: F.rint((F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("_n"))) / scale + size / 2.0).cast("int")
+    placed = stitches.filter("distance_mm > 1e-6").withColumn("_n", steps).join(canvas_bits(mask, size).hint("merge"), "design_id", "left")
+    points = F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.struct(at("prev_y", "y_mm", i).alias("y"), at("prev_x", "x_mm", i).alias("x")))
+    off = F.size(F.filter(points, lambda p: ~on_canvas("_canvas", p["y"], p["x"], size)))
+    return placed.select("design_id", "seq", "distance_mm", (off / (F.col("_n") + 1)).alias("off_fraction"))
 
 
 def visible_connectors(off: DataFrame, min_mm: float = 1.5, ratio: float = 0.65) -> DataFrame:
@@ -145,24 +200,22 @@ def visible_connectors(off: DataFrame, min_mm: float = 1.5, ratio: float = 0.65)
 
 def dilate(pixels: DataFrame, radius: int, size: int) -> DataFrame:
     """Disc dilation of a pixel set inside the canvas."""
-    moved = pixels.select(*PX).withColumn("_d", F.explode(_offsets(disc(radius)))).select(
-        "design_id", (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x"))
-    return moved.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1)).distinct()
+    near = moved_words(pixel_words(pixels), disc(radius), size).groupBy("design_id", "y", "word").agg(F.bit_or("near").alias("bits"))
+    return word_pixels(near)
 
 
 def coverage_metrics(stitch: DataFrame, target: DataFrame, size: int, adaptive_radius: int = 1) -> DataFrame:
-    """Coverage and precision of drawn stitches against a target mask and its dilation, in one grouping of pixels."""
-    near = target.select(*PX).withColumn("_d", F.explode(_offsets(disc(adaptive_radius)))).select(
-        "design_id", (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x"),
-        F.lit(0).alias("s"), ((F.col("_d.dy") == 0) & (F.col("_d.dx") == 0)).cast("int").alias("t"), F.lit(1).alias("a"))
-    near = near.filter(F.col("y").between(0, size - 1) & F.col("x").between(0, size - 1))
-    drawn = stitch.select(*PX, F.lit(1).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("a"))
-    px = near.unionByName(drawn).groupBy(*PX).agg(*[F.max(c).alias(c) for c in "sta"])
-    n = lambda c: F.count_if(c)
-    s, t, a = (F.col(c) == 1 for c in "sta")
+    """Coverage and precision of drawn stitches against a target mask and its dilation, in one grouping of words of pixels (which may repeat)."""
+    none = F.lit(0).cast("long")
+    near = moved_words(pixel_words(target), disc(adaptive_radius), size).select("design_id", "y", "word", none.alias("s"), F.col("own").alias("t"), F.col("near").alias("a"))
+    drawn = pixel_words(stitch).select("design_id", "y", "word", F.col("bits").alias("s"), none.alias("t"), none.alias("a"))
+    px = near.unionByName(drawn).groupBy("design_id", "y", "word").agg(*[F.bit_or(c).alias(c) for c in "sta"])
+    n = lambda c: F.sum(F.bit_count(c))
+    s, t, a = (F.col(c) for c in "sta")
     g = px.groupBy("design_id").agg(
-        n(t).alias("target_pixels"), n(a).alias("adaptive_target_pixels"), n(s).alias("stitch_pixels"), n(s & t).alias("overlap_pixels"),
-        n(s & ~t).alias("off_target_pixels"), n(s & a).alias("adaptive_overlap_pixels"), n(s & ~a).alias("adaptive_off_target_pixels"))
+        n(t).alias("target_pixels"), n(a).alias("adaptive_target_pixels"), n(s).alias("stitch_pixels"), n(s.bitwiseAND(t)).alias("overlap_pixels"),
+        n(s.bitwiseAND(F.bitwise_not(t))).alias("off_target_pixels"), n(s.bitwiseAND(a)).alias("adaptive_overlap_pixels"),
+        n(s.bitwiseAND(F.bitwise_not(a))).alias("adaptive_off_target_pixels"))
     ratio = lambda p, q: half_even(F.col(p) / F.greatest(F.lit(1), F.col(q)), 6)
     return g.withColumns({
         "coverage_ratio": ratio("overlap_pixels", "target_pixels"), "stitch_precision_ratio": ratio("overlap_pixels", "stitch_pixels"),
@@ -184,13 +237,23 @@ NEIGHBOURS_8 = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) !
 
 
 def boundary_pixels(pixels: DataFrame, connectivity: int = 4, keys: Sequence[str] = ("design_id",)) -> DataFrame:
-    """Foreground pixels with a neighbour missing: every pixel votes for its neighbours, one shuffle."""
+    """Foreground pixels with a neighbour missing: every word of pixels votes for the words around it, one shuffle."""
     around = NEIGHBOURS_4 if connectivity == 4 else NEIGHBOURS_8
-    votes = pixels.select(*keys, "y", "x").withColumn("_d", F.explode(_offsets([(0, 0), *around]))).select(
-        *keys, (F.col("y") + F.col("_d.dy")).alias("y"), (F.col("x") + F.col("_d.dx")).alias("x"),
-        ((F.col("_d.dy") == 0) & (F.col("_d.dx") == 0)).alias("own"))
-    return votes.groupBy(*keys, "y", "x").agg(F.max("own").alias("own"), F.count_if(~F.col("own")).alias("n")).filter(
-        F.col("own") & (F.col("n") < len(around))).select(*keys, "y", "x")
+    words = pixel_words(pixels, keys)
+    none = F.lit(0).cast("long")
+    votes = {(0, 0): {"own": F.col("bits")}}
+    for i, (dy, dx) in enumerate(around):
+        for dw, bits in shifted(F.col("bits"), dx).items():
+            votes.setdefault((dy, dw), {})[f"n{i}"] = bits
+    names = ["own", *(f"n{i}" for i in range(len(around)))]
+    cells = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dw).alias("dw"), *[v.get(n, none).alias(n) for n in names]) for (dy, dw), v in votes.items()])
+    cells = words.select(*keys, "y", "word", F.explode(cells).alias("v")).filter(" OR ".join(f"v.{n} <> 0" for n in names))
+    met = cells.groupBy(*keys, (F.col("y") + F.col("v.dy")).alias("y"), (F.col("word") + F.col("v.dw")).alias("word")).agg(
+        *[F.bit_or(f"v.{n}").alias(n) for n in names])
+    inner = F.col("own")
+    for n in names[1:]:
+        inner = inner.bitwiseAND(F.col(n))
+    return word_pixels(met.withColumn("bits", F.col("own").bitwiseAND(F.bitwise_not(inner))), keys)
 
 
 def row_runs(pixels: DataFrame, min_run: int = 1, keys: Sequence[str] = ("design_id",)) -> DataFrame:
@@ -228,20 +291,18 @@ def split_polylines_by_mask(points: DataFrame, mask: DataFrame, size: int, step_
 
     ``points``: design_id, seq (dense), px, py.  An outside point is dropped; a bad link starts a new run.
     """
-    marked = mask.select(*PX, F.lit(True).alias("_in"))
-    at = points.withColumns({"y": F.rint("py").cast("int"), "x": F.rint("px").cast("int")})
-    flagged = at.join(marked, PX, "left").withColumn("inside", F.col("_in").isNotNull()).drop("_in", "y", "x")
-    linked = previous_values(flagged, ["design_id"], "seq", {"_px": "px", "_py": "py", "_pin": "inside"})
-    both = linked.filter("inside AND coalesce(_pin, false)")
+    linked = previous_values(points, ["design_id"], "seq", {"_px": "px", "_py": "py"}).join(canvas_bits(mask, size).hint("merge"), "design_id", "left")
+    inside = lambda px, py: on_canvas("_canvas", F.rint(py).cast("int"), F.rint(px).cast("int"), size)
+    flagged = linked.withColumns({"inside": inside("px", "py"), "_pin": inside("_px", "_py")})
     length = F.sqrt((F.col("px") - F.col("_px")) ** 2 + (F.col("py") - F.col("_py")) ** 2)
     steps = F.greatest(F.lit(1), F.ceil(length / max(0.25, step_px)).cast("int"))
-    t = F.col("_i") / F.col("_n")
-    samples = both.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n")))).select(
-        "design_id", "seq", F.rint(F.col("_py") + (F.col("py") - F.col("_py")) * t).cast("int").alias("y"),
-        F.rint(F.col("_px") + (F.col("px") - F.col("_px")) * t).cast("int").alias("x"))
-    share = samples.join(marked, PX, "left").groupBy("design_id", "seq").agg(F.avg(F.col("_in").isNotNull().cast("double")).alias("share"))
-    joined = linked.join(share, ["design_id", "seq"], "left")
-    starts = F.col("inside") & (~F.coalesce("_pin", F.lit(False)) | (F.col("share") < min_inside))
+    at = lambda a, b, i: F.rint(F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("_n"))).cast("int")
+    samples = F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.struct(at("_py", "py", i).alias("y"), at("_px", "px", i).alias("x")))
+    met = F.size(F.filter(samples, lambda p: on_canvas("_canvas", p["y"], p["x"], size)))
+    both = F.col("inside") & F.col("_pin")
+    joined = flagged.withColumn("_n", F.when(both, steps)).withColumn("share", F.when(both, met / (F.col("_n") + 1)))
+    joined = joined.select("design_id", "seq", "inside", "_pin", "share")
+    starts = F.col("inside") & (~F.col("_pin") | (F.col("share") < min_inside))
     numbered = running_totals(joined, ["design_id"], "seq", {"run_id": F.coalesce(starts, F.lit(False)).cast("long")}).filter("inside")
     sizes = numbered.groupBy("design_id", "run_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
     return sizes.filter(F.col("n") >= min_points).select("design_id", "first_seq", "last_seq", F.col("n").alias("point_count"))

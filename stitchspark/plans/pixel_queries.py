@@ -197,13 +197,13 @@ FROM (SELECT design_id, count_if(t) AS target_pixels, count_if(a) AS adaptive_ta
 
 @query("coverage_metrics", "SELECT * FROM coverage", "coverage")
 def coverage_metrics(spark, sf):
-    return px.coverage_metrics(hits(spark, sf, 3).select(*px.PX).distinct(), masks(spark, sf), GRID, 1)
+    return px.coverage_metrics(hits(spark, sf, 3), masks(spark, sf), GRID, 1)
 
 
 @query("skeleton_coverage", """
 SELECT design_id, target_pixels AS skeleton_pixels, coverage_ratio AS skeleton_coverage_ratio, adaptive_coverage_ratio AS adaptive_skeleton_coverage_ratio, coverage_ratio < 0.95 AS low_skeleton_coverage FROM coverage""", "coverage")
 def skeleton_coverage(spark, sf):
-    return px.skeleton_coverage(hits(spark, sf, 3).select(*px.PX).distinct(), masks(spark, sf), GRID, 1)
+    return px.skeleton_coverage(hits(spark, sf, 3), masks(spark, sf), GRID, 1)
 
 
 def _boundary_sql(near: str, n: int) -> str:

@@ -129,3 +129,40 @@ def test_oriented_box_of_a_diagonal(spark):
 def test_order_pair_accuracy_of_a_perfect_order(spark):
     df = spark.range(200).selectExpr("1L AS design_id", "CAST(id AS INT) AS y", "0 AS x", "id / 200 AS target", "id / 100 AS pred")
     assert px.order_pair_accuracy(df).first()["order_pair_accuracy"] == 1.0
+
+
+def test_words_of_a_canvas_wider_than_a_word(spark):
+    rng = np.random.default_rng(8)
+    target, stitch = rng.random((70, 70)) < 0.4, rng.random((70, 70)) < 0.5
+    near = np.zeros((72, 72), bool)
+    for dy, dx in px.disc(1):
+        near[1 + dy:71 + dy, 1 + dx:71 + dx] |= target
+    near = near[1:-1, 1:-1]
+    s, t = table(spark, [stitch]), table(spark, [target])
+    assert {(r["y"], r["x"]) for r in px.dilate(t, 1, 70).collect()} == set(zip(*np.nonzero(near)))
+    got = px.coverage_metrics(s.unionByName(s), t, 70)
+    row = got.first()
+    want = (target.sum(), near.sum(), stitch.sum(), (stitch & target).sum(), (stitch & ~target).sum(), (stitch & near).sum(), (stitch & ~near).sum())
+    assert tuple(row[c] for c in got.columns[1:8]) == want
+    assert "word" in got._jdf.queryExecution().executedPlan().toString()  # words are grouped, not pixels
+    padded = np.pad(target, 1)
+    for conn, around in ((4, px.NEIGHBOURS_4), (8, px.NEIGHBOURS_8)):
+        inner = np.all([padded[1 + dy:71 + dy, 1 + dx:71 + dx] for dy, dx in around], axis=0)
+        assert {(r["y"], r["x"]) for r in px.boundary_pixels(t, conn).collect()} == set(zip(*np.nonzero(target & ~inner)))
+
+
+def test_masks_are_not_broadcast(spark):
+    rng = np.random.default_rng(9)
+    mask = rng.random((64, 64)) < 0.5
+    moves = [(d, k, "STITCH", True, float(a), *map(float, rng.uniform(-14, 14, 4))) for d in (0, 1) for k, a in enumerate(rng.uniform(0.1, 9, 200))]
+    names = "design_id bigint, seq bigint, command string, has_prev boolean, distance_mm double, prev_x double, prev_y double, x_mm double, y_mm double"
+    got = px.off_mask_stitches(spark.createDataFrame(moves, names), table(spark, [mask]))  # design 1 has no mask
+    want = {}
+    for d, k, _, _, length, x0, y0, x1, y1 in moves:
+        n = max(1, int(np.ceil(length)))
+        spots = [(int(np.rint((y0 + (y1 - y0) * (i / n)) / 0.4 + 32)), int(np.rint((x0 + (x1 - x0) * (i / n)) / 0.4 + 32))) for i in range(n + 1)]
+        want[d, k] = sum(d == 1 or not (0 <= y < 64 and 0 <= x < 64 and mask[y, x]) for y, x in spots) / (n + 1)
+    assert {(r["design_id"], r["seq"]): r["off_fraction"] for r in got.collect()} == want
+    points = spark.createDataFrame([(0, k, float(k % 60), float(k // 60)) for k in range(600)], "design_id bigint, seq bigint, px double, py double")
+    for df in (got, px.split_polylines_by_mask(points, table(spark, [mask]), 64)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
