@@ -221,3 +221,10 @@ def test_listwise_fit_comes_to_an_end(spark):
     assert m["converged"] and m["gradient_norm"] < 1e-8 and m["steps"] < 60 and m["weights"] == pytest.approx(w, abs=1e-5)
     stopped = models.fit_listwise(spark.createDataFrame(pdf), ["p", "q"], "loss", temperature=0.3, alpha=0.05, max_steps=1)
     assert not stopped["converged"] and stopped["steps"] == 1
+
+
+@pytest.mark.parametrize("name", ["profile_rerank", "coverage_constraint", "benefit_gate", "benefit_gate_sweep", "line_guard_chain", "anchored_baseline"])
+def test_choosers_read_the_pool_once_and_keep_no_copy(spark, name):
+    from stitchspark import plans
+    plan = plans.RUN[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "rounds-" not in plan
