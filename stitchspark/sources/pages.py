@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,13 @@ def entities(c: Column) -> Column:
     return F.when(c.contains("&"), unescape(F.when(c.contains("&"), c))).otherwise(c)
 
 
+def basic_entities(c: Column) -> Column:
+    """Text with the five escapes of markup decoded, ampersands last; other entities, and those without a semicolon, stay."""
+    for escaped, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(escaped), F.lit(plain))
+    return c
+
+
 def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, TAG, " "), r"\s+", " "))
 
@@ -56,8 +64,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.withColumn("format", F.regexp_extract(F.lower("label"), r":\s*([a-z0-9+]+)\b", 1))
 
 
-def extract_page_records(pages: DataFrame) -> DataFrame:
-    """id, title, size, colors, stitches, preview image and design file links of each page."""
+def extract_page_records(pages: DataFrame, decode: Callable[[Column], Column] = entities) -> DataFrame:
+    """id, title, size, colors, stitches, preview image and design file links of each page; ``decode`` reads the entities of its title."""
     h = F.col("html")
     found = lambda pattern: F.regexp_extract(h, pattern, 1)
     text = strip_tags(h)
@@ -73,7 +81,7 @@ def extract_page_records(pages: DataFrame) -> DataFrame:
     per = links.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("link_count"), F.count_distinct("target").alias("distinct_links"), file_link("dst").alias("dst_url"), file_link("pes").alias("pes_url"))
     record = pages.select(
-        "page_id", F.substring(F.sha1("url"), 1, 12).alias("id"), "url", entities(raw).alias("title"),
+        "page_id", F.substring(F.sha1("url"), 1, 12).alias("id"), "url", decode(raw).alias("title"),
         F.trim(F.regexp_extract(text, r"(?i)Size:\s*([^C]+?)\s+Colors[;:]", 1)).alias("size_text"),
         F.regexp_extract(text, r"(?i)Colors[;:]\s*(\d+)", 1).alias("colors"), F.regexp_extract(text, r"(?i)Stitches:\s*(\d+)", 1).alias("stitches"),
         F.when(chosen == "", F.lit("")).otherwise(resolve_url("url", chosen)).alias("preview_url"))

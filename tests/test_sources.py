@@ -95,3 +95,15 @@ def test_page_record(spark):
     assert r[1]["title"].split() == ["Rose", "&", "Leaf"] and r[1]["size_text"] == "90 x 80 mm" and r[1]["colors"] == "4" and r[1]["stitches"] == "12000"
     assert r[1]["preview_url"] == "http://h.org/files/rose.jpg" and r[1]["dst_url"] == "http://h.org/dl/rose.dst" and r[1]["link_count"] == 2
     assert r[2]["title"] == "stem" and r[2]["link_count"] == 0
+
+
+def test_page_titles_as_their_sql_reads_them(spark, tmp_path):
+    import duckdb
+    from stitchspark import plans
+    titles = ["a &amp b", "&amp;lt; &lt;b&gt;", "caf&eacute; &#39;x&#39; &quot;y&quot;", "&copy 1 &#x41;", "plain"]
+    rows = [(i, f"https://x.org/{i}", f"<h1>{t}</h1><a href='/p'>p</a>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = plans.RUN["page_records"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(plans.SQL["page_records"]).fetchall())
