@@ -36,3 +36,16 @@ def test_skeleton_rows_of_a_selection(spark):
     audit = spark.createDataFrame([("x", "a", 0.5, 0.6), ("x", "a", 0.7, 0.8), ("z", "b", 0.1, 0.2)], "selection string, sample_id string, skeleton_coverage_ratio double, adaptive_skeleton_coverage_ratio double")
     got = sorted((r["sample_id"], r["candidate"], r["skeleton_coverage_ratio"] or 0.0) for r in gates.with_skeleton_rows(rows, audit, F.col("candidate")).collect())
     assert got == [("a", "x", 0.5), ("a", "x", 0.7), ("a", "y", 0.0), ("b", "x", 0.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_scans_of_decisions_and_features(spark):
+    assert scans(plans.RUN["decision_ranks"](spark, FOLDER)) == 1
+    assert scans(plans.RUN["selector_dataset"](spark, FOLDER)) == 2  # the second finds the presets
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_a_grid_multiplies_picks_and_not_rows(spark):
+    from stitchspark.plans.selection_queries import grid_choice
+    plan = grid_choice(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1 and plan.index("Generate explode") < plan.index("Aggregate(")
