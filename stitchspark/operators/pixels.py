@@ -116,16 +116,24 @@ def line_samples(df: DataFrame, x0: str, y0: str, x1: str, y1: str, steps: Colum
         {"sx": at(x0, x1), "sy": at(y0, y1)}).drop("_n", "_i")
 
 
-def rasterize_segments(fitted: DataFrame, size: int = 64, line_width: int = 1) -> DataFrame:
-    """Every pixel hit of every step and disc offset of each segment."""
+def _steps(fitted: DataFrame) -> DataFrame:
+    """Every step of each segment, as sx, sy (unrounded)."""
     dx, dy = F.col("exit_x") - F.col("entry_x"), F.col("exit_y") - F.col("entry_y")
     length = F.sqrt(dx * dx + dy * dy)
     drawn = fitted.withColumns({"length_px": length, "ux": dx / length, "uy": dy / length}).filter(F.col("length_px") >= 1e-6)
     steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy))).cast("int"))
-    hits = line_samples(drawn, "entry_x", "entry_y", "exit_x", "exit_y", steps)
-    hits = hits.withColumn("_d", F.explode(_offsets(disc(line_width // 2))))
-    clip = lambda c, d: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.rint(c).cast("int") + F.col(d)))
-    return hits.withColumns({"x": clip("sx", "_d.dx"), "y": clip("sy", "_d.dy")}).drop("_d", "sx", "sy")
+    return line_samples(drawn, "entry_x", "entry_y", "exit_x", "exit_y", steps)
+
+
+def _clipped(size: int, c: Column, d: str) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(size - 1), c + F.col(d)))
+
+
+def rasterize_segments(fitted: DataFrame, size: int = 64, line_width: int = 1) -> DataFrame:
+    """Every pixel hit of every step and disc offset of each segment."""
+    hits = _steps(fitted).withColumn("_d", F.explode(_offsets(disc(line_width // 2))))
+    at = lambda c, d: _clipped(size, F.rint(c).cast("int"), d)
+    return hits.withColumns({"x": at("sx", "_d.dx"), "y": at("sy", "_d.dy")}).drop("_d", "sx", "sy")
 
 
 def stitch_maps(hits: DataFrame) -> DataFrame:
@@ -136,12 +144,38 @@ def stitch_maps(hits: DataFrame) -> DataFrame:
     return px.join(p99, "design_id").withColumn("density", density).drop("p99")
 
 
+_DRAWN = ("color_layer", "n_segments", "kind")
+
+
+def _last_writers(hits: DataFrame) -> DataFrame:
+    """The last segment over each pixel. A number beside its segment is kept by hash; a row of them would be kept by sorting."""
+    return hits.groupBy(*PX).agg(*(F.max_by(c, "segment_id").alias(c) for c in _DRAWN), F.max("segment_id").alias("segment_id"))
+
+
+def _kind() -> Column:
+    return F.when(F.col("length_px") <= 1.8, 1).when(F.col("length_px") <= 6.0, 2).otherwise(3)
+
+
+def _written(last: DataFrame) -> DataFrame:
+    order = (F.col("segment_id") - 1) / F.greatest(F.lit(1), F.col("n_segments") - 1)
+    return last.select(*PX, "color_layer", order.alias("path_order"), F.col("kind").alias("stitch_type"), "segment_id")
+
+
 def last_writer_maps(hits: DataFrame) -> DataFrame:
     """Attributes of the last segment drawn over each pixel."""
-    order = (F.col("segment_id") - 1) / F.greatest(F.lit(1), F.col("n_segments") - 1)
-    kind = F.when(F.col("length_px") <= 1.8, 1).when(F.col("length_px") <= 6.0, 2).otherwise(3)
-    row = F.struct("color_layer", order.alias("path_order"), kind.alias("stitch_type"))
-    return hits.groupBy(*PX).agg(F.max_by(row, "segment_id").alias("r"), F.max("segment_id").alias("segment_id")).select(*PX, "r.*", "segment_id")
+    return _written(_last_writers(hits.withColumn("kind", _kind())))
+
+
+def drawn_maps(fitted: DataFrame, size: int = 64, line_width: int = 1) -> DataFrame:
+    """:func:`last_writer_maps` of :func:`rasterize_segments`: the last segment of each step's pixel is found before the disc is drawn around it."""
+    at = lambda c: F.rint(c).cast("int")
+    last = _last_writers(_steps(fitted).select("design_id", at("sy").alias("y"), at("sx").alias("x"), "segment_id", "color_layer", "n_segments", _kind().alias("kind")))
+    if line_width // 2 > 0:
+        wide = last.withColumn("_d", F.explode(_offsets(disc(line_width // 2))))
+        last = wide.withColumns({"x": _clipped(size, F.col("x"), "_d.dx"), "y": _clipped(size, F.col("y"), "_d.dy")}).drop("_d")
+    else:
+        last = last.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(c))) for c in ("x", "y")})
+    return _written(_last_writers(last))
 
 
 def event_maps(fitted: DataFrame, labels: dict[str, Column], closures: DataFrame, size: int = 64, line_width: int = 1, point_radius: int = 2) -> DataFrame:

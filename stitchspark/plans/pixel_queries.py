@@ -28,7 +28,7 @@ def hits(spark, sf, width=1):
 
 
 def typed(spark, sf):
-    return px.last_writer_maps(hits(spark, sf, 3))
+    return px.drawn_maps(fitted(spark, sf), GRID, 3)
 
 
 cte("fitted", f"""
@@ -483,8 +483,9 @@ SELECT n.design_id, n.node_id, max(u) AS u1, min(u) AS u0, max(v) AS v1, min(v)
 
 def nodes(spark, sf):
     """A node for each component, of every color; components that aren't of one color never touch."""
-    types = typed(spark, sf).select(*px.PX, "color_layer", "stitch_type")
-    shaped = labelled(spark, sf).join(types, ["design_id", "color_layer", "y", "x"]).withColumn("node_id", F.col("color_layer") * 4294967296 + F.col("component"))
+    types = {f"type_{c}": F.col("stitch_type") == c for c in (1, 2, 3)}
+    runs = comp.component_runs(typed(spark, sf), ["design_id", "color_layer"], marks=types)
+    shaped = runs.withColumn("node_id", F.col("color_layer") * 4294967296 + F.col("component"))
     return comp.component_nodes(shaped, ["design_id", "node_id"])
 
 

@@ -3,6 +3,7 @@ from collections import deque
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stitchspark.operators import components as comp
 from stitchspark.operators import pixels as px
@@ -166,3 +167,44 @@ def test_masks_are_not_broadcast(spark):
     points = spark.createDataFrame([(0, k, float(k % 60), float(k // 60)) for k in range(600)], "design_id bigint, seq bigint, px double, py double")
     for df in (got, px.split_polylines_by_mask(points, table(spark, [mask]), 64)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("conn", [4, 8])
+def test_components_across_tiles(spark, conn):
+    rng = np.random.default_rng(conn)
+    spiral = np.zeros((150, 150), bool)
+    spiral[::2] = True
+    spiral[1::4, -1] = spiral[3::4, 0] = True  # one line through all tiles
+    grids = [rng.random((140, 200)) < 0.55, spiral, np.eye(130, dtype=bool)[:, ::-1], np.eye(130, dtype=bool)]
+    got = comp.connected_components(table(spark, grids), connectivity=conn).toPandas()
+    for d, g in enumerate(grids):
+        want = flood(g, conn)
+        part = got[got["design_id"] == d]
+        assert len(part) == g.sum()
+        first = {}
+        for y, x in zip(*np.nonzero(g)):
+            first.setdefault(want[y, x], y * (1 << 20) + x)
+        assert [first[want[y, x]] for y, x in zip(part["y"], part["x"])] == part["component"].tolist()
+
+
+def test_components_of_one_tile_need_no_rounds_over_pixels(spark):
+    rng = np.random.default_rng(3)
+    t = table(spark, [rng.random((60, 60)) < 0.5 for _ in range(3)]).withColumn("stitch_type", F.expr("1 + (x * 7 + y * 5) % 3"))
+    runs = comp.component_runs(t, marks={f"type_{c}": F.col("stitch_type") == c for c in (1, 2, 3)})
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # labelled in their tiles, and no label is asked for
+    pixels = comp.connected_components(t).join(t, px.PX)
+    key = ["design_id", "component"]
+    nodes = [{(r["design_id"], r["component"]): r for r in comp.component_nodes(df, key).collect()} for df in (runs, pixels)]
+    assert nodes[0] == nodes[1] and len(nodes[0]) > 100
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_maps_of_drawn_segments(spark, width):
+    rng = np.random.default_rng(6)
+    rows = [(d, i + 1, int(rng.integers(1, 4)), 40, *map(float, rng.uniform(-3, 67, 4))) for d in (1, 2) for i in range(40)]
+    fitted = spark.createDataFrame(rows, "design_id bigint, segment_id bigint, color_layer bigint, n_segments bigint, entry_x double, entry_y double, exit_x double, exit_y double")
+    want = px.last_writer_maps(px.rasterize_segments(fitted, 64, width))
+    got = px.drawn_maps(fitted, 64, width)
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect())
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
