@@ -49,3 +49,22 @@ def test_a_grid_multiplies_picks_and_not_rows(spark):
     from stitchspark.plans.selection_queries import grid_choice
     plan = grid_choice(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet [l_") == 1 and plan.index("Generate explode") < plan.index("Aggregate(")
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_four_teachers_over_one_reading(spark):
+    from stitchspark.operators import teachers
+    from stitchspark.plans import learning_queries as lq
+    got = plans.RUN["teacher_union_summary"](spark, FOLDER)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1 and plan.count("FileScan parquet [o_") == 1
+    cols = ["seed_source", *lq._TCOLS, "unified_loss"]
+    apart = teachers.union_teachers(*[f(spark, FOLDER).select(*cols) for f in (lq.selector_rows, lq.texture_rows, lq.preview_rows, lq.probe_rows)])
+    want = lq.tidy(teachers.teacher_summary(apart, ["seed_source", "teacher_family"], ["unified_loss"]))
+    assert got.schema.names == want.schema.names and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_samples_without_an_order_are_marked(spark):
+    df = spark.createDataFrame([("a", 1, "y", 3.0), ("b", None, "z", 1.0)], "sample_id string, ordinal int, candidate string, jump_count double")
+    assert [r["candidate"] for r in gates.beside_first(df, ["jump_count"]).collect()] == ["y"]
+    assert {(r["candidate"], r["lone"]) for r in gates.beside_first(df, ["jump_count"], lone="lone").collect()} == {("y", False), ("z", True)}
