@@ -2,7 +2,8 @@
 
 Sets that are equal are one node. In each bucket of a band every node is first held against the bucket's smallest node, so a bucket of any size gives
 no more candidates than it has nodes. Where that leaves a bucket in several components, the nodes outside its largest component are held against all
-of its nodes, block against block inside tasks; only links between components leave a task. So every pair that shares a bucket is decided or
+of its nodes, block against block inside tasks: by signature first, then, with the texts of the nodes that are alike, by full sets; only links between
+components leave a task. So every pair that shares a bucket is decided or
 already connected, and none is listed for the mere sharing.
 """
 
@@ -88,6 +89,23 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(linked, bool), ["u", "v"]]
 
 
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Two blocks of nodes of one bucket to the nodes whose texts :func:`_compare` may ask for: at most all of them, whatever the number of pairs."""
+    columns = ("bucket", "band", "nodes", "comps", "sigs", "nodes2", "comps2", "sigs2")
+    for batch in batches:
+        out = set()
+        for bucket, band, nodes, comps, sigs, nodes2, comps2, sigs2 in zip(*(batch[c] for c in columns)):
+            a, b, other = np.stack(list(sigs)), np.stack(list(sigs2)), np.asarray(comps2)
+            for i in range(len(a)):
+                same = b == a[i]
+                hits = np.flatnonzero((same.mean(1) >= LEAST) & (other != comps[i]))
+                hits = hits[same[hits].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+                if len(hits):
+                    out.add((bucket, nodes[i]))
+                    out.update((bucket, nodes2[j]) for j in hits.tolist())
+        yield pd.DataFrame(sorted(out), columns=["bucket", "node"], dtype="int64")
+
+
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Two blocks of nodes of one bucket to links between components: signatures first, then the full sets, each pair in its first shared bucket only.
 
@@ -166,15 +184,17 @@ def _grouped(df: DataFrame) -> DataFrame:
     leaders = scratch.keep(leaders, "leaders")
     shared = scratch.keep(bands.join(leaders, "bucket"), "shared")
 
+    # What is asked of a node again and again is read from the nodes that share a bucket, not from all.
+    involved = shared.select("node").distinct()
+    heads = scratch.keep(sets.join(involved, "node", "left_semi").select("node", "key", "text_hash", "sig"), "heads")
+    sig = lambda c: heads.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+
     # Every node against the leaders of its buckets.
     pairs = scratch.keep(shared.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs-1")
-    sig = lambda c: sets.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     agree = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     pairs = scratch.keep(pairs.join(sig("v"), "v").join(sig("u"), "u").filter(agree >= int(np.ceil(LEAST * BANDS * ROWS))).select("u", "v"), "pairs-2")
     scratch.drop("pairs-1")
-    involved = shared.select("node").distinct()
-    heads = scratch.keep(sets.join(involved, "node", "left_semi").select("node", "key", "text_hash"), "heads")
-    texts = scratch.keep(docs.join(heads, ["key", "text_hash"]).select("node", "text"), "texts")
+    texts = scratch.keep(docs.join(heads.drop("sig"), ["key", "text_hash"]).select("node", "text"), "texts")
     if not texts.groupBy("node").count().filter("count > 1").isEmpty():  # rows that repeat id and text
         texts = scratch.keep(texts.groupBy("node").agg(F.first("text").alias("text")), "texts-once")
     links = scratch.keep(_verified(pairs, texts), "links-1")
@@ -187,20 +207,26 @@ def _grouped(df: DataFrame) -> DataFrame:
     sizes = part.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     broken = (sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
               .filter("m > most").select("bucket", "main", F.ceil(F.col("m") / BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("most")) / BLOCK).alias("blocks2")))
-    known = sets.select("node", "sig").join(texts, "node")
-    rows = scratch.keep(part.join(broken, "bucket").join(known, "node"), "open")
-    heavy = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("heavy"))
-    rows = rows.join(heavy, "bucket").withColumns({c: F.greatest(c, "heavy") for c in ("blocks", "blocks2")})
+    rows = scratch.keep(part.join(broken, "bucket"), "open")
 
-    def gathered(rows, n, suffix):
+    def gathered(rows, n, suffix, *kinds):
+        # One bucket's blocks meet anyhow: dealt by the bucket, they are moved once.
         at = F.pmod(F.xxhash64("node", F.lit(suffix)), F.col(n)).alias(f"at{suffix}")
-        kinds = (("node", "nodes"), ("comp", "comps"), ("sig", "sigs"), ("text", "texts"))
-        return rows.groupBy("bucket", at).agg(F.first("band").alias(f"band{suffix}"), *(F.collect_list(c).alias(f"{out}{suffix}") for c, out in kinds))
+        return rows.repartition("bucket").groupBy("bucket", at).agg(F.first("band").alias(f"band{suffix}"), *(F.collect_list(c).alias(f"{out}{suffix}") for c, out in kinds))
 
-    left, right = gathered(rows, "blocks", ""), gathered(rows.filter("comp <> main"), "blocks2", "2")
-    more = left.join(right, "bucket").mapInPandas(_compare, "u long, v long").distinct()
+    def against(rows, *kinds):
+        return gathered(rows, "blocks", "", *kinds).join(gathered(rows.filter("comp <> main"), "blocks2", "2", *kinds), "bucket")
+
+    # Signatures first, without a text; texts go only to the buckets where a pair of alike nodes asks for them.
+    kinds = (("node", "nodes"), ("comp", "comps"), ("sig", "sigs"))
+    signed = rows.join(heads.select("node", "sig"), "node")
+    asked = scratch.keep(against(signed, *kinds).mapInPandas(_alike, "bucket long, node long").distinct(), "asked")
+    rows = scratch.keep(rows.join(asked, ["bucket", "node"], "left_semi").join(heads.select("node", "sig"), "node").join(texts, "node"), "open-texts")
+    heavy = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("text")) / BLOCK_CHARS).alias("heavy"))
+    rows = rows.join(heavy, "bucket").withColumns({c: F.greatest(c, "heavy") for c in ("blocks", "blocks2")})
+    more = against(rows, *kinds, ("text", "texts")).mapInPandas(_compare, "u long, v long").distinct()
     links = scratch.keep(links.unionByName(more), "links")
-    for name in ("open", "part", "shared", "bands", "leaders", "texts", "texts-once", "heads"):
+    for name in ("open", "asked", "open-texts", "part", "shared", "bands", "leaders", "texts", "texts-once", "heads"):
         scratch.drop(name)
 
     # Copies of a set follow their node; the least id of a group stands for it, and of its texts one.

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -440,3 +441,17 @@ def test_pipeline(spark, docs):
 
 def test_queries():
     assert sum(bool(re.match(r"op\d+_", k)) for k in RUN) == 13 and "pipeline" in RUN and set(SQL) <= set(RUN)
+
+
+def test_texts_are_asked_for_by_signature():
+    """Of a bucket's blocks only nodes of pairs that are alike, in several components and first together in this band ask for their texts."""
+    sig = np.arange(near_dups.BANDS * near_dups.ROWS, dtype=np.int32)
+    near, far, late = sig.copy(), sig + 10_000, sig.copy()
+    near[-60:] += 1
+    late[0] += 1  # shares no first band, but the second
+    block = {"nodes": [1, 2, 3, 4, 5], "comps": [1, 2, 3, 1, 5], "sigs": [sig, near, far, sig, late]}
+    row = {"bucket": 7, "band": 0} | block | {f"{k}2": v for k, v in block.items()}
+    got = pd.concat(near_dups._alike(iter([pd.DataFrame([row])])))
+    assert sorted(got.itertuples(index=False, name=None)) == [(7, 1), (7, 2), (7, 4)]
+    later = pd.concat(near_dups._alike(iter([pd.DataFrame([row | {"band": 1}])])))
+    assert sorted(later["node"]) == [1, 2, 4, 5]
