@@ -207,6 +207,8 @@ def component_graph(nodes: DataFrame, k: int = 4, same_color: float = 0.65, per_
     bound its k-th cost, so only cells within that cost can hold a cheaper one. Rings are widened only where they hold too few."""
     low, high = min(1.0, same_color), max(1.0, same_color)
     n = nodes.select(F.col("design_id").cast("long").alias("design_id"), F.col("node_id").cast("long").alias("node_id"), "color_layer", "centroid_x", "centroid_y")
+    # Nodes are read at each step below; they are made once.
+    n = Rounds(nodes.sparkSession).keep(n, "nodes")
     box = n.groupBy("design_id").agg(F.min("centroid_x").alias("_x0"), F.min("centroid_y").alias("_y0"), F.count(F.lit(1)).alias("_n"),
                                      F.greatest(F.max("centroid_x") - F.min("centroid_x"), F.max("centroid_y") - F.min("centroid_y"), F.lit(1e-9)).alias("_span"))
     top = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / per_cell) / 2)).cast("int")

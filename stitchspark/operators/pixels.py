@@ -6,8 +6,10 @@ pixel or by row, so a design with very many pixels spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,13 +118,17 @@ def line_samples(df: DataFrame, x0: str, y0: str, x1: str, y1: str, steps: Colum
         {"sx": at(x0, x1), "sy": at(y0, y1)}).drop("_n", "_i")
 
 
-def _steps(fitted: DataFrame) -> DataFrame:
-    """Every step of each segment, as sx, sy (unrounded)."""
+def _drawn(fitted: DataFrame) -> DataFrame:
+    """The segments that have a length, and their number of steps."""
     dx, dy = F.col("exit_x") - F.col("entry_x"), F.col("exit_y") - F.col("entry_y")
     length = F.sqrt(dx * dx + dy * dy)
     drawn = fitted.withColumns({"length_px": length, "ux": dx / length, "uy": dy / length}).filter(F.col("length_px") >= 1e-6)
-    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy))).cast("int"))
-    return line_samples(drawn, "entry_x", "entry_y", "exit_x", "exit_y", steps)
+    return drawn.withColumn("steps", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy))).cast("int")))
+
+
+def _steps(fitted: DataFrame) -> DataFrame:
+    """Every step of each segment, as sx, sy (unrounded)."""
+    return line_samples(_drawn(fitted), "entry_x", "entry_y", "exit_x", "exit_y", F.col("steps")).drop("steps")
 
 
 def _clipped(size: int, c: Column, d: str) -> Column:
@@ -166,16 +172,54 @@ def last_writer_maps(hits: DataFrame) -> DataFrame:
     return _written(_last_writers(hits.withColumn("kind", _kind())))
 
 
+#: Steps that are drawn at once.
+_STEPS = 1 << 18
+
+
+def _last(design: np.ndarray, y: np.ndarray, x: np.ndarray, side: int) -> np.ndarray:
+    """Places of the last entry of each pixel."""
+    key = (design * side + y) * side + x
+    return len(key) - 1 - np.unique(key[::-1], return_index=True)[1]
+
+
+def _draw(batches: Iterator[pa.RecordBatch], size: int, offsets: list[tuple[int, int]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Segments to their pixels; of segments of a batch over one pixel, the last."""
+    reach = max(max(abs(d) for d in o) for o in offsets)
+    side = size + 2 * reach
+    for batch in batches:
+        ends = np.cumsum(batch.column("steps").to_numpy(zero_copy_only=False).astype(np.int64) + 1) // _STEPS
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1), batch.num_rows]
+        for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+            col = {c: part.column(c).to_numpy(zero_copy_only=False) for c in ("segment_id", "steps", "entry_x", "entry_y", "exit_x", "exit_y")}
+            if not all(np.isfinite(col[c]).all() for c in ("entry_x", "entry_y", "exit_x", "exit_y")):
+                raise ValueError("a segment has an end that is not finite")
+            order = np.argsort(col["segment_id"], kind="stable")
+            n = col["steps"][order].astype(np.int64)
+            row, of = np.repeat(order, n + 1), np.repeat(n, n + 1)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+
+            def at(axis: str) -> np.ndarray:
+                a, b = col[f"entry_{axis}"][row], col[f"exit_{axis}"][row]
+                # What lies further out than the disc reaches is clipped to the same pixels.
+                return np.clip(np.rint(np.where(i == of, b, a + i * ((b - a) / of))), -reach, size - 1 + reach).astype(np.int64)
+
+            design = part.column("design_id").dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            y, x = at("y"), at("x")
+            kept = np.sort(_last(design[row], y + reach, x + reach, side))
+            row = np.repeat(row[kept], len(offsets))
+            y, x = (np.clip(c[kept][:, None] + np.array([o[k] for o in offsets]), 0, size - 1).ravel() for k, c in enumerate((y, x)))
+            kept = _last(design[row], y, x, side)
+            taken = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept].astype(np.int32)) for c in (y, x)] + [part.column(c).take(taken) for c in names], names=["y", "x", *names])
+
+
 def drawn_maps(fitted: DataFrame, size: int = 64, line_width: int = 1) -> DataFrame:
-    """:func:`last_writer_maps` of :func:`rasterize_segments`: the last segment of each step's pixel is found before the disc is drawn around it."""
-    at = lambda c: F.rint(c).cast("int")
-    last = _last_writers(_steps(fitted).select("design_id", at("sy").alias("y"), at("sx").alias("x"), "segment_id", "color_layer", "n_segments", _kind().alias("kind")))
-    if line_width // 2 > 0:
-        wide = last.withColumn("_d", F.explode(_offsets(disc(line_width // 2))))
-        last = wide.withColumns({"x": _clipped(size, F.col("x"), "_d.dx"), "y": _clipped(size, F.col("y"), "_d.dy")}).drop("_d")
-    else:
-        last = last.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(c))) for c in ("x", "y")})
-    return _written(_last_writers(last))
+    """:func:`last_writer_maps` of :func:`rasterize_segments`: tasks draw batches of segments, of which only the last over each pixel is sent on."""
+    names = ["design_id", *_DRAWN, "segment_id"]
+    segments = _drawn(fitted).withColumn("kind", _kind()).select(*names, "steps", "entry_x", "entry_y", "exit_x", "exit_y")
+    types, offsets = dict(segments.dtypes), disc(line_width // 2)
+    schema = "y int not null, x int not null, " + ", ".join(f"`{c}` {types[c]}" for c in names)
+    return _written(_last_writers(segments.mapInArrow(lambda batches: _draw(batches, size, offsets, names), schema)))
 
 
 def event_maps(fitted: DataFrame, labels: dict[str, Column], closures: DataFrame, size: int = 64, line_width: int = 1, point_radius: int = 2) -> DataFrame:

@@ -208,3 +208,34 @@ def test_maps_of_drawn_segments(spark, width):
     got = px.drawn_maps(fitted, 64, width)
     assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect())
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments_are_drawn_before_they_are_sent(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(None if d == 3 else d, int(i), int(rng.integers(1, 4)), 40, *map(float, rng.uniform(-3, 67, 4))) for d in (1, 2, 3) for i in rng.permutation(40) + 1]
+    fitted = spark.createDataFrame(rows, "design_id bigint, segment_id bigint, color_layer bigint, n_segments bigint, entry_x double, entry_y double, exit_x double, exit_y double")
+    got = px.drawn_maps(fitted, 64, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1  # no row per step, and one shuffle of pixels
+    assert sorted(got.collect(), key=str) == sorted(px.last_writer_maps(px.rasterize_segments(fitted, 64, 3)).collect(), key=str)
+    monkeypatch.setattr(px, "_STEPS", 500)  # a batch is cut where its steps are many
+    names = ["design_id", "color_layer", "n_segments", "kind", "segment_id"]
+    batch = px._drawn(fitted).selectExpr(*names[:3], "1 AS kind", *names[4:], "steps", "entry_x", "entry_y", "exit_x", "exit_y").toArrow().combine_chunks().to_batches()
+    parts = list(px._draw(iter(batch), 64, px.disc(1), names))
+    assert len(parts) > 3
+    last = {}
+    for r in (r for p in parts for r in p.to_pylist()):
+        spot = r["design_id"], r["y"], r["x"]
+        last[spot] = max(last.get(spot, 0), r["segment_id"])
+    assert last == {(r["design_id"], r["y"], r["x"]): r["segment_id"] for r in got.collect()}
+    broken = spark.createDataFrame([(1, 1, 1, 1, 0.0, 0.0, float("nan"), 1.0)], fitted.schema)
+    with pytest.raises(Exception, match="not finite"):
+        px.drawn_maps(broken, 64, 3).collect()
+
+
+def test_component_graph_makes_its_nodes_once(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"design_id": rng.integers(0, 3, 60), "node_id": range(60), "color_layer": rng.integers(1, 4, 60), "centroid_x": rng.random(60), "centroid_y": rng.random(60)})
+    got = comp.component_graph(spark.createDataFrame(pdf).filter("node_id < 50"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "node_id < 50" not in plan and "LocalTableScan" not in plan and got.select("source").distinct().count() == 50
