@@ -38,3 +38,9 @@ def test_robust_policies_add_in_the_order_of_rows(spark, folder):
     got = sorted(map(tuple, plans.RUN["robust_policies"](spark, str(folder)).collect()))
     assert got == rows_of_sql(folder, "robust_policies")
     assert {(r[1], r[6]) for r in got} == {(1, 0.9638), (2, 0.9638)}
+
+
+def test_robust_picks_where_a_tie_decides(spark, folder):
+    got = sorted(map(tuple, plans.RUN["robust_picks"](spark, str(folder)).collect()))
+    assert got == rows_of_sql(folder, "robust_picks")
+    assert ("A", "best_min_coverage", 1, 1996, 1) in got
